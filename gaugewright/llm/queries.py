@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import bpe, quality
+from gaugewright.llm import bpe, jaccard, quality
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,12 +25,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_ngram_jaccard_join, op5_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
