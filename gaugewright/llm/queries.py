@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import bpe, jaccard, lines, quality, repeats
+from gaugewright.llm import bpe, jaccard, lines, quality, repeats, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,12 +37,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_ngram_jaccard_join, op5_bpe, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_ngram_jaccard_join, op5_bpe, op8_warc, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
