@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import bpe, jaccard, lines, quality, repeats, warc
+from gaugewright.llm import bpe, jaccard, lines, pii, quality, repeats, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,8 +45,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_ngram_jaccard_join, op5_bpe, op8_warc, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_ngram_jaccard_join, op5_bpe, op8_warc, op9_line_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
