@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import bpe, jaccard, lines, pii, quality, repeats, warc
+from gaugewright.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, repeats, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
@@ -50,8 +58,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_ngram_jaccard_join, op5_bpe, op8_warc, op9_line_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_license_scans, op4_ngram_jaccard_join, op5_bpe, op6_mixing, op8_warc, op9_line_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scans": licenses.scan_sql()}
