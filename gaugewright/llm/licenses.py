@@ -6,7 +6,7 @@ coefficient, 2 * common / (a + b). Two exact bounds come first: a Dice of d need
 sizes within d / (2 - d) of each other, and a template that is reached shares at
 least that share of its bigrams, so at least one of any (1 - share) of them plus
 one; the words that begin such bigrams (the longest ones, as the rarest) gate the
-units by one array overlap. All of it is one projection of DataFrame functions
+texts by one regular expression and their units by one array overlap. All of it is one projection of DataFrame functions
 over each row: no shuffle, no Python.
 
 Defined cases: null and empty texts and units of fewer than two words match
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 MIN_DICE_PCT = 80
 
+# Frequent English words, which make poor gates.
+COMMON = ("a", "an", "and", "be", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "with", "you")
+
 # Licence notices as their authors ask them to be put.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -51,7 +54,7 @@ def gate_words(templates: dict[str, str], min_pct: int) -> list[str]:
     """Words of which every unit that reaches a template has at least one."""
     words: set[str] = set()
     for text in templates.values():
-        grams = sorted(template_bigrams(text), key=lambda g: (-len(g), g))
+        grams = sorted(template_bigrams(text), key=lambda g: (g.split()[0] in COMMON, -len(g.split()[0]), g))
         need = math.ceil(min_pct / (200 - min_pct) * len(grams) - 1e-9)
         words |= {g.split()[0] for g in grams[: len(grams) - need + 1]}
     return sorted(words)
@@ -83,11 +86,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", templates: dict[str, str] | No
             found.append(F.when(near & (200 * common >= min_pct * (n + b)), F.struct((-(2.0 * common) / (n + b)).alias("d"), F.lit(k).alias("l"))))
         return found[0] if len(found) == 1 else F.least(*found)
 
+    # each step binds its result, so that nothing is worked out twice
     units = F.transform(F.array_distinct(F.concat(F.split(text, "\n", -1), F.array(text))), _normal)
     gated = F.filter(F.transform(units, lambda u: F.split(u, " ")), lambda w: F.arrays_overlap(w, gate))
-    hits = F.filter(F.transform(F.array_distinct(gated), lambda w: best(_bigrams(w))), lambda h: h.isNotNull())
+    hits = F.filter(F.transform(F.transform(F.array_distinct(gated), _bigrams), best), lambda h: h.isNotNull())
+    # a text without a gate word has no unit with one
+    hits = F.when(F.lower(text).rlike("(?:^|[^0-9a-z])(?:" + "|".join(gate_words(templates, min_pct)) + ")(?:[^0-9a-z]|$)"), hits)
     x = docs.select(F.col(id_col).alias("doc_id"), hits.alias("h"))
-    x = x.select("doc_id", F.size("h").cast("long").alias("n_units"), F.array_min("h").alias("b"))
+    x = x.select("doc_id", F.coalesce(F.size("h"), F.lit(0)).cast("long").alias("n_units"), F.array_min("h").alias("b"))
     return x.select("doc_id", "n_units", F.col("b.l").alias("license"), F.round(-F.col("b.d"), 6).alias("dice"))
 
 

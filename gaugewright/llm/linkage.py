@@ -3,9 +3,10 @@
 Rows (key, id, size, centre) name the ids that share a key; centre is the least
 id of the key, null where a key is so frequent that its rows were spread. All
 pairs of a group are never made: first each id is checked against the centre it
-shares most keys with, which contracts large groups of near copies; after that
-only pairs across the contracted groups are made, and checked, so that no link
-between two groups is lost."""
+shares most keys with, then components against the least component of a key, by
+the two members that share most keys, which contracts large groups of near
+copies; after that only pairs across what is still apart are made, and checked,
+so that no link between two groups is lost."""
 
 from __future__ import annotations
 
@@ -45,21 +46,44 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def resolve(shared: DataFrame, check: Check, ratio: float, label: str) -> DataFrame:
-    """(id, comp) of every id with a link. shared: key, id, size, centre; sizes of linked ids differ by the factor `ratio` at most."""
+def _contract(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """comp (id, comp) after links (a, b) between ids; ids that no link has named yet are their own component."""
+    side = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+    merged = components(named, label).select(F.col("id").alias("comp"), F.col("comp").alias("into"))
+    every = comp.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp")))
+    return keep(every.join(merged, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")), label)
+
+
+def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: int = 8) -> DataFrame:
+    """(id, comp) of every id with a link. shared: key, id, size, centre; sizes of linked ids differ by the factor `ratio` at most.
+
+    Contracting rounds end when one finds no link (or after `rounds`): they only
+    spare work. What is still apart is then compared pair by pair."""
     spread = shared.filter("centre is null")
     centres = spread.groupBy("key").agg(F.min("id").alias("centre"))
     star = shared.filter("centre is not null").select("id", "centre").union(spread.drop("centre").join(centres, "key").select("id", "centre"))
     star = star.filter("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("n"))
     best = star.groupBy("id").agg(F.max(F.struct("n", F.negate("centre").alias("c"))).alias("x"))
-    first = keep(check(best.select(F.col("id").alias("a"), F.negate("x.c").alias("b"))), f"{label}-star")
-    comp = keep(components(first, label), f"{label}-comp")
-    rows = shared.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
+    links = keep(check(best.select(F.col("id").alias("a"), F.negate("x.c").alias("b"))), f"{label}-star")
+    comp = _contract(shared.sparkSession.createDataFrame([], "id long, comp long"), links, f"{label}-comp")
+    for _ in range(rounds):
+        rows = shared.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
+        mixed = rows.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("lo"), F.max("comp").alias("hi")).filter("lo.comp < hi")
+        rows = keep(rows.join(mixed, "key").select("key", "id", "size", "comp", "lo"), f"{label}-mixed")
+        # of each two components that share a key's centre, the two members that share most keys
+        tries = rows.filter("comp <> lo.comp").groupBy("comp", F.col("lo.comp").alias("other"), "id", F.col("lo.id").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
+        tries = tries.groupBy("comp", "other").agg(F.max(F.struct("n", F.negate("id").alias("a"), F.negate("centre").alias("b"))).alias("x"))
+        links = keep(check(tries.select(F.negate("x.a").alias("a"), F.negate("x.b").alias("b"))), f"{label}-round")
+        if links.isEmpty():
+            break
+        comp = _contract(comp, links, f"{label}-comp")
+    rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp")), f"{label}-rows")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rows = keep(rows.join(mixed, "key"), f"{label}-mixed")
     x, y = rows.alias("x"), rows.alias("y")
     near = (F.col("x.size") * ratio <= F.col("y.size")) & (F.col("y.size") * ratio <= F.col("x.size"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = check(pairs)
-    return components(first.union(rest), label)
+    rest = keep(check(keep(pairs, f"{label}-pairs")), f"{label}-rest")
+    return _contract(comp, rest, f"{label}-comp")

@@ -1,62 +1,5 @@
-"""Where intermediate tables live: the folder that the cluster names in spark.checkpoint.dir.
+"""Intermediate tables of this folder, kept as the engine keeps its own."""
 
-A written table survives the loss of the executor that made it, unlike a local
-checkpoint, and Parquet keeps it small. A folder of our own is set only where
-the session names none (tests on one machine)."""
+from gaugewright.functions.staging import drop, keep, new_path, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; made and remembered if the session has none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="gaugewright-")
-    return _OWN["dir"]
-
-
-def _delete(spark: SparkSession, uri: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver exits."""
-    uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def clean() -> None:
-        try:
-            _delete(spark, uri)
-        except Exception:  # noqa: BLE001 - the JVM may be gone at exit
-            pass
-
-    atexit.register(clean)
-    return uri
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    uri = new_path(spark, label)
-    df.write.parquet(uri)
-    out = spark.read.schema(df.schema).parquet(uri)
-    out._stored_uri = uri
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by keep() once nothing will read it again."""
-    uri = getattr(df, "_stored_uri", None)
-    if uri:
-        _delete(df.sparkSession, uri)
+__all__ = ["drop", "keep", "new_path", "shared_dir"]
