@@ -1 +1 @@
-
+"""The engine's functions."""

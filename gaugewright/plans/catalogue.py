@@ -5,11 +5,467 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gaugewright.operators import ingest, lmir, loglog, patterns, rare, regimes, scores, tpmr, workflow
+from gaugewright.plans import gauges as G
+from gaugewright.sources import plots
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+ORDER, EDGE = 3, 5.0  # neighbours and hours for minima in histories of some dozens of samples
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with SQL if there is any; CTEs come from the gauges module."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _with(sql: str, *parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([G.SQL, *parts]) + "\n" + sql
+
+
+def _r(*names: str, n: int = 6) -> list[F.Column]:
+    """Rounded columns, with -0 as 0."""
+    return [(F.round(F.col(c), n) + F.lit(0.0)).alias(c) for c in names]
+
+
+def _rs(*names: str, n: int = 6) -> str:
+    return ", ".join(f"round({c}, {n}) + 0.0 AS {c.split('.')[-1]}" for c in names)
+
+
+# --- ingest ---------------------------------------------------------------------------------------------------------
+
+
+@query(_with(f"SELECT well_id, seq, {_rs('pressure', 'time_hr')} FROM bhp"))
+def ingest_time_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.bhp(spark, sf_dir).select("well_id", "seq", *_r("pressure", "time_hr"))
+
+
+@query(_with(f"SELECT well_id, seq, {_rs('rate', 'time_hr')} FROM rate"))
+def ingest_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.rate(spark, sf_dir).select("well_id", "seq", *_r("rate", "time_hr"))
+
+
+_COMMON = """
+span AS (SELECT b.well_id, greatest(min(b.time_hr), min(r.lo)) AS lo, least(max(b.time_hr), min(r.hi)) AS hi
+         FROM bhp b JOIN (SELECT well_id, min(time_hr) AS lo, max(time_hr) AS hi FROM rate GROUP BY well_id) r USING (well_id) GROUP BY b.well_id)"""
+
+
+@query(_with("""SELECT kind, well_id, seq, round(time_hr - min(time_hr) OVER (PARTITION BY kind, well_id), 6) + 0.0 AS time_hr FROM (
+    SELECT 'bhp' AS kind, well_id, seq, time_hr FROM bhp JOIN span USING (well_id) WHERE time_hr BETWEEN lo AND hi
+    UNION ALL SELECT 'rate', well_id, seq, time_hr FROM rate JOIN span USING (well_id) WHERE time_hr BETWEEN lo AND hi)""", _COMMON))
+def clip_common_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, r = ingest.clip_common_range(G.bhp(spark, sf_dir), G.rate(spark, sf_dir))
+    return b.select(F.lit("bhp").alias("kind"), "well_id", "seq", *_r("time_hr")).unionByName(r.select(F.lit("rate").alias("kind"), "well_id", "seq", *_r("time_hr")))
+
+
+@query(_with("SELECT well_id, count(*) AS n, round(sum(pressure), 4) AS total FROM bhp WHERE time_hr BETWEEN 24 AND 240 GROUP BY well_id"))
+def select_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.select_period(G.bhp(spark, sf_dir), 24, 240).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pressure"), 4).alias("total"))
+
+
+@query("SELECT event_id, CAST(round_even(epoch_us(ts) / 1e6, 0) AS BIGINT) AS second FROM events")
+def round_to_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.events(spark, sf_dir).select("event_id", (F.unix_micros(ingest.round_to_second(F.col("ts"))) / 1000000).cast("long").alias("second"))
+
+
+# --- shut-ins -------------------------------------------------------------------------------------------------------
+
+_PROMINENCE = "prom AS (SELECT well_id, round((quantile_cont(pressure, 0.9) - quantile_cont(pressure, 0.05)) / 2, 9) AS p FROM bhp GROUP BY well_id)"
+
+
+@query(_with("SELECT well_id, round(p, 6) AS prominence FROM prom", _PROMINENCE))
+def default_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tpmr.default_prominence(G.bhp(spark, sf_dir)).select("well_id", *_r("prominence"))
+
+
+_VALLEYS = f"""{_PROMINENCE},
+runs AS (SELECT *, sum(new) OVER (PARTITION BY well_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN pressure IS DISTINCT FROM lag(pressure) OVER (PARTITION BY well_id ORDER BY seq) THEN 1 ELSE 0 END AS new FROM bhp)),
+flats AS (SELECT *, lag(pressure) OVER w AS before, lead(pressure) OVER w AS after FROM (SELECT well_id, run, min(seq) AS s, max(seq) AS e, min(pressure) AS pressure FROM runs GROUP BY well_id, run) WINDOW w AS (PARTITION BY well_id ORDER BY run)),
+low_flats AS (SELECT * FROM flats WHERE pressure < before AND pressure < after),
+lower AS (SELECT v.well_id, v.run, max(CASE WHEN f.run < v.run THEN f.run END) AS l, min(CASE WHEN f.run > v.run THEN f.run END) AS r
+          FROM low_flats v LEFT JOIN flats f ON f.well_id = v.well_id AND f.pressure < v.pressure GROUP BY v.well_id, v.run),
+walls AS (SELECT v.well_id, v.run, v.s, v.e, v.pressure, max(CASE WHEN f.run < v.run THEN f.pressure END) AS lw, max(CASE WHEN f.run > v.run THEN f.pressure END) AS rw
+          FROM low_flats v JOIN lower x ON x.well_id = v.well_id AND x.run = v.run JOIN flats f ON f.well_id = v.well_id AND f.run > coalesce(x.l, -1) AND f.run < coalesce(x.r, 1e18) GROUP BY v.well_id, v.run, v.s, v.e, v.pressure),
+valleys AS (SELECT b.*, row_number() OVER (PARTITION BY b.well_id ORDER BY b.ts, b.seq) - 1 AS segment FROM walls w JOIN prom USING (well_id) JOIN bhp b ON b.well_id = w.well_id AND b.seq = (w.s + w.e) // 2 WHERE least(lw, rw) - w.pressure >= p)"""
+
+
+@query(_with(f"SELECT well_id, seq, {_rs('pressure', 'time_hr')} FROM valleys", _VALLEYS))
+def tpmr_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tpmr.detect_valleys(G.bhp(spark, sf_dir)).select("well_id", "seq", *_r("pressure", "time_hr"))
+
+
+_SHUTINS = f"""{_VALLEYS},
+segs AS (SELECT b.well_id, b.seq, b.ts, b.pressure, b.time_hr, count(v.seq) AS segment FROM bhp b LEFT JOIN valleys v ON v.well_id = b.well_id AND v.ts <= b.ts GROUP BY ALL),
+tops AS (SELECT s.* FROM (SELECT *, max(pressure) OVER (PARTITION BY well_id, segment) AS hi FROM segs) s WHERE segment < (SELECT count(*) FROM valleys v WHERE v.well_id = s.well_id)),
+top_at AS (SELECT well_id, segment, max(seq) AS top_seq FROM tops WHERE pressure = hi GROUP BY well_id, segment),
+parts AS (SELECT t.*, top_seq, last(pressure) OVER w AS pz, max(time_hr) OVER w AS tz, min(time_hr) OVER w AS t0, min(pressure) OVER w AS lo, max(t.seq) OVER w AS seq_z
+          FROM tops t JOIN top_at a USING (well_id, segment) WHERE t.seq >= top_seq WINDOW w AS (PARTITION BY well_id, segment ORDER BY t.seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+bends AS (SELECT *, -((pressure - lo) / nullif(hi - lo, 0) - (pz - lo) / nullif(hi - lo, 0)) - (1 - (pz - lo) / nullif(hi - lo, 0)) * ((time_hr - t0) / nullif(tz - t0, 0) - 1) AS bend FROM parts),
+elbows AS (SELECT *, row_number() OVER (PARTITION BY well_id, segment ORDER BY round(bend, 9), seq DESC) AS k FROM bends),
+shoulders AS (SELECT e.well_id, e.segment, CASE WHEN e.bend IS NOT NULL AND e.seq <> e.seq_z AND e.pressure > (e.hi + e.pz) / 2 THEN e.seq ELSE e.top_seq END AS seq FROM elbows e WHERE k = 1),
+shutins AS (SELECT s.well_id, s.segment, b.time_hr AS start_hr, b.ts AS start_ts, v.time_hr AS end_hr, v.ts AS end_ts, v.time_hr - b.time_hr AS duration_hr
+            FROM shoulders s JOIN bhp b ON b.well_id = s.well_id AND b.seq = s.seq JOIN valleys v ON v.well_id = s.well_id AND v.segment = s.segment)"""
+
+
+@query(_with(f"SELECT well_id, {_rs('start_hr', 'end_hr', 'duration_hr')}, 'shutin' AS status FROM shutins WHERE duration_hr > 5", _SHUTINS))
+def tpmr_shutins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tpmr.tpmr(G.bhp(spark, sf_dir), interval=5).transients_interval.select("well_id", *_r("start_hr", "end_hr", "duration_hr"), "status")
+
+
+@query(_with("""SELECT well_id, round(time_hr, 6) + 0.0 AS time_hr, label FROM (SELECT *, row_number() OVER (PARTITION BY well_id, ts ORDER BY rank, seq) AS n FROM (
+    SELECT well_id, seq, ts, time_hr, 'flowing' AS label, 0 AS rank FROM valleys
+    UNION ALL SELECT s.well_id, b.seq, b.ts, b.time_hr, 'shutin', 1 FROM shoulders s JOIN bhp b ON b.well_id = s.well_id AND b.seq = s.seq
+    UNION ALL SELECT well_id, seq, ts, time_hr, 'start', 2 FROM bhp WHERE seq = 1
+    UNION ALL SELECT b.well_id, seq, ts, time_hr, 'end', 3 FROM bhp b WHERE seq = (SELECT max(seq) FROM bhp c WHERE c.well_id = b.well_id))) WHERE n = 1""", _SHUTINS))
+def tpmr_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tpmr.tpmr(G.bhp(spark, sf_dir), interval=5).breakpoints.select("well_id", *_r("time_hr"), "label")
+
+
+# --- flowing transients ---------------------------------------------------------------------------------------------
+
+_MINIMA = f"""
+turned AS (SELECT *, round(-sin(angle) * time_hr + cos(angle) * pressure, 9) AS rotated FROM (
+    SELECT *, atan((last(pressure) OVER f - first(pressure) OVER f) / nullif(last(time_hr) OVER f - first(time_hr) OVER f, 0)) AS angle
+    FROM bhp WINDOW f AS (PARTITION BY well_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
+marked AS (SELECT *, coalesce(rotated < min(rotated) OVER (PARTITION BY well_id ORDER BY seq ROWS BETWEEN {ORDER} PRECEDING AND 1 PRECEDING)
+                          AND rotated < min(rotated) OVER (PARTITION BY well_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND {ORDER} FOLLOWING), false) AS low,
+                  seq = first(seq) OVER (PARTITION BY well_id ORDER BY pressure DESC, seq) AS top,
+                  min(time_hr) OVER (PARTITION BY well_id) AS lo, max(time_hr) OVER (PARTITION BY well_id) AS hi FROM turned),
+minima AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id, time_hr ORDER BY low DESC, seq) AS n FROM marked WHERE low OR top) WHERE n = 1 AND time_hr > lo + {EDGE} AND time_hr < hi - {EDGE})"""
+
+
+@query(_with(f"SELECT well_id, seq, {_rs('pressure', 'time_hr')} FROM minima", _MINIMA))
+def lmir_local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmir.lmir(G.bhp(spark, sf_dir), ORDER, EDGE, EDGE).minima.select("well_id", "seq", *_r("pressure", "time_hr"))
+
+
+_FLOW = """
+flow_points AS (SELECT well_id, seq, ts, time_hr FROM minima UNION ALL SELECT well_id, seq, ts, time_hr FROM bhp WHERE seq = 1
+    UNION ALL SELECT well_id, seq, ts, time_hr FROM bhp b WHERE seq = (SELECT max(seq) FROM bhp c WHERE c.well_id = b.well_id)),
+flow AS (SELECT * FROM (SELECT well_id, time_hr AS start_hr, lead(time_hr) OVER w AS end_hr, lead(time_hr) OVER w - time_hr AS duration_hr FROM flow_points WINDOW w AS (PARTITION BY well_id ORDER BY time_hr, seq)) WHERE end_hr IS NOT NULL)"""
+
+
+@query(_with(f"SELECT well_id, {_rs('start_hr', 'end_hr', 'duration_hr')}, 'flowing' AS status FROM flow WHERE duration_hr >= 24", _MINIMA, _FLOW))
+def lmir_flowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmir.lmir(G.bhp(spark, sf_dir), ORDER, EDGE, EDGE)
+    _, flowing = workflow.filter_flow(found.flow_breakpoints, found.flowing, 24)
+    return flowing.select("well_id", *_r("start_hr", "end_hr", "duration_hr"), "status")
+
+
+@query(_with(f"SELECT DISTINCT well_id, {_rs('time_hr')} FROM (SELECT *, lag(time_hr) OVER w AS b, lead(time_hr) OVER w AS a FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id, ts ORDER BY time_hr, seq) AS n FROM flow_points) WHERE n = 1) WINDOW w AS (PARTITION BY well_id ORDER BY time_hr)) WHERE coalesce(abs(time_hr - b) > 24, false) OR coalesce(abs(a - time_hr) > 24, false)", _MINIMA, _FLOW))
+def flow_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmir.lmir(G.bhp(spark, sf_dir), ORDER, EDGE, EDGE)
+    points, _ = workflow.filter_flow(found.flow_breakpoints, found.flowing, 24)
+    return points.select("well_id", *_r("time_hr")).distinct()
+
+
+_PERIODS = """
+shut AS (SELECT * FROM transients WHERE status = 'shutin'),
+periods AS (SELECT *, end_hr - start_hr AS duration_hr FROM (
+    SELECT s.well_id, coalesce(lag(s.end_hr) OVER w, 0.0) AS start_hr, s.start_hr AS end_hr FROM shut s WINDOW w AS (PARTITION BY s.well_id ORDER BY s.start_hr)
+    UNION ALL SELECT well_id, max(end_hr), (SELECT max(time_hr) FROM bhp b WHERE b.well_id = shut.well_id) FROM shut GROUP BY well_id) WHERE end_hr - start_hr <> 0)"""
+
+
+@query(_with(f"SELECT well_id, {_rs('start_hr', 'end_hr', 'duration_hr')} FROM periods", _PERIODS))
+def injection_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = G.bhp(spark, sf_dir)
+    return workflow.injection_periods(G.grid_transients(b).filter("status = 'shutin'").drop("transient_id"), b).select("well_id", *_r("start_hr", "end_hr", "duration_hr"))
+
+
+_ALL = """
+every AS (SELECT well_id, ts, time_hr, 'start' AS label, 0 AS rank FROM bhp WHERE seq = 1
+    UNION ALL SELECT well_id, ts, time_hr, 'end', 0 FROM bhp b WHERE seq = (SELECT max(seq) FROM bhp c WHERE c.well_id = b.well_id)
+    UNION ALL SELECT well_id, start_ts, start_hr, 'shutin', 1 FROM transients WHERE status = 'shutin' UNION ALL SELECT well_id, end_ts, end_hr, 'shutin', 1 FROM transients WHERE status = 'shutin'
+    UNION ALL SELECT well_id, ts, time_hr, 'multibp', 2 FROM minima),
+points AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id, ts ORDER BY rank, label DESC) AS n FROM every) WHERE n = 1)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = G.bhp(spark, sf_dir)
+    t = G.grid_transients(b)
+    return b, t, workflow.all_breakpoints(t.filter("status = 'shutin'"), lmir.lmir(b, ORDER, EDGE, EDGE).minima, b)
+
+
+@query(_with(f"SELECT well_id, {_rs('time_hr')}, label FROM points", _MINIMA, _ALL))
+def all_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir)[2].select("well_id", *_r("time_hr"), "label")
+
+
+_NEAR = "EXISTS (SELECT 1 FROM transients t WHERE t.well_id = p.well_id AND t.start_hr > 10 AND p.time_hr >= t.start_hr - 10 AND p.time_hr < t.start_hr)"
+
+
+@query(_with(f"SELECT well_id, {_rs('time_hr')}, label, {_NEAR} AS removed FROM points p", _MINIMA, _ALL))
+def filter_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, t, p = _points(spark, sf_dir)
+    stay, gone = workflow.filter_breakpoints(p, t, 10)
+    cols = ["well_id", *_r("time_hr"), "label"]
+    return stay.select(*cols, F.lit(False).alias("removed")).unionByName(gone.select(*cols, F.lit(True).alias("removed")))
+
+
+# --- rates ----------------------------------------------------------------------------------------------------------
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = G.bhp(spark, sf_dir)
+    p = G.grid(b)
+    return b, p, workflow.weighted_rates(G.rate(spark, sf_dir), p)
+
+
+@query(_with(f"SELECT well_id, seq, {_rs('start_hr', 'end_hr', 'rate')} FROM rates", G.RATES_SQL))
+def weighted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rates(spark, sf_dir)[2].select("well_id", "seq", *_r("start_hr", "end_hr", "rate"))
+
+
+@query(_with(f"""SELECT t.well_id, {_rs('t.start_hr', 't.end_hr')}, CASE WHEN status = 'shutin' AND rate <> 0 THEN 'flowing' WHEN status = 'flowing' AND rate = 0 THEN 'shutin' ELSE status END AS status
+    FROM transients t LEFT JOIN rates r ON r.well_id = t.well_id AND r.start_ts = t.start_ts""", G.RATES_SQL))
+def validate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, _, r = _rates(spark, sf_dir)
+    t = G.grid_transients(b)
+    shut, flow = workflow.validate_shutin_rate(t.filter("status = 'shutin'"), r, t.filter("status = 'flowing'"))
+    shut, flow = workflow.validate_flowing_rate(shut, r, flow)
+    return shut.unionByName(flow).select("well_id", *_r("start_hr", "end_hr"), "status")
+
+
+_INPUTS = """
+q AS (SELECT well_id, ts, arg_min(rate, seq) AS q FROM rate GROUP BY well_id, ts),
+qr AS (SELECT well_id, ts, arg_min(q_rebuilt, k) AS q_rebuilt FROM (SELECT well_id, start_ts AS ts, rate AS q_rebuilt, 0 AS k FROM rates
+    UNION ALL SELECT r.well_id, z, arg_max(rate, start_ts), 1 FROM rates r JOIN (SELECT well_id, max(ts) AS z FROM rate GROUP BY well_id) USING (well_id) GROUP BY r.well_id, z) GROUP BY well_id, ts),
+filled AS (SELECT well_id, ts, last_value(q_rebuilt IGNORE NULLS) OVER w AS q_rebuilt, last_value(q IGNORE NULLS) OVER w AS q FROM q FULL JOIN qr USING (well_id, ts) WINDOW w AS (PARTITION BY well_id ORDER BY ts)),
+steps AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY well_id ORDER BY ts))) / 8.64e10::DOUBLE AS dt FROM filled WHERE q_rebuilt IS NOT NULL AND q IS NOT NULL),
+inputs AS (SELECT *, coalesce(sum(q * dt) OVER w, 0) AS Q_run, coalesce(sum(abs(q_rebuilt - q) * dt) OVER w, 0) AS E_run FROM steps WINDOW w AS (PARTITION BY well_id ORDER BY ts))"""
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare.rare_inputs(G.rate(spark, sf_dir), _rates(spark, sf_dir)[2])
+
+
+@query(_with(f"SELECT well_id, row_number() OVER (PARTITION BY well_id ORDER BY ts) AS k, {_rs('q_rebuilt', 'q', 'dt')}, round(Q_run, 5) AS volume, round(E_run, 5) AS error FROM inputs", G.RATES_SQL, _INPUTS))
+def rare_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return _inputs(spark, sf_dir).select("well_id", F.row_number().over(Window.partitionBy("well_id").orderBy("ts")).alias("k"), *_r("q_rebuilt", "q", "dt"), F.round("volume", 5).alias("volume"), F.round("error", 5).alias("error"))
+
+
+@query(_with("SELECT well_id, round(least((arg_max(E_run, ts) - arg_min(E_run, ts)) / nullif(abs(arg_max(Q_run, ts) - arg_min(Q_run, ts)), 0), 1.0), 6) AS rare FROM inputs GROUP BY well_id", G.RATES_SQL, _INPUTS))
+def rare_by_well(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare.rare(_inputs(spark, sf_dir)).select("well_id", *_r("rare"))
+
+
+# --- log-log --------------------------------------------------------------------------------------------------------
+
+_SUPER = """
+prefix AS (SELECT t.well_id, t.transient_id, t.status, r.seq, r.start_hr AS bp, r.rate, r.rate - coalesce(lag(r.rate) OVER w, 0) AS dq
+           FROM transients t JOIN rates r ON r.well_id = t.well_id AND r.start_hr <= t.start_hr WINDOW w AS (PARTITION BY t.well_id, t.transient_id ORDER BY r.seq)),
+norms AS (SELECT well_id, transient_id, arg_max(rate, seq) AS last_q, arg_max(rate, seq) FILTER (rate <> 0) AS last_nz, count(*) AS n FROM prefix GROUP BY well_id, transient_id),
+within AS (SELECT b.well_id, t.transient_id, t.status, b.seq, b.pressure, b.time_hr, first(b.seq) OVER w AS s0, first(b.pressure) OVER w AS p0, first(b.time_hr) OVER w AS t0
+           FROM bhp b JOIN transients t ON t.well_id = b.well_id AND b.time_hr BETWEEN t.start_hr AND t.end_hr WINDOW w AS (PARTITION BY b.well_id, t.transient_id ORDER BY b.seq)),
+superposed AS (SELECT w.well_id, w.transient_id, w.status, w.seq, abs(w.pressure - p0) AS delta_pressure, w.time_hr - t0 AS delta_time,
+                  sum(CASE WHEN w.status = 'shutin' THEN -p.dq / nullif(last_nz, 0) ELSE p.dq / nullif(last_q, 0) END * log10(w.time_hr - p.bp)) AS superposition,
+                  count(*) AS terms
+           FROM within w JOIN prefix p USING (well_id, transient_id) JOIN norms USING (well_id, transient_id) WHERE w.seq > s0 GROUP BY w.well_id, w.transient_id, w.status, w.seq, w.pressure, w.time_hr, p0, t0)"""
+
+
+def _loglog(spark: SparkSession, sf_dir: str, injection: bool) -> tuple[DataFrame, DataFrame]:
+    b, p, r = _rates(spark, sf_dir)
+    t = G.grid_transients(b).filter(F.col("status") == ("flowing" if injection else "shutin"))
+    steps = loglog.rate_steps(p, r, t)
+    return loglog.superposition(loglog.transient_samples(b, t), steps, injection), steps
+
+
+def _superposition_sql(status: str) -> str:
+    return _with(f"SELECT well_id, transient_id, seq, {_rs('superposition', 'delta_time')}, round(delta_pressure, 4) + 0.0 AS delta_pressure FROM superposed WHERE status = '{status}'", G.RATES_SQL, _SUPER)
+
+
+@query(_superposition_sql("shutin"))
+def superposition_shutin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loglog(spark, sf_dir, False)[0].select("well_id", "transient_id", "seq", *_r("superposition", "delta_time"), *_r("delta_pressure", n=4))
+
+
+@query(_superposition_sql("flowing"))
+def superposition_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loglog(spark, sf_dir, True)[0].select("well_id", "transient_id", "seq", *_r("superposition", "delta_time"), *_r("delta_pressure", n=4))
+
+
+_DER = """
+pts AS (SELECT *, row_number() OVER (PARTITION BY well_id, transient_id ORDER BY seq) AS i FROM superposed WHERE status = 'flowing'),
+js AS (SELECT a.*, min(b.i) AS j FROM pts a JOIN pts b ON b.well_id = a.well_id AND b.transient_id = a.transient_id AND b.i > a.i AND b.delta_time > a.delta_time * exp(0.2) GROUP BY ALL),
+ks AS (SELECT a.well_id, a.transient_id, a.i, a.j, coalesce(min(c.i) FILTER (c.delta_time > m.delta_time * exp(0.2)), min(c.i)) AS k
+       FROM js a JOIN pts m ON m.well_id = a.well_id AND m.transient_id = a.transient_id AND m.i = a.j
+       JOIN pts c ON c.well_id = a.well_id AND c.transient_id = a.transient_id AND c.i > a.j AND c.delta_time > m.delta_time * exp(0.1) GROUP BY ALL),
+ders AS (SELECT x.well_id, x.transient_id, ks.i, m.superposition, m.delta_pressure, m.delta_time, m.superposition - x.superposition AS x1, z.superposition - m.superposition AS x2, abs(m.delta_pressure - x.delta_pressure) AS d1, abs(z.delta_pressure - m.delta_pressure) AS d2
+       FROM ks JOIN pts x ON x.well_id = ks.well_id AND x.transient_id = ks.transient_id AND x.i = ks.i JOIN pts m ON m.well_id = ks.well_id AND m.transient_id = ks.transient_id AND m.i = ks.j JOIN pts z ON z.well_id = ks.well_id AND z.transient_id = ks.transient_id AND z.i = ks.k),
+der AS (SELECT *, (d1 / nullif(x1, 0) * x2 + d2 / nullif(x2, 0) * x1) / nullif(x1 + x2, 0) / ln(10) AS derivative FROM ders)"""
+
+
+@query(_with(f"SELECT well_id, transient_id, {_rs('delta_time')}, round(delta_pressure, 4) + 0.0 AS delta_pressure, round(derivative, 4) + 0.0 AS derivative FROM der", G.RATES_SQL, _SUPER, _DER))
+def bourdet_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2)
+    return d.select("well_id", "transient_id", *_r("delta_time"), *_r("delta_pressure", n=4), (F.round("derivative", 4) + F.lit(0.0)).alias("derivative"))
+
+
+_NORM = """
+ordered AS (SELECT *, row_number() OVER (PARTITION BY well_id, transient_id ORDER BY seq) AS o FROM prefix),
+own AS (SELECT well_id, transient_id, any_value(n) AS n, any_value(last_nz) AS q, max(CASE WHEN o = n THEN rate END) AS z, max(CASE WHEN o = n - 1 THEN rate END) AS y FROM ordered JOIN norms USING (well_id, transient_id) GROUP BY well_id, transient_id),
+ref_id AS (SELECT well_id, max(transient_id) AS transient_id FROM transients WHERE status = 'flowing' GROUP BY well_id),
+ref_at AS (SELECT o.well_id, o.transient_id, max(o) AS pos FROM ordered o JOIN ref_id USING (well_id, transient_id) WHERE rate <> 0 GROUP BY o.well_id, o.transient_id),
+ref AS (SELECT a.well_id, max(CASE WHEN o = pos THEN rate END) AS qr, coalesce(max(CASE WHEN o = pos - 1 THEN rate END), 0) AS qp FROM ref_at a JOIN ordered o USING (well_id, transient_id) GROUP BY a.well_id),
+normed AS (SELECT d.*, qr, qp, CASE WHEN z = 0 THEN q WHEN n > 1 THEN z - y ELSE z END AS dq, q FROM der d JOIN own USING (well_id, transient_id) JOIN ref USING (well_id))"""
+
+
+@query(_with("""SELECT well_id, transient_id, round(delta_time, 6) + 0.0 AS delta_time, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,
+    round(derivative * abs(qr / nullif(q, 0)), 3) + 0.0 AS derivative_saphir, round(derivative * abs((qr - qp) / nullif(q, 0)), 3) + 0.0 AS derivative_autowell FROM normed""", G.RATES_SQL, _SUPER, _DER, _NORM))
+def normalized_loglog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, steps = _loglog(spark, sf_dir, True)
+    ref = steps.groupBy("well_id").agg(F.max_by("rates", "transient_id").alias("ref_rates"))
+    n = loglog.normalize(loglog.derivative(s, 0.2), steps, ref)
+    return n.select("well_id", "transient_id", *_r("delta_time"), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
+
+
+@query()
+def uncertainty_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2)
+    return loglog.envelope(d, ["well_id"], points=100)
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = G.bhp(spark, sf_dir)
+    return G.grid_transients(b), G.rate(spark, sf_dir), b
+
+
+@query(_with("""SELECT transients.well_id, transients.transient_id, round(CASE WHEN n >= 2 THEN 1 - coalesce(turns, 0) / greatest(n - 2, 1) END, 6) + 0.0 AS monotonicity_ratio,
+    round(CASE WHEN n >= 2 THEN 1 / (1 + exp(0.2 * (mean_res / greatest(mad * 1.4826, 1e-6) - 50))) END, 6) + 0.0 AS local_deviation, round(CASE WHEN n >= 2 THEN coalesce(abs(z - a) / nullif(path, 0), 1.0) END, 6) + 0.0 AS trend_efficiency
+    FROM transients LEFT JOIN agg USING (well_id, transient_id) LEFT JOIN mads USING (well_id, transient_id)""", """
+x0 AS (SELECT t.well_id, t.transient_id, b.seq, b.pressure, b.pressure - lag(b.pressure) OVER w AS d, abs(b.pressure - avg(b.pressure) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) AS res
+       FROM transients t JOIN bhp b ON b.well_id = t.well_id AND b.ts >= t.start_ts AND b.ts < t.end_ts WINDOW w AS (PARTITION BY t.well_id, t.transient_id ORDER BY b.ts, b.seq)),
+x1 AS (SELECT *, CAST(sign(d) <> sign(lag(d) OVER (PARTITION BY well_id, transient_id ORDER BY seq)) AS INT) AS turn FROM x0),
+agg AS (SELECT well_id, transient_id, count(*) AS n, sum(turn) AS turns, sum(abs(d)) AS path, arg_max(pressure, seq) AS z, arg_min(pressure, seq) AS a, median(res) AS mid, avg(res) AS mean_res FROM x1 GROUP BY well_id, transient_id),
+mads AS (SELECT well_id, transient_id, median(abs(res - mid)) AS mad FROM x1 JOIN agg USING (well_id, transient_id) GROUP BY well_id, transient_id)"""))
+def pressure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _, b = _quality(spark, sf_dir)
+    return scores.pressure_features(t, b).select("well_id", "transient_id", *_r(*scores.PRESSURE))
+
+
+@query(_with("""SELECT t.well_id, t.transient_id, round(stddev_samp(rate) FILTER (r.ts >= t.start_ts), 6) AS rate_std, round(stddev_samp(rate) FILTER (r.ts < t.start_ts), 6) AS rate_td_std,
+    round(quantile_cont(rate, 0.9) FILTER (r.ts >= t.start_ts) - quantile_cont(rate, 0.1) FILTER (r.ts >= t.start_ts), 6) AS rate_iqr
+    FROM transients t LEFT JOIN rate r ON r.well_id = t.well_id AND r.ts < t.end_ts AND epoch_us(r.ts) >= epoch_us(t.start_ts) - CAST(round(t.duration_hr * 3.6e9) AS BIGINT) GROUP BY t.well_id, t.transient_id"""))
+def rate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, r, _ = _quality(spark, sf_dir)
+    return scores.rate_features(t, r).select("well_id", "transient_id", *_r(*scores.RATE))
+
+
+def _snr_sql() -> str:
+    cols = []
+    for k, s in scores.SCALES.items():
+        b = f"r.us < 0 AND r.us >= -round({s} * dur * 3.6e9)"
+        a = f"r.us >= 0 AND r.us < round({s} * dur * 3.6e9)"
+        cols.append(f"round(CASE WHEN count(*) FILTER ({b}) > 2 AND count(*) FILTER ({a}) > 2 THEN abs(avg(rate) FILTER ({a}) - avg(rate) FILTER ({b})) / greatest(stddev_samp(rate) FILTER ({b}), stddev_samp(rate) FILTER ({a}), 1e-6) END, 6) AS rate_change_snr_{k}")
+    return _with(f"SELECT well_id, transient_id, {', '.join(cols)} FROM (SELECT t.well_id, t.transient_id, t.duration_hr AS dur, r.rate, epoch_us(r.ts) - epoch_us(t.start_ts) AS us FROM transients t LEFT JOIN rate r ON r.well_id = t.well_id) r GROUP BY well_id, transient_id")
+
+
+@query(_snr_sql())
+def rate_change_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, r, _ = _quality(spark, sf_dir)
+    return scores.rate_change(t, r).select("well_id", "transient_id", *_r(*[f"rate_change_snr_{k}" for k in scores.SCALES]))
+
+
+@query()
+def rate_change_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, r, _ = _quality(spark, sf_dir)
+    return scores.rate_tests(t, r)
+
+
+@query()
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, r, b = _quality(spark, sf_dir)
+    return scores.scores(t, r, b, merge=False)
+
+
+# --- workflow -------------------------------------------------------------------------------------------------------
+
+
+def _workflow(spark: SparkSession, sf_dir: str) -> workflow.Workflow:
+    return workflow.ti_workflow(G.bhp(spark, sf_dir), G.rate(spark, sf_dir), interval_shutin=24, interval_injection=24, order=ORDER, start_filter_hours=EDGE, end_filter_hours=EDGE)
+
+
+@query()
+def workflow_transients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _workflow(spark, sf_dir)
+    return w.shutin.unionByName(w.flowing)
+
+
+@query()
+def workflow_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _workflow(spark, sf_dir).breakpoints
+
+
+@query()
+def workflow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _workflow(spark, sf_dir).weighted_rates
+
+
+@query()
+def plot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plots.bands(G.grid_transients(G.bhp(spark, sf_dir)))
+
+
+# --- regimes and patterns -------------------------------------------------------------------------------------------
+
+
+def _family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three long flowing transients of each well as a time-lapse group."""
+    d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2).filter("transient_id <= 4 and derivative is not null")
+    x = d.groupBy("well_id", "transient_id", F.col("delta_time").alias("time")).agg(F.first("delta_pressure").alias("pressure"), F.avg("derivative").alias("derivative"))
+    return x.filter("time > 0 and derivative > 0").withColumnRenamed("well_id", "group_id")
+
+
+@query()
+def regimes_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"])
+
+
+@query()
+def regimes_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.detect_features(_family(spark, sf_dir)).groupBy("group_id", "transient_id", "regime").agg(F.count(F.lit(1)).alias("n"), F.first("window_length").alias("window_length"), F.first("filter_value").alias("filter_value"))
+
+
+@query()
+def stable_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.get_stable_pattern(regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"]))
+
+
+@query()
+def correlation_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.correlation_analysis(_family(spark, sf_dir))
+
+
+_PAIRS = "daily AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY ALL)"
+
+
+@query(f"""WITH {_PAIRS}, pairs AS (SELECT user_id % 10 AS grp, a.event_type AS a, b.event_type AS b, corr(a.v, b.v) AS c FROM (SELECT *, user_id * 1000 + date_diff('day', DATE '2020-01-01', day) AS at FROM daily) a
+    JOIN (SELECT user_id * 1000 + date_diff('day', DATE '2020-01-01', day) AS at, event_type, v FROM daily) b ON a.at = b.at AND a.event_type < b.event_type GROUP BY ALL)
+    SELECT grp, round(min(abs(c)), 6) AS corr FROM pairs WHERE NOT isnan(c) GROUP BY grp""")
+def min_pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = G.events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.avg("value").alias("v"))
+    x = daily.select((F.col("user_id") % 10).alias("grp"), F.lit(0).alias("w"), "event_type", (F.col("user_id") * 1000 + F.datediff("day", F.lit("2020-01-01").cast("date"))).alias("at"), "v")
+    return patterns.min_pair_correlation(x, ["grp"], "w", "event_type", "at", "v").select("grp", *_r("corr"))

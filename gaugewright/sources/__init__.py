@@ -1 +1 @@
-
+"""The engine's sources."""

@@ -1 +1 @@
-
+"""The engine's streaming."""
