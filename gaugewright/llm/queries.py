@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, repeats, warc
+from gaugewright.llm import bpe, jaccard, licenses, lines, mixing, neighbours, pii, quality, repeats, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,6 +45,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_license_scans, op4_ngram_jaccard_join, op5_bpe, op6_mixing, op8_warc, op9_line_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_license_scans, op4_ngram_jaccard_join, op5_bpe, op6_mixing, op7_nearest_neighbours, op8_warc, op9_line_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
