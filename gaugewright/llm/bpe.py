@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from gaugewright.llm import bytesets as B
 
@@ -272,7 +273,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool
     src = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = src.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)

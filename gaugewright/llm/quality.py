@@ -121,8 +121,8 @@ def filter_documents(docs: DataFrame, host_col: str = "source", rules: Rules = R
     cols = docs.columns
     plain = docs.select(F.col(host_col).cast("string").alias("__host"), "text")
     rejected = host_rates(_measured(plain, ["__host"], rules), "__host", rules).filter("host_rejected").select(F.col("host").alias("__rejected_host"))
-    full = _measured(docs, cols, rules)
-    names = [f"c{i}" for i in range(len(cols))] + list(MEASURES)
-    full = full.toDF(*names).filter(~failed(rules))
+    # numbered names: the documents' own may be those of measures
+    names = [f"c{i}" for i in range(len(cols))]
+    full = _measured(docs.toDF(*names).withColumn("text", F.col(names[cols.index("text")])), names, rules).filter(~failed(rules))
     h = F.col(f"c{cols.index(host_col)}").cast("string")
     return full.join(rejected, h.eqNullSafe(F.col("__rejected_host")), "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
