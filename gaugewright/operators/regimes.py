@@ -40,14 +40,12 @@ class LogTimeWindow:
 
     def frame(self, n: int) -> tuple[int, int]:
         """First and end index of the frame numbered n: it starts one step before window n's start (so frame 0 begins before the data)."""
-        start = self.time[0] + self.step * (n - 1)
-        i = int(np.searchsorted(self.time, start, side="right")) - 1
-        inside = self.time[i:] <= start + self.length
-        stop = int(inside.sum())
-        j = i + stop
-        if stop and self.time[i:][inside][-1] > self.time[-1] - self.step:
-            j = len(self.time)
-        return i, j
+        t, start = self.time, self.time[0] + self.step * (n - 1)
+        i = int(np.searchsorted(t, start, side="right")) - 1
+        j = i + int(np.searchsorted(t[i:], start + self.length, side="right"))
+        # j may be -1 or 0 for frame 0: t[j - 1] then counts from the end, which decides whether it covers all or nothing
+        covered = t[j - 1] if j < len(t) else t[-1]
+        return i, len(t) if covered > t[-1] - self.step else j
 
 
 @dataclass(frozen=True)
@@ -167,20 +165,12 @@ class Transient:
         win.check()
         n = win.count()
         frames = [win.frame(k) for k in range(n + 1)]
-        hits, total = np.zeros(len(t) + 1), np.zeros((len(t) + 1, len(SLOPES)))
+        hits, total = np.zeros(len(t)), np.zeros((len(t), len(SLOPES)))
         for k in range(n):
             d = slope_distances(t[slice(*frames[k + 1])], y[slice(*frames[k + 1])])
             i, j = frames[k]
-            if i < 0:  # a frame that begins before the data counts from the end, as an index does
-                cover = np.arange(len(t)) if j >= len(t) - 1 and j > 0 else np.arange(max(j, 0))
-                step = np.zeros(len(t), bool)
-                step[cover] = True
-                hits[:-1][step] += 1
-                total[:-1][step] += d
-                continue
-            hits[i:j] += 1
-            total[i:j] += d
-        hits, total = hits[:-1], total[:-1]
+            hits[max(i, 0) : max(j, 0)] += 1
+            total[max(i, 0) : max(j, 0)] += d
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(hits[:, None] > 0, total / hits[:, None], np.inf)
         regime = mean.argmin(axis=1)
