@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.llm.store import drop, keep
@@ -55,11 +55,12 @@ def _contract(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
     return keep(every.join(merged, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")), label)
 
 
-def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: int = 8) -> DataFrame:
+def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: int = 6) -> DataFrame:
     """(id, comp) of every id with a link. shared: key, id, size, centre; sizes of linked ids differ by the factor `ratio` at most.
+    A column `small`, if there, says that a row counts where its id is the smaller of a pair.
 
-    Contracting rounds end when one finds no link (or after `rounds`): they only
-    spare work. What is still apart is then compared pair by pair."""
+    Contracting rounds try components against others drawn anew for each key, and
+    end when two find no link (or after `rounds`): they only spare work. What is still apart is then compared pair by pair."""
     spread = shared.filter("centre is null")
     centres = spread.groupBy("key").agg(F.min("id").alias("centre"))
     star = shared.filter("centre is not null").select("id", "centre").union(spread.drop("centre").join(centres, "key").select("id", "centre"))
@@ -67,22 +68,30 @@ def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: i
     best = star.groupBy("id").agg(F.max(F.struct("n", F.negate("centre").alias("c"))).alias("x"))
     links = keep(check(best.select(F.col("id").alias("a"), F.negate("x.c").alias("b"))), f"{label}-star")
     comp = _contract(shared.sparkSession.createDataFrame([], "id long, comp long"), links, f"{label}-comp")
-    for _ in range(rounds):
-        rows = shared.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("lo"), F.max("comp").alias("hi")).filter("lo.comp < hi")
-        rows = keep(rows.join(mixed, "key").select("key", "id", "size", "comp", "lo"), f"{label}-mixed")
-        # of each two components that share a key's centre, the two members that share most keys
-        tries = rows.filter("comp <> lo.comp").groupBy("comp", F.col("lo.comp").alias("other"), "id", F.col("lo.id").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
-        tries = tries.groupBy("comp", "other").agg(F.max(F.struct("n", F.negate("id").alias("a"), F.negate("centre").alias("b"))).alias("x"))
-        links = keep(check(tries.select(F.negate("x.a").alias("a"), F.negate("x.b").alias("b"))), f"{label}-round")
+    idle = 0
+    for r in range(rounds):
+        rows = shared.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        draw = F.struct(F.xxhash64("key", "comp", F.lit(r)).alias("d"), "comp", "id")
+        mixed = rows.groupBy("key").agg(F.min(draw).alias("lo"), F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a < z").select("key", "lo")
+        tries = rows.join(mixed, "key").filter("comp <> lo.comp").groupBy("comp", F.col("lo.comp").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.col("lo.id").alias("centre"))).alias("p"))
+        # each component tries the three others with which it shares most of the drawn keys
+        most = Window.partitionBy("comp").orderBy(F.desc("n"), "other")
+        tries = tries.withColumn("k", F.row_number().over(most)).filter("k <= 3")
+        links = keep(check(tries.select(F.col("p.id").alias("a"), F.col("p.centre").alias("b"))), f"{label}-round")
         if links.isEmpty():
-            break
-        comp = _contract(comp, links, f"{label}-comp")
-    rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp")), f"{label}-rows")
+            idle += 1
+            if idle == 2:
+                break
+        else:
+            idle = 0
+            comp = _contract(comp, links, f"{label}-comp")
+    small = F.col("small") if "small" in shared.columns else F.lit(True).alias("small")
+    rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", small, F.coalesce("comp", "id").alias("comp")), f"{label}-rows")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rows = keep(rows.join(mixed, "key"), f"{label}-mixed")
     x, y = rows.alias("x"), rows.alias("y")
     near = (F.col("x.size") * ratio <= F.col("y.size")) & (F.col("y.size") * ratio <= F.col("x.size"))
+    near &= F.when(F.col("x.size") < F.col("y.size"), F.col("x.small")).when(F.col("x.size") > F.col("y.size"), F.col("y.small")).otherwise(F.col("x.small") | F.col("y.small"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = keep(check(keep(pairs, f"{label}-pairs")), f"{label}-rest")
