@@ -77,7 +77,7 @@ def test_slopes_are_told_apart(slope, code):
 
 def test_flat_then_steep_transient():
     t = np.logspace(-2, 3, 200)
-    d = np.where(t < 10, 3.0, 3.0 * (t / 10) ** 0.364)
+    d = np.where(t < 50, 3.0, 3.0 * (t / 50) ** 0.364)
     fit = Transient.fit(Params(), t, t**0.1, d)
     regime, _, p = fit.optimize()
     assert len(regime) == 500 and {0, 1} <= set(regime.tolist())
