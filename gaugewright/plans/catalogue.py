@@ -291,17 +291,17 @@ def _loglog(spark: SparkSession, sf_dir: str, injection: bool) -> tuple[DataFram
 
 
 def _superposition_sql(status: str) -> str:
-    return _with(f"SELECT well_id, transient_id, seq, {_rs('superposition', 'delta_time')}, round(delta_pressure, 4) + 0.0 AS delta_pressure FROM superposed WHERE status = '{status}'", G.RATES_SQL, _SUPER)
+    return _with(f"SELECT well_id, transient_id, seq, {_rs('superposition')}, {_rs('delta_time', 'delta_pressure', n=4)} FROM superposed WHERE status = '{status}'", G.RATES_SQL, _SUPER)
 
 
 @query(_superposition_sql("shutin"))
 def superposition_shutin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loglog(spark, sf_dir, False)[0].select("well_id", "transient_id", "seq", *_r("superposition", "delta_time"), *_r("delta_pressure", n=4))
+    return _loglog(spark, sf_dir, False)[0].select("well_id", "transient_id", "seq", *_r("superposition"), *_r("delta_time", "delta_pressure", n=4))
 
 
 @query(_superposition_sql("flowing"))
 def superposition_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loglog(spark, sf_dir, True)[0].select("well_id", "transient_id", "seq", *_r("superposition", "delta_time"), *_r("delta_pressure", n=4))
+    return _loglog(spark, sf_dir, True)[0].select("well_id", "transient_id", "seq", *_r("superposition"), *_r("delta_time", "delta_pressure", n=4))
 
 
 _DER = """
@@ -315,10 +315,10 @@ ders AS (SELECT x.well_id, x.transient_id, ks.i, m.superposition, m.delta_pressu
 der AS (SELECT *, (d1 / nullif(x1, 0) * x2 + d2 / nullif(x2, 0) * x1) / nullif(x1 + x2, 0) / ln(10) AS derivative FROM ders)"""
 
 
-@query(_with(f"SELECT well_id, transient_id, {_rs('delta_time')}, round(delta_pressure, 4) + 0.0 AS delta_pressure, round(derivative, 4) + 0.0 AS derivative FROM der", G.RATES_SQL, _SUPER, _DER))
+@query(_with(f"SELECT well_id, transient_id, {_rs('delta_time', 'delta_pressure', n=4)}, round(derivative, 4) + 0.0 AS derivative FROM der", G.RATES_SQL, _SUPER, _DER))
 def bourdet_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2)
-    return d.select("well_id", "transient_id", *_r("delta_time"), *_r("delta_pressure", n=4), (F.round("derivative", 4) + F.lit(0.0)).alias("derivative"))
+    return d.select("well_id", "transient_id", *_r("delta_time", "delta_pressure", n=4), (F.round("derivative", 4) + F.lit(0.0)).alias("derivative"))
 
 
 _NORM = """
@@ -330,13 +330,13 @@ ref AS (SELECT a.well_id, max(CASE WHEN o = pos THEN rate END) AS qr, coalesce(m
 normed AS (SELECT d.*, qr, qp, CASE WHEN z = 0 THEN q WHEN n > 1 THEN z - y ELSE z END AS dq, q FROM der d JOIN own USING (well_id, transient_id) JOIN ref USING (well_id))"""
 
 
-@query(_with("""SELECT well_id, transient_id, round(delta_time, 6) + 0.0 AS delta_time, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,
+@query(_with("""SELECT well_id, transient_id, round(delta_time, 4) + 0.0 AS delta_time, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,
     round(derivative * abs(qr / nullif(q, 0)), 3) + 0.0 AS derivative_saphir, round(derivative * abs((qr - qp) / nullif(q, 0)), 3) + 0.0 AS derivative_autowell FROM normed""", G.RATES_SQL, _SUPER, _DER, _NORM))
 def normalized_loglog(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, steps = _loglog(spark, sf_dir, True)
     ref = steps.groupBy("well_id").agg(F.max_by("rates", "transient_id").alias("ref_rates"))
     n = loglog.normalize(loglog.derivative(s, 0.2), steps, ref)
-    return n.select("well_id", "transient_id", *_r("delta_time"), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
+    return n.select("well_id", "transient_id", *_r("delta_time", n=4), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
 
 
 @query()
