@@ -177,14 +177,16 @@ def build(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     n = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * (K + REVERSE) // PER_BUCKET + 1)
+    # offers are packed by bucket: as many as their number asks for, not as there are partitions
+    buckets = max(2 * spark.sparkContext.defaultParallelism, n * (K + REVERSE) * OFFERS // (2 * PER_BUCKET) + 1)
     blocks = max(1, -(-n // BLOCK))
     start = nodes.select(F.explode(F.array(*[F.pmod(F.xxhash64("u", F.lit(t)), F.lit(blocks)) + t * blocks for t in range(2)])).alias("w"), F.col("u").alias("a"), "q", F.lit(float("-inf")).cast("float").alias("worst"))
-    graph = keep(_merge(_meet(start, parts, parts, K), None, parts), "graph")
+    graph = keep(_merge(_meet(start, parts, buckets, K), None, buckets), "graph")
     for r in range(ROUNDS):
         ends = graph.select("u", F.when(F.size("scores") < K, F.lit(float("-inf"))).otherwise(F.array_min("scores")).cast("float").alias("worst"))
         state = nodes.join(ends, "u", "left").select(F.col("u").alias("a"), "q", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         meet = graph.select(F.col("u").alias("w"), F.explode(F.concat(F.array("u"), "nbrs")).alias("a")).union(_reverse(graph, r)).distinct()
-        new = keep(_merge(_meet(meet.join(state, "a").select("w", "a", "q", "worst"), parts, parts, OFFERS), graph, parts), "graph")
+        new = keep(_merge(_meet(meet.join(state, "a").select("w", "a", "q", "worst"), parts, buckets, OFFERS), graph, buckets), "graph")
         drop(graph)
         graph = new
         _free(nodes)
