@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.llm.store import drop, keep
+from gaugewright.llm.store import drop, free, keep
 
 Check = Callable[[DataFrame], DataFrame]  # pairs (a, b) -> those of them that are linked
 
@@ -85,6 +85,7 @@ def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: i
         else:
             idle = 0
             comp = _contract(comp, links, f"{label}-comp")
+        free(shared.sparkSession)
     small = F.col("small") if "small" in shared.columns else F.lit(True).alias("small")
     rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", small, F.coalesce("comp", "id").alias("comp")), f"{label}-rows")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")

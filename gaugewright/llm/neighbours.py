@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.llm.store import drop, keep
+from gaugewright.llm.store import drop, free, keep
 
 K = 32  # neighbours of a node
 REVERSE = 32  # sampled reverse ones
@@ -164,14 +164,6 @@ def _reverse(graph: DataFrame, salt: int) -> DataFrame:
     return e.join(n, "w").filter(draw * F.col("n") < REVERSE).select("w", "a")
 
 
-def _free(df: DataFrame) -> None:
-    """Let the driver drop shuffle files of rounds that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def build(nodes: DataFrame) -> DataFrame:
     """u, nbrs, scores: the neighbour graph of nodes (u, q)."""
     spark = nodes.sparkSession
@@ -189,7 +181,7 @@ def build(nodes: DataFrame) -> DataFrame:
         new = keep(_merge(_meet(meet.join(state, "a").select("w", "a", "q", "worst"), parts, buckets, OFFERS), graph, buckets), "graph")
         drop(graph)
         graph = new
-        _free(nodes)
+        free(spark)
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= SETTLED * K * n:
             break
@@ -229,7 +221,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
         front = beam.filter("go").select("q", F.col("c").alias("f"))
         more = front.join(ways, "f").select("q", "c", F.lit(0).alias("done"))
         beam = scored(beam.select("q", "c", "done").union(more))
-        _free(nodes)
+        free(spark)
         if beam.filter("go").isEmpty():
             break
     return beam.select("q", "c")

@@ -46,6 +46,11 @@ def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of df whose key may be among those of `wanted` (its one column): a Bloom filter, before a join that decides.
 
     Its size is fixed; where it fills up, more rows pass and the join does the work."""
+    return split(df, key, wanted)[0]
+
+
+def split(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be wanted, and those whose key is not."""
 
     def count(b: pa.RecordBatch, total: np.ndarray) -> None:
         for s in _slots(b.column(0).to_numpy()):
@@ -54,13 +59,17 @@ def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     bits = np.packbits(tally(wanted.select(F.xxhash64(wanted.columns[0]).alias("h")), count, SIEVE, "u1", np.maximum))
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
-    def keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            for s in _slots(b.column(b.num_columns - 1).to_numpy()):
-                ok &= (held[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 > 0
-            if ok.any():
-                yield b.filter(pa.array(ok)).select(range(b.num_columns - 1))
+    def part(passing: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            for b in batches:
+                ok = np.ones(b.num_rows, bool)
+                for s in _slots(b.column(b.num_columns - 1).to_numpy()):
+                    ok &= (held[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 > 0
+                ok = ok if passing else ~ok
+                if ok.any():
+                    yield b.filter(pa.array(ok)).select(range(b.num_columns - 1))
+
+        return df.withColumn("__h", F.xxhash64(key)).mapInArrow(run, df.schema)
 
-    return df.withColumn("__h", F.xxhash64(key)).mapInArrow(keep_rows, df.schema)
+    return part(True), part(False)

@@ -1,5 +1,15 @@
 """Intermediate tables of this folder, kept as the engine keeps its own."""
 
+import gc
+
+from pyspark.sql import SparkSession
+
 from gaugewright.functions.staging import drop, keep, new_path, shared_dir
 
-__all__ = ["drop", "keep", "new_path", "shared_dir"]
+__all__ = ["drop", "free", "keep", "new_path", "shared_dir"]
+
+
+def free(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
