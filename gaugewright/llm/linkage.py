@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.llm.store import drop, free, keep
@@ -55,9 +55,10 @@ def _contract(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
     return keep(every.join(merged, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")), label)
 
 
-def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: int = 6) -> DataFrame:
+def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: int = 6, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, comp) of every id with a link. shared: key, id, size, centre; sizes of linked ids differ by the factor `ratio` at most.
-    A column `small`, if there, says that a row counts where its id is the smaller of a pair.
+    A column `small`, if there, says that a row counts where its id is the smaller of a pair. alike, if given, is a cheap condition on the
+    other columns of two rows (prefixes of their names are given) that every pair to check meets.
 
     Contracting rounds try components against others drawn anew for each key, and
     end when two find no link (or after `rounds`): they only spare work. What is still apart is then compared pair by pair."""
@@ -87,12 +88,15 @@ def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: i
             comp = _contract(comp, links, f"{label}-comp")
         free(shared.sparkSession)
     small = F.col("small") if "small" in shared.columns else F.lit(True).alias("small")
-    rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", small, F.coalesce("comp", "id").alias("comp")), f"{label}-rows")
+    more = [c for c in shared.columns if c not in ("key", "id", "size", "centre", "small")]
+    rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", small, F.coalesce("comp", "id").alias("comp"), *more), f"{label}-rows")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rows = keep(rows.join(mixed, "key"), f"{label}-mixed")
     x, y = rows.alias("x"), rows.alias("y")
     near = (F.col("x.size") * ratio <= F.col("y.size")) & (F.col("y.size") * ratio <= F.col("x.size"))
     near &= F.when(F.col("x.size") < F.col("y.size"), F.col("x.small")).when(F.col("x.size") > F.col("y.size"), F.col("y.small")).otherwise(F.col("x.small") | F.col("y.small"))
+    if alike is not None:
+        near &= alike("x.", "y.")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = keep(check(keep(pairs, f"{label}-pairs")), f"{label}-rest")

@@ -303,3 +303,37 @@ def test_mixing_reaches_targets(spark, empty):
     assert out.schema == docs.schema and not any(i and i < 600 and i % 3 == 2 for i in ids) and all(ids[i] == 1 for i in range(0, 600, 3))
     assert mixing.report(empty, lab).count() == 0
     assert mixing.resample(docs, lab.filter("false")).count() == len(rows)
+
+
+def levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def planted(rng: random.Random, altered: int) -> list[tuple[str, str]]:
+    """Lines of 5 to 100 words and copies: one letter altered, or a tenth of the characters."""
+    out = []
+    for n in (5, 10, 20, 50, 100):
+        for _ in range(20):
+            s = " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(5, 9))) for _ in range(n))
+            t = list(s)
+            for p in rng.sample(range(len(s)), altered or len(s) // 10):
+                t[p] = rng.choice("xyzq")
+            out.append((s, "".join(t)))
+    return out
+
+
+@pytest.mark.parametrize("altered, least", [(1, 1.0), (0, 0.95)])
+def test_lines_recall_on_planted_copies(spark, altered, least):
+    pairs = planted(random.Random(7), altered)
+    assert all(levenshtein(s, t) <= 0.1 * len(s) for s, t in pairs)
+    got = lines.report(spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in range(2)], "doc_id long, text string")).toPandas()
+    by = got.set_index("doc_id")["n_removed"]
+    assert by[by.index % 2 == 0].eq(0).all()  # unlike lines stay
+    recall = by[by.index % 2 == 1].mean()
+    print("recall", altered, recall)
+    assert recall >= least
