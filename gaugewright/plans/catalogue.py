@@ -433,8 +433,8 @@ def plot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three long flowing transients of each well as a time-lapse group."""
-    d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2).filter("transient_id <= 4 and derivative is not null")
+    """The flowing transients of each well as a time-lapse group."""
+    d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2).filter("derivative is not null")
     x = d.groupBy("well_id", "transient_id", F.col("delta_time").alias("time")).agg(F.first("delta_pressure").alias("pressure"), F.avg("derivative").alias("derivative"))
     return x.filter("time > 0 and derivative > 0").withColumnRenamed("well_id", "group_id")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.operators import ingest, lmir, loglog, patterns, rare, regimes, scores, tpmr, workflow
 from gaugewright.plans import catalogue
+from gaugewright.plans import gauges as G
 from gaugewright.sources import files, plots
 from gaugewright.streaming import rates as live
 
@@ -186,3 +187,25 @@ def test_live_windows_equal_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).toPandas()
     assert len(got) >= 8 and (got["n"] == 6).all() and pd.api.types.is_float_dtype(got["mean"])
+
+
+@pytest.fixture(scope="module")
+def long_history(spark, tmp_path_factory):
+    """A folder with the events of one well: a sample an hour over 26 days."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    rows = [(k, 1, ["view", "click"][k % 2], 50 + 10 * math.sin(k / 9) + 3 * math.sin(k / 2.3) + k % 5, k) for k in range(26 * 24)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, h int")
+    e.withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, h)").cast("timestamp_ntz")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_time_lapse_queries_see_all_flowing_transients(spark, long_history):
+    every = {r.transient_id for r in G.grid_transients(G.bhp(spark, long_history)).filter("status = 'flowing'").collect()}
+    assert len(every) > 7
+    family = catalogue._family(spark, long_history).cache()
+    assert {r.transient_id for r in family.select("transient_id").distinct().collect()} == every
+    assert {r.transient_id for r in catalogue.regimes_fixed(spark, long_history).select("transient_id").distinct().collect()} == every
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(catalogue.stable_pattern(spark, long_history)) == key(patterns.get_stable_pattern(regimes.classify(family, ["group_id", "transient_id"])))
+    assert key(catalogue.correlation_intervals(spark, long_history)) == key(patterns.correlation_analysis(family))
+    assert {r.transient_id for r in catalogue.regimes_optimized(spark, long_history).select("transient_id").distinct().collect()} == every
