@@ -342,7 +342,7 @@ def normalized_loglog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def uncertainty_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2)
-    return loglog.envelope(d, ["well_id"], points=100)
+    return loglog.envelope(d, ["well_id"])
 
 
 # --- quality --------------------------------------------------------------------------------------------------------

@@ -209,3 +209,8 @@ def test_time_lapse_queries_see_all_flowing_transients(spark, long_history):
     assert key(catalogue.stable_pattern(spark, long_history)) == key(patterns.get_stable_pattern(regimes.classify(family, ["group_id", "transient_id"])))
     assert key(catalogue.correlation_intervals(spark, long_history)) == key(patterns.correlation_analysis(family))
     assert {r.transient_id for r in catalogue.regimes_optimized(spark, long_history).select("transient_id").distinct().collect()} == every
+
+
+def test_envelope_query_has_the_default_grid(spark, long_history):
+    got = catalogue.uncertainty_envelope(spark, long_history)
+    assert got.groupBy("well_id").count().collect()[0]["count"] == 500
