@@ -14,8 +14,9 @@ A node's list and beam have fixed sizes; samples of reverse neighbours are drawn
 by rate, as in the method, so that a node which is near to very many has no long
 list anywhere. Recall is measured against brute force in the tests.
 
-Defined cases: vectors that are null, zero, of another length than the longest,
-or hold null or non-finite components take no part, nor do rows without an id;
+Defined cases: vectors that are null, zero, or hold null or non-finite components
+take no part, nor do rows without an id; nor those of another length than the most
+frequent one of the rest (of equally frequent ones the longest);
 ties go to the smaller vec_id; an empty table gives no rows; fewer candidates
 than asked for are all returned if one block holds them; extra columns are not read."""
 
@@ -46,8 +47,9 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     x = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall(v, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False))) & F.exists(v, lambda e: e != 0)
     x = x.filter(fine)
-    longest = x.agg(F.max(F.size("v")).alias("d"))  # one row
-    return x.join(F.broadcast(longest), F.size("v") == F.col("d")).drop("d")
+    sizes = x.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    usual = sizes.agg(F.max(F.struct("n", "d")).alias("x")).select("x.d")  # one row
+    return x.join(F.broadcast(usual), F.size("v") == F.col("d")).drop("d")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 60_000) -> Iterator[pa.RecordBatch]:

@@ -84,3 +84,11 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(200, 200), (7, 3), (160, 159)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 161)}
+
+
+def test_neighbours_of_the_usual_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 12)))]
+    df = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, neighbours.nearest(df([*rows, (40, [1.0] * 13)]), every=10).collect()))
+    assert {r[0] for r in got} == {0, 10, 20} and got == sorted(map(tuple, neighbours.nearest(df(rows), every=10).collect()))
