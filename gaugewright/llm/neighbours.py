@@ -7,7 +7,7 @@ vectors; any two that meet there are neighbours of neighbours, and are offered
 to each other if they beat what the other has. Queries then search greedily from
 their own node: the best unexpanded nodes of a beam are joined to their
 neighbours, scored, and kept if they are among the best. Vectors travel as bytes
-(int8 at the scale of the largest component); the beam is finally scored on the
+(int8 at the scale of their own largest component, and that scale); the beam is finally scored on the
 original vectors in double precision, and the best are returned.
 
 A node's list and beam have fixed sizes; samples of reverse neighbours are drawn
@@ -75,7 +75,9 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 60_0
 
 def _matrix(column: pa.Array) -> np.ndarray:
     size = len(column[0].as_buffer())
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.int8).reshape(-1, size).astype(np.float32)
+    raw = np.frombuffer(b"".join(x.as_buffer() for x in column), np.int8).reshape(-1, size)
+    scale = np.ascontiguousarray(raw[:, -4:]).view("<f4")
+    return raw[:, :-4].astype(np.float32) * scale
 
 
 def _bounds(key: np.ndarray) -> np.ndarray:
@@ -236,16 +238,19 @@ def nearest(df: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_i
     held = keep(rows.join(reps, "v").select("u", "vec_id"), "vector-ids")
     first = Window.partitionBy("u").orderBy("vec_id")
     least = held.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1).drop("n")  # equal scores go to the smaller ids
-    peak = reps.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("peak"))  # one row
+    largest = F.array_max(F.transform("v", F.abs))
+    middle = reps.agg(F.avg(F.log(largest)).alias("middle"))  # one row: scales are kept near 1, so that products stay in range
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) / b.column(2).to_numpy()[:, None]
-                x = np.rint(127 * x).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["u", "q"])
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                own = np.abs(x).max(axis=1)
+                scale = np.exp(np.clip(np.log(own) - b.column(2).to_numpy(), -34, 34)) / 127
+                x = np.rint(127 * (x / own[:, None])).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() + s.tobytes() for v, s in zip(x, scale.astype("<f4"), strict=True)], pa.binary())], names=["u", "q"])
 
-    nodes = keep(reps.crossJoin(F.broadcast(peak)).select("u", "v", "peak").mapInArrow(shrink, "u long, q binary"), "vector-bytes")
+    nodes = keep(reps.crossJoin(F.broadcast(middle)).select("u", "v", "middle").mapInArrow(shrink, "u long, q binary"), "vector-bytes")
     asked = held.filter(F.col("vec_id") % every == 0)
     found = search(nodes, build(nodes), asked.select("u").distinct())
     side = lambda a: reps.select(F.col("u").alias(a), F.col("v").alias(f"v{a}"))

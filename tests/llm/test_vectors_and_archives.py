@@ -92,3 +92,15 @@ def test_neighbours_of_the_usual_length(spark):
     df = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, neighbours.nearest(df([*rows, (40, [1.0] * 13)]), every=10).collect()))
     assert {r[0] for r in got} == {0, 10, 20} and got == sorted(map(tuple, neighbours.nearest(df(rows), every=10).collect()))
+
+
+def test_neighbours_recall_beside_huge_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
+    x[[11, 501, 1001]] *= 5000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, top=20).toPandas()
+    want = brute(rows, 20, 20)
+    hit = sum(len(set(got.loc[got["query_id"] == q, "vec_id"]) & {j for _, j in best}) for q, best in want.items())
+    print("recall", hit / (20 * len(want)))
+    assert hit / (20 * len(want)) >= 0.9
