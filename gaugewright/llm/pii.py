@@ -6,13 +6,15 @@ point spans. The regular expressions are rewritten so that no text makes them
 back-track over a run: they start only where a run starts or the last match
 ended, and their runs are possessive; the matches are those of the plain forms.
 
-Bootstrapping: words with a digit or an at sign are instances; those in a base
-span are seeds of its kind. The words around an instance (left one, left two,
+Bootstrapping: base spans are instances, whole and seeds of their kind; so are runs
+of words with a digit or an at sign outside of them. The words around an instance (left one, left two,
 left and right) are its patterns. Over the graph of patterns and instances, a
 few rounds score patterns by the share of their instances' scores, smoothed, and
 instances by their best pattern; seeds keep the score 1. Patterns that end over
 min_confidence with enough distinct seeds mark further instances, if these have
-the outline (letters, digits and marks as classes) of a seed of the kind.
+a shape close to the seeds of the kind: an at sign within where all of those have
+one, else from half to one and a half times as many digits; marks and letters as
+those have them.
 All sums are map-side combined; tables of patterns are joined, never collected.
 
 Defined cases: null and empty texts have no spans; a row is known by its place,
@@ -36,8 +38,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit or an at sign, with no mark at its end.
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_NUMBER = r"[+(]*+[0-9][0-9().:+-]*+(?![^\x20\x09-\x0D,;!?])"
+#: Words of digits and their marks with single spaces between; or a word with a digit or an at sign.
+INSTANCE = rf"(?<![^\x20\x09-\x0D])(?:{_NUMBER}(?:\x20{_NUMBER})*+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": ""}
 
 
@@ -111,19 +114,28 @@ def _word(side: Column, which: int) -> Column:
     return F.coalesce(F.try_element_at(words, F.lit(which)), F.lit(""))
 
 
-def _outline(m: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), "[0-9]+", "9")
+def _shape(m: Column) -> list[Column]:
+    """Digits, other marks than spaces, letters and an at sign within."""
+    count = lambda p: F.char_length(F.regexp_replace(m, p, ""))
+    return [count("[^0-9]").alias("digits"), count(r"[\p{L}\p{N}\x20]").alias("marks"), m.rlike(r"\p{L}").alias("letters"), m.rlike("[^@]@[^@]").alias("sign")]
 
 
 def discovered(found: DataFrame, base: DataFrame, setting: Bootstrap = Bootstrap()) -> DataFrame:
     """at, kind, start, end of the instances that confident patterns reveal and that no base span touches."""
     inst = _spans(found, "instance")
+    beside = Window.partitionBy("at").orderBy("start")  # context runs over the instances next to one
+    before = F.concat(F.coalesce(F.lag("left").over(beside), F.lit("")), F.coalesce(F.lag("m").over(beside), F.lit("")), "left")
+    behind = F.concat("right", F.coalesce(F.lead("m").over(beside), F.lit("")), F.coalesce(F.lead("right").over(beside), F.lit("")))
+    around = F.lit(setting.context)
+    inst = inst.select("at", "start", "end", "m", F.right(before, around).alias("left"), F.left(behind, around).alias("right"))
     edge = F.char_length(F.regexp_extract("m", r"[^\p{L}\p{N}]*$", 0))
     inst = inst.select("at", "start", (F.col("end") - edge).alias("end"), F.regexp_replace("m", r"[^\p{L}\p{N}]*$", "").alias("m"), "left", "right").filter(F.col("end") > F.col("start"))
     touch = base.select("at", F.col("start").alias("s"), F.col("end").alias("e"), "kind")
     hit = (inst["at"] == touch["at"]) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    inst = inst.join(touch, hit, "left").select(inst["at"], "start", "end", "m", "left", "right", "kind")
-    inst = inst.groupBy("at", "start", "end", "m", "left", "right").agg(F.min("kind").alias("seed"))
+    inst = keep(inst.join(touch, hit, "left").select(inst["at"], "start", "end", "m", "left", "right", "s", "e", "kind"), "pii-touch")
+    # a base span is one instance, with the context around it
+    whole = inst.filter("kind is not null").groupBy("at", "s", "e", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "m"))), lambda x: x["m"]), " ").alias("m"), F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"))
+    inst = inst.filter("kind is null").drop("s", "e").unionByName(whole.drop("s", "e")).withColumnRenamed("kind", "seed")
     one, two, after = _word(F.col("left"), -1), _word(F.col("left"), -2), _word(F.col("right"), 1)
     patterns = F.array(F.concat(F.lit("L1:"), one), F.concat(F.lit("L2:"), two, F.lit(" "), one), F.concat(F.lit("LR:"), one, F.lit(" | "), after))
     inst = keep(inst.filter(one != "").withColumn("p", F.explode(patterns)).select("at", "start", "end", "m", "seed", "p"), "pii-instances")
@@ -138,8 +150,11 @@ def discovered(found: DataFrame, base: DataFrame, setting: Bootstrap = Bootstrap
         seeds = edges.filter("seed is not null").select("m", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
         scores = found_scores.unionByName(seeds).groupBy("m", "kind").agg(F.max("score").alias("score"))
     strong = conf.filter(F.col("conf") >= setting.min_confidence)
-    outlines = inst.filter("seed is not null").select(F.col("seed").alias("kind"), _outline(F.col("m")).alias("outline")).distinct()
-    new = inst.filter("seed is null").filter(F.char_length("m") >= setting.min_chars).join(strong, "p").withColumn("outline", _outline(F.col("m"))).join(outlines, ["kind", "outline"], "left_semi")
+    seeds = inst.filter("seed is not null").select(F.col("seed").alias("kind"), *_shape(F.col("m")))
+    usual = seeds.groupBy("kind").agg(F.min("digits").alias("least"), F.max("digits").alias("most"), F.min(F.least("marks", F.lit(1))).alias("some"), F.max("letters").alias("may"), F.min("sign").alias("must"), F.max("sign").alias("can"))
+    new = inst.filter("seed is null").filter(F.char_length("m") >= setting.min_chars).join(strong, "p").select("at", "start", "end", "kind", "conf", *_shape(F.col("m"))).join(usual, "kind")
+    # close to the seeds: half as many digits up to half as many more, marks, letters and an at sign as they have them
+    new = new.filter((2 * F.col("digits") >= F.col("least")) & (2 * F.col("digits") <= 3 * F.col("most")) | F.col("must")).filter((F.col("marks") >= F.col("some")) & (F.col("may") | ~F.col("letters")) & (F.col("sign") | ~F.col("must")) & (F.col("can") | ~F.col("sign")))
     return new.groupBy("at", "start", "end").agg(F.max_by("kind", F.struct("conf", F.negate("kind"))).alias("kind"))
 
 

@@ -337,3 +337,17 @@ def test_lines_recall_on_planted_copies(spark, altered, least):
     recall = by[by.index % 2 == 1].mean()
     print("recall", altered, recall)
     assert recall >= least
+
+
+def test_pii_unseen_forms_are_found(spark):
+    rng = random.Random(9)
+    around = lambda m, lead: f"{' '.join(prose(rng, 9))} {lead} {m} {' '.join(prose(rng, 9))}"
+    rows = [(i, around(f"+1 (743) 555-{1000 + i * 37}", "call me at")) for i in range(60)]
+    rows += [(100 + i, around(f"user{i}@mail.example.com", "write to box")) for i in range(60)]
+    new = {200: ("phone", "555-3824", "call me at"), 201: ("phone", "(743) 555-3824", "call me at"), 202: ("email", "user7@mail", "write to box")}
+    texts = {i: around(m, lead) for i, (_, m, lead) in new.items()}
+    got = pii.report(spark.createDataFrame([*rows, *texts.items()], "doc_id long, text string")).toPandas().set_index("doc_id")
+    for i, (kind, m, _) in new.items():
+        at = texts[i].index(m)
+        assert got.loc[i, "spans"] == f"{kind}:{at}:{at + len(m)}", i
+    assert got.loc[range(60), "n_phone"].eq(1).all() and got.loc[range(200, 203), ["n_phone", "n_email"]].eq(0).all().all()
