@@ -351,3 +351,15 @@ def test_pii_unseen_forms_are_found(spark):
         at = texts[i].index(m)
         assert got.loc[i, "spans"] == f"{kind}:{at}:{at + len(m)}", i
     assert got.loc[range(60), "n_phone"].eq(1).all() and got.loc[range(200, 203), ["n_phone", "n_email"]].eq(0).all().all()
+
+
+def test_jaccard_links_by_class_not_by_id(spark):
+    rng = random.Random(3)
+    words = prose(rng, 60)
+    middle = [*words[:55], *prose(rng, 5)]
+    ends, other = [*prose(rng, 5), *middle[5:]], " ".join(prose(rng, 60))
+    # the text that links the others stands on a row without an id, or with the id of another text
+    for key in (None, 0):
+        rows = [(1, " ".join(words)), (key, " ".join(middle)), (0, other), (3, " ".join(ends))]
+        got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len({r.component_id for r in got if r.doc_id in (1, 3)}) == 1, key
