@@ -1,7 +1,7 @@
 """Vectorised words, lines and hashes over the UTF-8 bytes of many texts at once.
 
-A chunk is a run of whole texts joined by newlines, a few MB long, so that the
-eight-byte arrays of a worker stay bounded whatever the batch size (one text
+A chunk is a run of whole texts joined by newlines, a quarter of a MB long, so that
+the eight-byte arrays of a worker stay bounded and in its cache whatever the batch size (one text
 longer than a chunk is a chunk of its own). Span hashes are differences of a
 prefix sum of T[byte] * p**position modulo 2**64, moved to position 0 by the
 inverse power and mixed: equal spans have equal hashes wherever they start, and
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)

@@ -1,23 +1,140 @@
 """Connected groups of a similarity relation that is given by shared keys and an exact check.
 
-Rows (key, id, size, centre) name the ids that share a key; centre is the least
-id of the key, null where a key is so frequent that its rows were spread. All
-pairs of a group are never made: first each id is checked against the centre it
-shares most keys with, then components against the least component of a key, by
-the two members that share most keys, which contracts large groups of near
-copies; after that only pairs across what is still apart are made, and checked,
-so that no link between two groups is lost."""
+Three steps. index() finds the keys that two ids share, with index entries
+packed as arrays, one row for a batch and bucket. contract() joins what is
+plainly alike: each id is checked against the centre (least id) it shares most
+keys with, then components against components drawn anew for each key, so a
+large group of near copies becomes one component by a number of checks in
+proportion to its rows. across() then compares ids of different components: the
+members of a key are dealt into pieces of bounded bytes, pieces meet in pairs in
+tasks of their own, and a task emits only those pairs that a cheap test of small
+signatures leaves, so no link between two groups is lost and no table of all
+pairs of a key is ever made."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.llm import bytesets as B
 from gaugewright.llm.store import drop, free, keep
 
 Check = Callable[[DataFrame], DataFrame]  # pairs (a, b) -> those of them that are linked
+PER_PACK = 300_000  # index entries that a task packs at once
+PER_BUCKET = 400_000  # index entries that one task sorts
+PIECE = 1 << 19  # bytes of the members of a key in one piece
+SLAB = 1 << 20  # pairs that a task looks at at once
+SPREAD, SMALL = 1, 2  # flags of an entry
+U = np.uint64
+
+
+@dataclass
+class Entries:
+    """Index entries: key and id of each, the id's size, where in it the key stands, flags; and the ids that have joined a component, with it."""
+
+    key: np.ndarray
+    id: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    flags: np.ndarray
+    moved: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def binaries(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one array, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.ascontiguousarray(data).view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
+
+
+def _paired(key: np.ndarray, value: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which entries have another of the same key whose value is at most `most` away: in order of values, the one before or after."""
+    order = np.lexsort((value, key))
+    k, v, m = key[order], value[order].astype(np.int64), most[order]
+    near = (k[1:] == k[:-1]) & (v[1:] - v[:-1] <= np.maximum(m[1:], m[:-1]))
+    out = np.zeros(len(k), bool)
+    out[order[1:]] |= near
+    out[order[:-1]] |= near
+    return out
+
+
+def index(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]], total: int, ratio: float, slip: float = np.inf) -> DataFrame:
+    """key, id, size, at, small, comp, centre of every entry whose key is shared by two components, where
+    another entry has a size within the factor `ratio` and a place within `slip` of its size.
+
+    total: about how many entries there are. centre: the least id of the key (the entry's
+    own, if sizes or places keep the two apart); null where an entry is marked SPREAD: such rows are dealt over all buckets, come out
+    whether shared or not, and are for Spark to group."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_BUCKET + 1)
+    buckets = 4 * parts  # so that tasks get about as many each
+
+    def packed(held: list[Entries]) -> pa.RecordBatch:
+        key, ids, size, at, flags = (np.concatenate([getattr(x, f) for x in held]) for f in ("key", "id", "size", "at", "flags"))
+        moved = np.unique(np.concatenate([np.stack(x.moved, axis=1) for x in held]), axis=0).astype(np.int64).tobytes()
+        spread = flags & SPREAD > 0
+        bucket = (np.where(spread, B.mix(key ^ ids.view(U)), key) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        pack = lambda a, t: pa.array([x[cut[i] : cut[i + 1]].tobytes() for x in [a[order].astype(t)] for i in full], pa.binary())
+        cols = [pa.array(full, pa.int32()), pack(key, U), pack(ids, np.int64), pack(size, "<i4"), pack(at, "<i4"), pack(flags, "u1"), pa.array([moved] * len(full), pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["bucket", "k", "c", "s", "p", "f", "m"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for e in entries(b):
+                held.append(e)
+                n += len(e.key)
+                if n >= PER_PACK:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, ids, size, at, flags, moved = (np.concatenate([binaries(b.column(i), t)[0] for b in parts]) for i, t in ((1, "u8"), (2, "i8"), (3, "i4"), (4, "i4"), (5, "u1"), (6, "i8")))
+        order = np.lexsort((ids, key))
+        order = order[np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])))]
+        key, ids, size, at, flags = (x[order] for x in (key, ids, size, at, flags))
+        spread = flags & SPREAD > 0
+        ok = _paired(key, size, (1 / ratio - 1) * size + 1e-6)
+        if np.isfinite(slip):
+            ok &= _paired(key, at, slip / ratio * size)  # a partner may be larger by 1 / ratio
+        ok |= spread
+        if not ok.any():
+            return
+        key, ids, size, at, flags = (x[ok] for x in (key, ids, size, at, flags))
+        moved = np.unique(moved.reshape(-1, 2), axis=0)
+        comp = ids.copy()
+        if len(moved):
+            place = np.minimum(np.searchsorted(moved[:, 0], ids), len(moved) - 1)
+            comp = np.where(moved[place, 0] == ids, moved[place, 1], ids)
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+        mixed = np.minimum.reduceat(comp, head) < np.maximum.reduceat(comp, head)
+        mixed &= np.bitwise_or.reduceat(flags, head) & SMALL > 0  # a pair needs an entry of its smaller set
+        spread = spread[ok]
+        out = mixed[run] | spread
+        first = head[run]  # ids are in order within a key
+        near = (np.minimum(size, size[first]) >= ratio * np.maximum(size, size[first])) & (np.abs(at - at[first]) <= slip * np.maximum(size, size[first]))
+        least = np.where(near, ids[first], ids)[out]
+        cols = [key[out].view(np.int64), ids[out], size[out], at[out], flags[out] & SMALL > 0, comp[out]]
+        full = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(least, mask=spread[out])], names=["key", "id", "size", "at", "small", "comp", "centre"])
+        for i in range(0, full.num_rows, 50_000):
+            yield full.slice(i, 50_000)
+
+    rows = df.mapInArrow(emit, "bucket int, k binary, c binary, s binary, p binary, f binary, m binary")
+    return rows.repartition(parts, "bucket").mapInArrow(group, "key long, id long, size int, at int, small boolean, comp long, centre long")
 
 
 def _same(df: DataFrame) -> tuple:
@@ -46,58 +163,128 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def _contract(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
+def merge(comp: DataFrame | None, links: DataFrame, label: str) -> DataFrame:
     """comp (id, comp) after links (a, b) between ids; ids that no link has named yet are their own component."""
+    if comp is None:
+        return keep(components(links, label), label)
     side = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
-    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(named, label).select(F.col("id").alias("comp"), F.col("comp").alias("into"))
     every = comp.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp")))
     return keep(every.join(merged, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")), label)
 
 
-def resolve(shared: DataFrame, check: Check, ratio: float, label: str, rounds: int = 6, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """(id, comp) of every id with a link. shared: key, id, size, centre; sizes of linked ids differ by the factor `ratio` at most.
-    A column `small`, if there, says that a row counts where its id is the smaller of a pair. alike, if given, is a cheap condition on the
-    other columns of two rows (prefixes of their names are given) that every pair to check meets.
+def contract(shared: DataFrame, check: Check, ratio: float, label: str, slip: float = np.inf, rounds: int = 1) -> DataFrame:
+    """(id, comp) of the ids that checks against centres and drawn components have linked.
 
-    Contracting rounds try components against others drawn anew for each key, and
-    end when two find no link (or after `rounds`): they only spare work. What is still apart is then compared pair by pair."""
+    Rounds end when one finds no link, or after `rounds`: they only spare work, the
+    links that they leave are found by across()."""
     spread = shared.filter("centre is null")
     centres = spread.groupBy("key").agg(F.min("id").alias("centre"))
-    star = shared.filter("centre is not null").select("id", "centre").union(spread.drop("centre").join(centres, "key").select("id", "centre"))
+    star = shared.filter("centre is not null").select("id", "centre").union(spread.select("key", "id").join(centres, "key").select("id", "centre"))
     star = star.filter("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("n"))
     best = star.groupBy("id").agg(F.max(F.struct("n", F.negate("centre").alias("c"))).alias("x"))
     links = keep(check(best.select(F.col("id").alias("a"), F.negate("x.c").alias("b"))), f"{label}-star")
-    comp = _contract(shared.sparkSession.createDataFrame([], "id long, comp long"), links, f"{label}-comp")
-    idle = 0
+    comp = merge(None, links, f"{label}-comp")
+    drop(links)
     for r in range(rounds):
-        rows = shared.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        draw = F.struct(F.xxhash64("key", "comp", F.lit(r)).alias("d"), "comp", "id")
+        rows = shared.select("key", "id", "size", "at").join(comp, "id", "left").select("key", "id", "size", "at", F.coalesce("comp", "id").alias("comp"))
+        draw = F.struct(F.xxhash64("key", "comp", F.lit(r)).alias("d"), "comp", "id", "size", "at")
+        larger, smaller = F.greatest("size", "lo.size"), F.least("size", "lo.size")
+        near = (smaller >= ratio * larger) & (F.abs(F.col("at") - F.col("lo.at")) <= slip * larger)
         mixed = rows.groupBy("key").agg(F.min(draw).alias("lo"), F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a < z").select("key", "lo")
-        tries = rows.join(mixed, "key").filter("comp <> lo.comp").groupBy("comp", F.col("lo.comp").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.col("lo.id").alias("centre"))).alias("p"))
-        # each component tries the three others with which it shares most of the drawn keys
+        tries = rows.join(mixed, "key").filter("comp <> lo.comp").filter(near).groupBy("comp", F.col("lo.comp").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.col("lo.id").alias("centre"))).alias("p"))
+        # each component tries the other with which it shares most of the drawn keys
         most = Window.partitionBy("comp").orderBy(F.desc("n"), "other")
-        tries = tries.withColumn("k", F.row_number().over(most)).filter("k <= 3")
+        tries = tries.withColumn("k", F.row_number().over(most)).filter("k = 1")
         links = keep(check(tries.select(F.col("p.id").alias("a"), F.col("p.centre").alias("b"))), f"{label}-round")
-        if links.isEmpty():
-            idle += 1
-            if idle == 2:
-                break
-        else:
-            idle = 0
-            comp = _contract(comp, links, f"{label}-comp")
+        last, old = links.isEmpty(), comp
+        if not last:
+            comp = merge(old, links, f"{label}-comp")
+            drop(old)
+        drop(links)
         free(shared.sparkSession)
-    small = F.col("small") if "small" in shared.columns else F.lit(True).alias("small")
-    more = [c for c in shared.columns if c not in ("key", "id", "size", "centre", "small")]
-    rows = keep(shared.join(comp, "id", "left").select("key", "id", "size", small, F.coalesce("comp", "id").alias("comp"), *more), f"{label}-rows")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rows = keep(rows.join(mixed, "key"), f"{label}-mixed")
-    x, y = rows.alias("x"), rows.alias("y")
-    near = (F.col("x.size") * ratio <= F.col("y.size")) & (F.col("y.size") * ratio <= F.col("x.size"))
-    near &= F.when(F.col("x.size") < F.col("y.size"), F.col("x.small")).when(F.col("x.size") > F.col("y.size"), F.col("y.small")).otherwise(F.col("x.small") | F.col("y.small"))
-    if alike is not None:
-        near &= alike("x.", "y.")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = keep(check(keep(pairs, f"{label}-pairs")), f"{label}-rest")
-    return _contract(comp, rest, f"{label}-comp")
+        if last:
+            break
+    return comp
+
+
+@dataclass
+class Members:
+    """Of one piece of a key."""
+
+    id: np.ndarray
+    comp: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    small: np.ndarray
+    sig: np.ndarray  # bytes of all signatures
+    start: np.ndarray  # where each begins in sig
+    width: np.ndarray  # how many bytes it has
+
+
+#: Members x and y, and the numbers i, j in them of the pairs to test -> which pairs may be linked.
+Test = Callable[[Members, Members, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _members(column: pa.Array) -> list[Members]:
+    flat = column.flatten()
+    cut = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    of = {flat.type.field(i).name: x for i, x in enumerate(flat.flatten())}
+    sig, width = binaries(of["sig"], "u1")
+    start = np.cumsum(width) - width
+    cols = [of[x].to_numpy(zero_copy_only=False) for x in ("id", "comp", "size", "at", "small")]
+    return [Members(*(x[a:z] for x in cols), sig, start[a:z], width[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _candidates(x: Members, y: Members, same: bool, ratio: float, slip: float, test: Test) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    step = max(1, SLAB // max(1, len(y.id)))
+    for a in range(0, len(x.id), step):
+        s = slice(a, a + step)
+        p, q = x.size[s, None].astype(float), y.size[None, :].astype(float)
+        ok = (x.comp[s, None] != y.comp[None, :]) & (p * ratio <= q) & (q * ratio <= p)
+        if np.isfinite(slip):
+            ok &= np.abs(x.at[s, None] - y.at[None, :]) <= slip * np.maximum(p, q)
+        ok &= np.where(p < q, x.small[s, None], np.where(p > q, y.small[None, :], x.small[s, None] | y.small[None, :]))
+        if same:
+            ok &= np.arange(len(y.id))[None, :] > np.arange(a, min(a + step, len(x.id)))[:, None]
+        i, j = np.nonzero(ok)
+        if len(i):
+            i = i + a
+            may = test(x, y, i, j)
+            p, q = x.id[i[may]], y.id[j[may]]
+            out.append((np.minimum(p, q), np.maximum(p, q)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def across(rows: DataFrame, comp: DataFrame | None, sigs: Callable[[DataFrame], DataFrame], width: Column, ratio: float, test: Test, label: str, slip: float = np.inf) -> DataFrame:
+    """Pairs (a, b) of ids in different components that share a key, have sizes within the factor `ratio`, places of it
+    within `slip` of the larger size, an entry of the smaller one marked small, and pass the test.
+
+    rows: key, id, size, at, small (and comp, if `comp` is None); comp: id, comp; sigs: (wanted ids) -> id, sig; width: bounds a signature's bytes."""
+    if comp is not None:
+        rows = rows.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = keep(rows.select("key", "id", "size", "at", "small", "comp", width.alias("bytes")), f"{label}-rows")
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.sum(F.col("bytes") + 32) / PIECE).alias("pieces")).filter("lo < hi")
+    mixed = keep(rows.join(keys.select("key", "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))), f"{label}-mixed")
+    drop(rows)
+    sig = sigs(mixed.select("id").distinct())
+    wide = mixed.join(sig, "id")
+    packs = wide.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "comp", "size", "at", "small", "sig")).alias("m"))  # PIECE bytes, as dealt
+    packs = keep(packs, f"{label}-packs")
+    x = packs.select("key", F.col("piece").alias("p"), F.col("m").alias("x")).join(packs.select("key", F.col("piece").alias("q"), F.col("m").alias("y")), "key").filter("p <= q").select("p", "q", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(np.zeros(0, np.int64),) * 2]
+            for p, q, xs, ys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _members(b.column(2)), _members(b.column(3)), strict=True):
+                found.append(_candidates(xs, ys, p == q, ratio, slip, test))
+            pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    out = keep(x.mapInArrow(compare, "a long, b long").distinct(), f"{label}-pairs")
+    drop(packs)
+    drop(mixed)
+    return out
