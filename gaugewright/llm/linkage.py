@@ -273,6 +273,7 @@ def across(rows: DataFrame, comp: DataFrame | None, sigs: Callable[[DataFrame],
     wide = mixed.join(sig, "id")
     packs = wide.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "comp", "size", "at", "small", "sig")).alias("m"))  # PIECE bytes, as dealt
     packs = keep(packs, f"{label}-packs")
+    free(packs.sparkSession)
     x = packs.select("key", F.col("piece").alias("p"), F.col("m").alias("x")).join(packs.select("key", F.col("piece").alias("q"), F.col("m").alias("y")), "key").filter("p <= q").select("p", "q", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ posterior and the few misses so far, so no rates are stored or shuffled.
 
 Defined cases: null and empty texts have no tokens and the prior's posterior;
 labels that are null, repeated against each other or of unknown documents do not
-train; with fewer than two labelled domains all documents are one domain and
+train, and of rows that repeat a labelled id with other texts the least text does;
+texts of any length are read whole; with fewer than two labelled domains all documents are one domain and
 keep the rate of its target; rows that repeat an id get a rate each; an empty
 table gives no rows; extra columns pass through."""
 
@@ -42,8 +43,8 @@ class Setting:
     #: Target totals as multiples of the domains' present totals; domains not named keep theirs.
     targets: tuple[tuple[str, float], ...] = (("quality1_toxic0", 1.0), ("quality0_toxic0", 0.5), ("quality1_toxic1", 0.0), ("quality0_toxic1", 0.0))
     steps: int = 40
-    tolerance: float = 1e-4
-    snap: float = 0.1  # rates this near to a whole number become it
+    tolerance: float = 1e-4  # of all tokens, in the sum of the misses
+    settled: float = 1e-4  # a step that betters the sum of squares by less than this part of that at rates of 1 is the last
 
 
 @dataclass
@@ -53,6 +54,16 @@ class Model:
     bias: np.ndarray
 
 
+@dataclass
+class Solution:
+    """The steps that lead from rates of 1 to the fitted ones; target totals, totals reached; whether more steps would better them no further."""
+
+    history: list[np.ndarray]
+    want: np.ndarray
+    now: np.ndarray
+    converged: bool
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; and text, hashed word and weight of each distinct pair (rows of unit length)."""
     counts, rows, cols = [], [], []
@@ -83,11 +94,13 @@ def scores(m: Model, rows: int, r: np.ndarray, c: np.ndarray, w: np.ndarray) ->
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(texts: pa.Array, domain: list[str], steps: int = 120) -> Model:
-    """Softmax regression with adaptive steps."""
+def fit(words: list[np.ndarray], domain: list[str], steps: int = 120) -> Model:
+    """Softmax regression with adaptive steps on the hashed words of each text."""
     names = sorted(set(domain))
     y = np.array([names.index(d) for d in domain])
-    _, r, c, w = features(texts)
+    size = np.array([len(x) for x in words])
+    r, c = np.repeat(np.arange(len(words)), size), np.concatenate(words).astype(np.int64)
+    w = 1 / np.sqrt(np.maximum(size, 1))[r]
     n, k = len(y), len(names)
     m = Model(names, np.zeros((1 << BITS, k)), np.log(np.bincount(y, minlength=k) / n))
     truth = np.eye(k)[y]
@@ -105,15 +118,25 @@ def fit(texts: pa.Array, domain: list[str], steps: int = 120) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """The model of at most `rows` labelled documents; the driver gets their hashed words, at most 2**BITS of each, not their texts."""
     ok = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     ok = ok.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"), F.min("toxic").alias("t"), F.max("toxic").alias("t2")).filter("q = q2 and t = t2")
     ok = ok.select("doc_id", F.concat(F.lit("quality"), F.col("q"), F.lit("_toxic"), F.col("t")).alias("domain"))
     some = ok.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most TRAIN_ROWS ids and names: a bounded broadcast
-    held = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("domain", "text").toArrow()
-    domains = held["domain"].to_pylist()
+    held = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    held = held.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.min("text").alias("text"))  # of rows that share an id, the least text
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, r, c, _ = features(b.column(2))
+            cut = np.searchsorted(r, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c[x:y].astype("<i2").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "domain", "words"])
+
+    got = held.mapInArrow(hashed, held.select("doc_id", "domain").schema.add("words", "binary")).toArrow().sort_by("doc_id")
+    domains = got["domain"].to_pylist()
     if len(set(domains)) < 2:
         return Model(domains[:1] or ["all"], np.zeros((1 << BITS, 1)), np.zeros(1))
-    return fit(held["text"].combine_chunks(), domains)
+    return fit([np.frombuffer(x, "<i2") for x in got["words"].to_pylist()], domains)
 
 
 def _rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -126,7 +149,7 @@ def _rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
 def posteriors(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The columns to carry, n_tokens, and the posterior: one row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a domain
-    src = docs.select(*carry, F.col("text").cast("string").alias("__text"))
+    src = docs.select(*carry, F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -135,7 +158,7 @@ def posteriors(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             p = scores(m, b.num_rows, r, c, w)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
 
-    return src.mapInArrow(run, src.drop("__text").schema.add("n_tokens", LongType()).add("posterior", ArrayType(DoubleType())))
+    return src.mapInArrow(run, src.select(*carry).schema.add("n_tokens", LongType()).add("posterior", ArrayType(DoubleType())))
 
 
 def _totals(table: DataFrame, history: list[np.ndarray], k: int) -> np.ndarray:
@@ -154,39 +177,40 @@ def _totals(table: DataFrame, history: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def solve(table: DataFrame, domains: list[str], setting: Setting) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The steps that lead from rates of 1 to the fitted ones; targets; totals reached."""
+def solve(table: DataFrame, domains: list[str], setting: Setting) -> Solution:
     k = len(domains)
     now = base = _totals(table, [], k)
     want = base * np.array([dict(setting.targets).get(d, 1.0) for d in domains])
-    history: list[np.ndarray] = []
     scale = np.maximum(base, 1e-9)
-    for _ in range(setting.steps):
-        miss = (now - want) / scale
-        if np.abs(now - want).sum() <= setting.tolerance * max(base.sum(), 1e-9):
-            break
-        history.append(miss)
-        now = _totals(table, history, k)
-    return history, want, now
+    squares = lambda total: float((((total - want) ** 2) / scale).sum())
+    out = Solution([], want, now, False)
+    while True:
+        if np.abs(out.now - want).sum() <= setting.tolerance * max(base.sum(), 1e-9):
+            out.converged = True
+        if out.converged or len(out.history) >= setting.steps:
+            return out
+        before = squares(out.now)
+        out.history.append((out.now - want) / scale)
+        out.now = _totals(table, out.history, k)
+        out.converged = 0 <= before - squares(out.now) <= setting.settled * squares(base)
 
 
-def _copies(rate: np.ndarray, draw: np.ndarray, snap: float) -> np.ndarray:
-    whole = np.rint(rate)
-    return np.where(np.abs(rate - whole) <= snap, whole, np.floor(rate + draw)).astype(np.int64)
+def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    return np.floor(rate + draw).astype(np.int64)
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", setting: Setting = Setting()) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), posterior, rate: one row for each row of docs."""
+    """doc_id, n_tokens, domain (the likeliest), posterior, rate, converged (of the whole fit): one row for each row of docs."""
     x = docs.select(F.col(id_col).alias("doc_id"), "text")
     model = train(x, labels)
     table = keep(posteriors(x, model, ["doc_id"]), "mixing")
-    history, _, _ = solve(table, model.domains, setting)
+    fitted = solve(table, model.domains, setting)
     rate = F.lit(1.0)
-    for g in history:
+    for g in fitted.history:
         rate = F.greatest(F.lit(0.0), rate - sum((F.col("posterior")[i] * float(v) for i, v in enumerate(g)), F.lit(0.0)))
     names = F.array(*map(F.lit, model.domains))
     best = F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
-    return table.select("doc_id", "n_tokens", best.alias("domain"), F.transform("posterior", lambda v: F.round(v, 6)).alias("posterior"), F.round(rate, 6).alias("rate"))
+    return table.select("doc_id", "n_tokens", best.alias("domain"), F.transform("posterior", lambda v: F.round(v, 6)).alias("posterior"), F.round(rate, 6).alias("rate"), F.lit(fitted.converged).alias("converged"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", setting: Setting = Setting()) -> DataFrame:
@@ -194,7 +218,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", setting
     model = train(docs.select(F.col(id_col).alias("doc_id"), "text"), labels)
     k = len(model.domains)
     table = keep(posteriors(docs.select("text"), model, []), "mixing")
-    history, _, _ = solve(table, model.domains, setting)
+    history = solve(table, model.domains, setting).history
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -206,7 +230,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", setting
             _, r, c, w = features(b.column(at))
             rate = _rates(scores(m, b.num_rows, r, c, w).reshape(-1, k), history)
             marks = np.concatenate([B.spans(x.prefix(), x.start, x.stop) for x in B.chunks(b.column(at))])
-            n = _copies(rate, (B.mix(marks) >> U(11)).astype(np.float64) / 2**53, setting.snap)
+            n = _copies(rate, (B.mix(marks) >> U(11)).astype(np.float64) / 2**53)
             yield b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
 
     return docs.mapInArrow(run, docs.schema)
