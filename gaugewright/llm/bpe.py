@@ -32,7 +32,7 @@ from gaugewright.llm import bytesets as B
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 16_000_000  # of text whose distinct pre-tokens share an index
+BLOCK_BYTES = 6_000_000  # of text whose distinct pre-tokens share an index
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -84,27 +84,26 @@ def sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return c[stop] - c[start]
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[Chunk]:
-    """Whole texts of a string column in chunks of about limit bytes; a null is an empty text."""
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK, rows: int = 256) -> Iterator[Chunk]:
+    """Whole texts of a string column in chunks of about limit bytes; a null is an empty text. `rows` bounds what is copied at once."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    i, n = 0, len(column)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
-        length = np.diff(offsets[i : j + 1])
-        stop = np.cumsum(length + 1) - 1
-        start = stop - length
-        buf = np.full(int(stop[-1]) + 1, 10, np.uint8)
-        inside = np.ones(len(buf), bool)
-        inside[stop] = False
-        buf[inside] = data[offsets[i] : offsets[j]]
-        yield Chunk(slice(i, j), buf, start, stop)
-        i = j
+    for first in range(0, len(column), rows):
+        part = column.slice(first, rows).cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        i, n = 0, len(part)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+            length = np.diff(offsets[i : j + 1])
+            stop = np.cumsum(length + 1) - 1
+            start = stop - length
+            buf = np.full(int(stop[-1]) + 1, 10, np.uint8)
+            inside = np.ones(len(buf), bool)
+            inside[stop] = False
+            buf[inside] = data[offsets[i] : offsets[j]]
+            yield Chunk(slice(first + i, first + j), buf, start, stop)
+            i = j
 
 
 def word_hashes(c: Chunk, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

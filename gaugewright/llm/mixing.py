@@ -88,6 +88,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.concatenate(counts), r, c, 1 / np.sqrt(np.maximum(size, 1))[r]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is derived from their texts stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def scores(m: Model, rows: int, r: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
     z = np.stack([np.bincount(r, weights=m.weights[c, k] * w, minlength=rows) for k in range(len(m.domains))], axis=1) + m.bias
     z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -127,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     held = held.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.min("text").alias("text"))  # of rows that share an id, the least text
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             _, r, c, _ = features(b.column(2))
             cut = np.searchsorted(r, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c[x:y].astype("<i2").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "domain", "words"])
@@ -153,7 +160,7 @@ def posteriors(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in _slices(batches):
             n, r, c, w = features(b.column(len(carry)))
             p = scores(m, b.num_rows, r, c, w)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
@@ -224,9 +231,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", setting
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             _, r, c, w = features(b.column(at))
             rate = _rates(scores(m, b.num_rows, r, c, w).reshape(-1, k), history)
             marks = np.concatenate([B.spans(x.prefix(), x.start, x.stop) for x in B.chunks(b.column(at))])
