@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def prominent_valleys(p: np.ndarray, prominence: float) -> np.ndarray:
@@ -73,6 +77,33 @@ def theil_sen_slopes(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarr
     return mid[:, 1]
 
 
+def group_bounds(t: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where runs of equal values in the first `keys` columns begin, and the end."""
+    new = np.zeros(max(t.num_rows - 1, 0), bool)
+    for c in t.columns[:keys]:
+        new |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, t.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [t.num_rows])) if t.num_rows else np.zeros(1, np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches again, cut so that no run of equal keys is split between two."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = int(group_bounds(b, keys)[-2])
+        if last == 0 and held and all(held[-1].column(k)[-1] == b.column(k)[0] for k in range(keys)):
+            held.append(b)  # one group all through
+            continue
+        if last:
+            held.append(b.slice(0, last))
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = [b.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def bourdet(s: np.ndarray, p: np.ndarray, dt: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
     """Index of the middle point and derivative for each left point that finds its two right ones; null on equal superposition."""
     n = len(s)

@@ -2,7 +2,7 @@
 
 A written table survives the loss of the executor that made it, unlike a local
 checkpoint, and Parquet keeps it small. A folder of our own is set only where
-the session names none (tests on one machine)."""
+the session names none and runs on one machine (tests); on a cluster that is an error."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="gaugewright-")
     return _OWN["dir"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.kernels import bourdet
+from gaugewright.functions.kernels import bourdet, group_bounds, whole_groups
 from gaugewright.functions.numeric import last_nonzero, ratio
 
 KEYS = ("well_id", "transient_id")
@@ -56,13 +59,22 @@ def derivative(frame: DataFrame, smoothing: float) -> DataFrame:
     """The Bourdet derivative at the middle points of each transient; a point that is the middle of several has a row for each."""
     schema = "well_id {0}, transient_id int, point int, superposition double, delta_pressure double, delta_time double, derivative double".format(dict(frame.dtypes)["well_id"])
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("seq").reset_index(drop=True)
-        s, p, dt = (t[c].to_numpy(np.float64) for c in ("superposition", "delta_pressure", "delta_time"))
-        j, d = bourdet(s, p, dt, smoothing)
-        return pd.DataFrame({"well_id": t["well_id"].iloc[0], "transient_id": t["transient_id"].iloc[0], "point": np.arange(len(j)), "superposition": s[j], "delta_pressure": p[j], "delta_time": dt[j], "derivative": d})
-
-    out = frame.groupBy(*KEYS).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            s, p, dt = (t.column(c).to_numpy(zero_copy_only=False) for c in ("superposition", "delta_pressure", "delta_time"))
+            cut = group_bounds(t, 2)
+            found = [(a, *bourdet(s[a:z], p[a:z], dt[a:z], smoothing)) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+            if not found:
+                continue
+            at = np.concatenate([a + j for a, j, _ in found])
+            point = np.concatenate([np.arange(len(j)) for _, j, _ in found]).astype(np.int32)
+            own = t.select(["well_id", "transient_id"]).take(pa.array(at))
+            cols = [own.column(0), own.column(1).cast(pa.int32()), pa.array(point), *(pa.array(x[at]) for x in (s, p, dt)), pa.array(np.concatenate([d for *_, d in found]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["well_id", "transient_id", "point", "superposition", "delta_pressure", "delta_time", "derivative"])
+
+    # sorted partitions in batches of whole transients: a group is a slice of arrays, not a frame of its own
+    rows = frame.select(*KEYS, "seq", "superposition", "delta_pressure", "delta_time").repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    out = rows.mapInArrow(run, schema)
     return out.withColumn("derivative", F.when(F.isnan("derivative"), None).otherwise(F.col("derivative")))
 
 
