@@ -25,8 +25,8 @@ from gaugewright.llm import bytesets as B
 from gaugewright.llm.store import drop, free, keep
 
 Check = Callable[[DataFrame], DataFrame]  # pairs (a, b) -> those of them that are linked
-PER_PACK = 300_000  # index entries that a task packs at once
-PER_BUCKET = 400_000  # index entries that one task sorts
+PER_PACK = 150_000  # index entries that a task packs at once
+PER_BUCKET = 250_000  # index entries that one task sorts
 PIECE = 1 << 19  # bytes of the members of a key in one piece
 SLAB = 1 << 20  # pairs that a task looks at at once
 SPREAD, SMALL = 1, 2  # flags of an entry
