@@ -270,22 +270,27 @@ def across(rows: DataFrame, comp: DataFrame | None, sigs: Callable[[DataFrame],
     mixed = keep(rows.join(keys.select("key", "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))), f"{label}-mixed")
     drop(rows)
     sig = sigs(mixed.select("id").distinct())
-    wide = mixed.join(sig, "id")
-    packs = wide.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "comp", "size", "at", "small", "sig")).alias("m"))  # PIECE bytes, as dealt
-    packs = keep(packs, f"{label}-packs")
-    free(packs.sparkSession)
+    beside = F.collect_list(F.struct("id", "comp", "size", "at", "small", "sig"))  # PIECE bytes, as dealt
+    packed = lambda rows: rows.join(sig, "id").groupBy("key", "piece").agg(beside.alias("m"))
+    packs = keep(packed(mixed.filter("pieces > 1")), f"{label}-packs")  # only keys of many pieces are joined to themselves
     x = packs.select("key", F.col("piece").alias("p"), F.col("m").alias("x")).join(packs.select("key", F.col("piece").alias("q"), F.col("m").alias("y")), "key").filter("p <= q").select("p", "q", "x", "y")
 
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            both = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from pairs([_candidates(m, m, True, ratio, slip, test) for m in _members(b.column(0))])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(np.zeros(0, np.int64),) * 2]
-            for p, q, xs, ys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _members(b.column(2)), _members(b.column(3)), strict=True):
-                found.append(_candidates(xs, ys, p == q, ratio, slip, test))
-            pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
-
-    out = keep(x.mapInArrow(compare, "a long, b long").distinct(), f"{label}-pairs")
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _members(b.column(2)), _members(b.column(3)), strict=True)
+            yield from pairs([_candidates(xs, ys, p == q, ratio, slip, test) for p, q, xs, ys in rows])
+
+    found = packed(mixed.filter("pieces = 1")).select("m").mapInArrow(alone, "a long, b long").union(x.mapInArrow(compare, "a long, b long"))
+    out = keep(found.distinct(), f"{label}-pairs")
     drop(packs)
     drop(mixed)
     return out
