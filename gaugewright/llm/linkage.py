@@ -29,6 +29,9 @@ PER_PACK = 150_000  # index entries that a task packs at once
 PER_BUCKET = 250_000  # index entries that one task sorts
 PIECE = 1 << 19  # bytes of the members of a key in one piece
 SLAB = 1 << 20  # pairs that a task looks at at once
+#: Bytes of a key that go into the index beside its bucket: a bucket has about as many entries at every size of input, so the chance that two of its keys
+#: look alike does not grow, and such keys only make candidates.
+KEY = 5
 SPREAD, SMALL = 1, 2  # flags of an entry
 U = np.uint64
 
@@ -53,6 +56,24 @@ def binaries(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data).view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
 
+def _planes(a: np.ndarray, width: int) -> np.ndarray:
+    """The `width` low bytes of whole numbers, all first bytes before all second ones: bytes that seldom differ compress well in a shuffle."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, :width].T)
+
+
+def _numbers(column: pa.Array, width: int, dtype: str) -> np.ndarray:
+    """What _planes made into the rows of column."""
+    data, n = binaries(column, "u1")
+    n //= width
+    end = np.cumsum(n)
+    at = np.arange(end[-1]) + np.repeat((width - 1) * (end - n), n)
+    step = np.repeat(n, n)
+    out = np.zeros((end[-1], np.dtype(dtype).itemsize), np.uint8)
+    for i in range(width):
+        out[:, i] = data[at + i * step]
+    return out.view(dtype).ravel()
+
+
 def _paired(key: np.ndarray, value: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Which entries have another of the same key whose value is at most `most` away: in order of values, the one before or after."""
     order = np.lexsort((value, key))
@@ -78,13 +99,18 @@ def index(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
         key, ids, size, at, flags = (np.concatenate([getattr(x, f) for x in held]) for f in ("key", "id", "size", "at", "flags"))
         moved = np.unique(np.concatenate([np.stack(x.moved, axis=1) for x in held]), axis=0).astype(np.int64).tobytes()
         spread = flags & SPREAD > 0
-        bucket = (np.where(spread, B.mix(key ^ ids.view(U)), key) % U(buckets)).astype(np.int64)
+        home = (key % U(buckets)).astype("<i4")
+        bucket = np.where(spread, (B.mix(key ^ ids.view(U)) % U(buckets)).astype("<i4"), home)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
-        pack = lambda a, t: pa.array([x[cut[i] : cut[i + 1]].tobytes() for x in [a[order].astype(t)] for i in full], pa.binary())
-        cols = [pa.array(full, pa.int32()), pack(key, U), pack(ids, np.int64), pack(size, "<i4"), pack(at, "<i4"), pack(flags, "u1"), pa.array([moved] * len(full), pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["bucket", "k", "c", "s", "p", "f", "m"])
+
+        def pack(a: np.ndarray, width: int) -> pa.Array:
+            a = a[order]
+            return pa.array([_planes(a[cut[i] : cut[i + 1]], width).tobytes() for i in full], pa.binary())
+
+        cols = [pack(key >> U(64 - 8 * KEY), KEY), pack(ids, 8), pack(size.astype("<i4"), 4), pack(at.astype("<i4"), 4), pack(flags.astype("u1"), 1), pack(home, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cols, pa.array([moved] * len(full), pa.binary())], names=["bucket", "k", "c", "s", "p", "f", "h", "m"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -102,7 +128,10 @@ def index(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        key, ids, size, at, flags, moved = (np.concatenate([binaries(b.column(i), t)[0] for b in parts]) for i, t in ((1, "u8"), (2, "i8"), (3, "i4"), (4, "i4"), (5, "u1"), (6, "i8")))
+        held = zip(*[[_numbers(b.column(i), w, t) for i, (w, t) in enumerate(((KEY, "u8"), (8, "i8"), (4, "<i4"), (4, "<i4"), (1, "u1"), (4, "<i4")), 1)] for b in parts], strict=True)
+        key, ids, size, at, flags, home = map(np.concatenate, held)
+        moved = np.concatenate([binaries(b.column(7), "i8")[0] for b in parts])
+        key = key << U(63 - 8 * KEY) | home.astype(U)
         order = np.lexsort((ids, key))
         order = order[np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])))]
         key, ids, size, at, flags = (x[order] for x in (key, ids, size, at, flags))
@@ -133,7 +162,7 @@ def index(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
         for i in range(0, full.num_rows, 50_000):
             yield full.slice(i, 50_000)
 
-    rows = df.mapInArrow(emit, "bucket int, k binary, c binary, s binary, p binary, f binary, m binary")
+    rows = df.mapInArrow(emit, "bucket int, k binary, c binary, s binary, p binary, f binary, h binary, m binary")
     return rows.repartition(parts, "bucket").mapInArrow(group, "key long, id long, size int, at int, small boolean, comp long, centre long")
 
 
