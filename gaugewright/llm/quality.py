@@ -1,9 +1,9 @@
 """Quality rules judged by document and by host.
 
 Each document is measured once (words, symbols, repeated lines and windows). A
-document fails by itself on its own measures; a host fails when the share of its
-documents that fail, shrunk towards a beta prior fitted to all hosts, is over a
-threshold. Host sums are map-side combined, so a host with a third of all rows
+document fails by itself on its own measures; a host fails when, for any rule, the share
+of its documents that fail it, shrunk towards a beta prior fitted to all hosts,
+is over a cut relative to that of all documents. Host sums are map-side combined, so a host with a third of all rows
 costs no more than any other, and verdicts come back by a join on the host that
 Spark broadcasts only if the verdict table is small.
 
@@ -34,7 +34,13 @@ class Rules:
     min_words: int = 20
     max_repeat_pct: int = 30
     window: int = 8
-    host_max_rate: float = 0.5  # the shrunk failure rate from which a host's documents go
+    max_symbol_pct: int = 20  # of the code points in words; this and the next three count for hosts only
+    max_dup_lines_pct: int = 10  # repeated lines for 100 words
+    min_word_chars: int = 2
+    max_word_chars: int = 20
+    host_lift: float = 3.0  # times the mean of all documents that a host's shrunk rate of a rule may be,
+    host_min_rate: float = 0.3  # where that lies
+    host_max_rate: float = 0.5  # between these two
 
 
 def measure(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
@@ -85,22 +91,55 @@ def failed(rules: Rules) -> F.Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
 
 
+def rule_failures(rules: Rules) -> dict[str, F.Column]:
+    """The rules that are counted by host: those of the base, both at once, and softer ones that reject no document alone."""
+    n = F.col("n_words")
+    return {
+        "failed": failed(rules),
+        "short": n < rules.min_words,
+        "repeating": 100 * F.col("n_repeat_words") > rules.max_repeat_pct * n,
+        "symbols": 100 * F.col("n_symbols") > rules.max_symbol_pct * F.col("word_chars"),
+        "lines": 100 * F.col("n_dup_lines") > rules.max_dup_lines_pct * n,
+        "lengths": (F.col("word_chars") < rules.min_word_chars * n) | (F.col("word_chars") > rules.max_word_chars * n),
+    }
+
+
+def _prior(by: DataFrame, name: str) -> list[F.Column]:
+    """Mean and strength of the beta prior of one rule over hosts.
+
+    The mean is that of all documents. Hosts' raw rates spread by chance as well as
+    by nature; the analysis of variance takes chance out: with m_b and m_w the mean
+    squares between and within hosts and n0 the usual size of a host, the correlation
+    of two documents of a host is (m_b - m_w) / (m_b + (n0 - 1) m_w), and the strength
+    is its odds against. Hosts that differ by no more than chance, or of which nothing
+    can be told (one host; one document each), get all documents' weight."""
+    n, f = F.col("n_docs"), F.col(f"n_{name}")
+    total, k = F.sum(n), F.count(F.lit(1))
+    mean = F.try_divide(F.sum(f), total)
+    between = F.try_divide(F.sum(f * f / n) - F.sum(f) * mean, k - 1)
+    within = F.try_divide(F.sum(f) - F.sum(f * f / n), total - k)
+    usual = F.try_divide(total - F.try_divide(F.sum(n.cast("double") * n), total), k - 1)
+    odds = F.try_divide(usual * within, between - within)  # (1 - correlation) / correlation, where that is above 0
+    strength = F.when(between > within, F.least(F.greatest(odds, F.lit(1.0)), total.cast("double")))
+    return [mean.alias(f"mean_{name}"), F.coalesce(strength, total.cast("double"), F.lit(1.0)).alias(f"strength_{name}")]
+
+
 def host_rates(measured: DataFrame, host: str, rules: Rules = Rules()) -> DataFrame:
-    """Per host: documents, failures by rule, and the failure rate shrunk by an empirical beta prior.
-
-    The prior's mean and strength come from the mean and variance of the hosts'
-    raw rates (moments). Hosts that agree fully, or a single host, give the
-    strength its floor of one pseudo-document, so that the rates stay defined."""
-    short = F.col("n_words") < rules.min_words
-    repeat = 100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")
-    by = measured.groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.count_if(short).alias("n_short"), F.count_if(repeat).alias("n_repeating"), F.count_if(short | repeat).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = by.agg(F.avg(rate).alias("mu"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    strength = F.greatest(F.lit(1.0), F.coalesce(F.try_divide(F.col("mu") * (1 - F.col("mu")), F.col("v")) - 1, F.lit(1.0)))
-    prior = prior.select((F.col("mu") * strength).alias("alpha"), ((1 - F.col("mu")) * strength).alias("beta"))
-    # one row: a broadcast of fixed size
-    return by.crossJoin(F.broadcast(prior)).withColumn("shrunk_rate", (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("alpha") + F.col("beta"))).withColumn("host_rejected", F.col("shrunk_rate") > rules.host_max_rate)
+    """Per host: documents, failures by rule, each rule's rate shrunk by an empirical beta prior, and the verdict.
+
+    A host is rejected if a shrunk rate is over that rule's cut: host_lift times the
+    mean of all documents, but from host_min_rate to host_max_rate."""
+    counted = rule_failures(rules)
+    by = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(c).alias(f"n_{k}") for k, c in counted.items()])
+    prior = by.agg(*[c for k in counted for c in _prior(by, k)])
+    out = by.crossJoin(F.broadcast(prior))  # one row: a broadcast of fixed size
+    over = []
+    for k in counted:
+        mean, strength = F.col(f"mean_{k}"), F.col(f"strength_{k}")
+        out = out.withColumn(f"rate_{k}", (F.col(f"n_{k}") + mean * strength) / (F.col("n_docs") + strength))
+        cut = F.least(F.lit(rules.host_max_rate), F.greatest(F.lit(rules.host_min_rate), rules.host_lift * mean))
+        over.append(F.col(f"rate_{k}") > cut)
+    return out.withColumn("shrunk_rate", F.col("rate_failed")).withColumn("host_rejected", F.exists(F.array(*over), lambda x: x))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:

@@ -80,6 +80,45 @@ def test_host_verdicts_reach_its_documents(spark):
     assert rates[300] > rates[200] > 0  # one document moves its host less
 
 
+def test_host_priors_leave_chance_out(spark):
+    """Shrunk rates of each rule against the formulas in plain code, on hosts of very unequal sizes."""
+    rng = random.Random(11)
+    sizes = {"hot": 400, "a": 30, "b": 25, "c": 12, "d": 1, "e": 1, None: 8}
+    share = {"hot": 0.05, "a": 0.4, "b": 0.02, "c": 0.0, "d": 1.0, "e": 0.0, None: 0.1}
+    good, noisy = " ".join(f"word{i}" for i in range(30)), " ".join(f"#*$%{i}" for i in range(30))
+    rows = [(h, *((noisy, 1) if rng.random() < share[h] else (good, 0))) for h, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t, _) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.host: r for r in quality.host_rates(quality._measured(docs.withColumnRenamed("source", "h"), ["h"], quality.Rules()), "h").collect()}
+    n = {h: sizes[h] for h in sizes}
+    f = {h: sum(x for g, _, x in rows if g == h) for h in sizes}
+    total, k, mean = sum(n.values()), len(n), sum(f.values()) / sum(n.values())
+    between = sum(n[h] * (f[h] / n[h] - mean) ** 2 for h in n) / (k - 1)
+    within = sum(f[h] * (1 - f[h] / n[h]) for h in n) / (total - k)
+    usual = (total - sum(x * x for x in n.values()) / total) / (k - 1)
+    rho = (between - within) / (between + (usual - 1) * within)
+    strength = min(max((1 - rho) / rho, 1), total)
+    for h in n:
+        assert got[h].n_symbols == f[h] and got[h].n_failed == 0
+        assert got[h].rate_symbols == pytest.approx((f[h] + mean * strength) / (n[h] + strength))
+        assert got[h].rate_failed == 0
+    assert got["a"].host_rejected and not got["hot"].host_rejected and not got["e"].host_rejected
+    kept = quality.judge(docs).toPandas().set_index("doc_id")["kept"]
+    assert all(kept[i] == (not got[h].host_rejected) for i, (h, *_) in enumerate(rows))
+
+
+def test_query_rejects_a_bad_host(spark, tmp_path):
+    """The registered query: good pages of a host whose pages mostly fail go, all others' stay."""
+    good, bad = [" ".join(f"{h}{i}w{j}" for j in range(40)) for h, i in (("g", 0), ("b", 1))], "spam " * 40
+    rows = [(i, bad if i % 5 < 2 else good[1], "en", "bad.org", 0) for i in range(100)] + [(100 + i, bad if i % 20 == 0 else good[0], "en", f"h{i % 9}.org", 0) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from gaugewright.llm import queries
+
+    got = queries.op1_quality_rules(spark, str(tmp_path)).toPandas().set_index("doc_id")
+    assert (got.sort_index()["base_failed"].to_numpy() == [t == bad for _, t, *_ in rows]).all()
+    flipped = sorted(got[~got["base_failed"] & ~got["kept"]].index)
+    assert flipped == [i for i in range(100) if i % 5 >= 2]
+
+
 def test_quality_filter_keeps_columns(docs, empty):
     out = quality.filter_documents(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
