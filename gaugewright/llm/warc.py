@@ -11,7 +11,8 @@ identifiers and gives one nested row for each capture.
 
 Defined cases: a null html is an empty payload; a null url leaves the target
 header out and reads back as null; rows that repeat a page_id are captures of
-their own, all responses if theirs is the smallest page_id of the payload; a null
+their own, all responses if theirs is the smallest page_id of the payload, and
+their revisits name the page alone, not one of its records; a null
 page_id is only a response if no other row has the payload; an empty table makes
 no files and no rows; extra columns are not read."""
 
@@ -79,13 +80,20 @@ def _line(value: str | None) -> str | None:
     return None if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _body(html: F.Column) -> F.Column:
+    return F.encode(F.coalesce(html.cast("string"), F.lit("")), "UTF-8")
+
+
 def _plan(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """page_id and the page_id that it revisits (null: a response), for each distinct page_id and payload."""
-    body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    """For each distinct page_id and payload: page_id, the page_id that it revisits (null: a response), and whether each stands on several rows."""
+    body = _body(F.col("html"))
     marks = keep(pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).cast("long").alias("n")), "warc-marks")
     first = marks.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"))
-    plan = marks.join(first, ["sha", "n"], "left").select("page_id", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first")).alias("revisits"))
-    return plan.distinct()
+    plan = marks.join(first, ["sha", "n"], "left").select("page_id", "sha", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first")).alias("revisits"))
+    often = marks.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own, target = often.select(F.col("page_id").alias("own"), F.lit(True).alias("repeated")), often.select(F.col("page_id").alias("target"))
+    plan = plan.distinct().join(own, F.col("page_id").eqNullSafe(F.col("own")), "left").join(target, F.col("revisits") == F.col("target"), "left")
+    return plan.select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), "revisits", F.coalesce("repeated", F.lit(False)).alias("repeated"), F.col("target").isNotNull().alias("vague"))
 
 
 def write(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -93,9 +101,8 @@ def write(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_byt
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    plan = _plan(src, min_revisit_bytes).withColumnRenamed("page_id", "__id")
-    # merge: rows of one page_id meet in one task, in a row
-    rows = src.join(plan.hint("merge"), F.col("page_id").eqNullSafe(F.col("__id")), "left").select("page_id", "url", "html", "revisits")
+    plan = _plan(src, min_revisit_bytes)
+    rows = src.join(plan, F.col("page_id").eqNullSafe(F.col("__id")) & (F.sha1(_body(F.col("html"))) == F.col("__sha")), "left").select("page_id", "url", "html", "revisits", "repeated", "vague")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -103,7 +110,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_byt
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         done: list[tuple[str, int]] = []
-        out, size, count, last, copy = None, 0, 0, object(), 0
+        out, size, count, copy = None, 0, 0, 0
 
         def close() -> None:
             nonlocal out
@@ -113,14 +120,14 @@ def write(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_byt
                 out = None
 
         for b in batches:
-            for page_id, url, html, revisits in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                copy = copy + 1 if page_id == last else 0
-                last = page_id
+            for page_id, url, html, revisits, repeated, vague in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                copy += 1
                 if out is None:
                     path, size, count = f"{root}/{name}-{len(done):04d}.warc.gz", 0, 0
                     out = fs.open_output_stream(path, compression=None)
                 body = (html or "").encode()
-                own = ("capture", page_id) if not copy else ("capture", page_id, copy, task.partitionId())
+                # rows of a repeated page_id may be in several tasks: their place tells them apart
+                own = ("capture", page_id, task.partitionId(), copy) if repeated else ("capture", page_id)
                 capture, sha, uri = _id(*own), digest(body), _line(url)
                 date = ("WARC-Date", "2024-01-01T00:00:00Z")
                 target = ("WARC-Target-URI", uri)
@@ -130,7 +137,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_byt
                 if revisits is None:
                     main = record("response", common, reply + body)
                 else:
-                    main = record("revisit", [*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _id("capture", revisits))], reply)
+                    main = record("revisit", [*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", None if vague else _id("capture", revisits))], reply)
                 facts = f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {len(body)}\r\nrefers-to-page: {'' if revisits is None else revisits}\r\n".encode()
                 data = main + record("request", [("WARC-Record-ID", _id("request", *own)), date, target, ("WARC-Concurrent-To", capture), ("Content-Type", "application/http;msgtype=request")], ask)
                 data += record("metadata", [("WARC-Record-ID", _id("metadata", *own)), date, target, ("WARC-Concurrent-To", capture), ("Content-Type", "application/warc-fields")], facts)

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,6 +62,17 @@ def test_warc_round_trip(spark):
     assert warc.captures(pages.filter("false")).count() == 0
 
 
+def test_warc_repeated_page_ids_in_several_tasks(spark):
+    """Rows of one page_id spread over tasks, with equal and differing payloads, are one capture each."""
+    rows = [(7, f"u{i}", "same") for i in range(40)] + [(7, "v", "other")] * 3 + [(9, "w", "same"), (3, "x", "other"), (None, "y", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.captures(pages).collect())
+    assert got == {(7, 4, "response", None): 40, (7, 5, "revisit", 3): 3, (9, 4, "revisit", 7): 1, (3, 5, "response", None): 1, (None, 4, "revisit", 7): 1}
+    nested = warc.assemble(warc.read(spark, warc.write(pages))).collect()
+    assert len({r.capture_id for r in nested}) == len(rows) == len(nested)
+    assert {r.response.refers_to is None for r in nested if r.response.type == "revisit" and r.response.payload_digest == warc.digest(b"same")} == {True}
+
+
 def test_warc_records_and_assembly(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 4}</p>") for i in range(30)], "page_id long, url string, html string")
     manifest = warc.write(pages, file_bytes=2000)
