@@ -14,7 +14,7 @@ instances by their best pattern; seeds keep the score 1. Patterns that end over
 min_confidence with enough distinct seeds mark further instances, if these have
 a shape close to the seeds of the kind: an at sign within where all of those have
 one, else from half to one and a half times as many digits; marks and letters as
-those have them.
+those have them. A match of a kind's base form that failed its check is none.
 All sums are map-side combined; tables of patterns are joined, never collected.
 
 Defined cases: null and empty texts have no spans; a row is known by its place,
@@ -152,12 +152,20 @@ def discovered(found: DataFrame, base: DataFrame, setting: Bootstrap = Bootstrap
     strong = conf.filter(F.col("conf") >= setting.min_confidence)
     seeds = inst.filter("seed is not null").select(F.col("seed").alias("kind"), *_shape(F.col("m")))
     usual = seeds.groupBy("kind").agg(F.min("digits").alias("least"), F.max("digits").alias("most"), F.min(F.least("marks", F.lit(1))).alias("some"), F.max("letters").alias("may"), F.min("sign").alias("must"), F.max("sign").alias("can"))
-    new = inst.filter("seed is null").filter(F.char_length("m") >= setting.min_chars).join(strong, "p").select("at", "start", "end", "kind", "conf", *_shape(F.col("m"))).join(usual, "kind")
+    new = inst.filter("seed is null").filter(F.char_length("m") >= setting.min_chars).join(strong, "p").select("at", "start", "end", "m", "kind", "conf", *_shape(F.col("m"))).join(usual, "kind").filter(~_rejected(F.col("kind"), F.col("m")))
     # close to the seeds: half as many digits up to half as many more, marks, letters and an at sign as they have them
     new = new.filter((2 * F.col("digits") >= F.col("least")) & (2 * F.col("digits") <= 3 * F.col("most")) | F.col("must")).filter((F.col("marks") >= F.col("some")) & (F.col("may") | ~F.col("letters")) & (F.col("sign") | ~F.col("must")) & (F.col("can") | ~F.col("sign")))
     return new.groupBy("at", "start", "end").agg(F.max_by("kind", F.struct("conf", F.negate("kind"))).alias("kind"))
 
 
+def _rejected(kind: Column, m: Column) -> Column:
+    """Whether m is of the base form of the kind but has failed its check, as an address with a part over 255."""
+    out = F.lit(False)
+    for k, name in enumerate(KINDS[1:], 1):
+        out = F.when(kind == k, m.rlike(f"^(?:{PATTERNS[name]})$") & ~_valid(name, m)).otherwise(out)
+    return out
+
+
 def _text(spans: Column) -> Column:
     name = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"], x["end"])), ",")

@@ -457,3 +457,18 @@ def test_jaccard_links_by_class_not_by_id(spark):
         rows = [(1, " ".join(words)), (key, " ".join(middle)), (0, other), (3, " ".join(ends))]
         got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert len({r.component_id for r in got if r.doc_id in (1, 3)}) == 1, key
+
+
+def test_pii_failed_base_matches_stay_out(spark):
+    """In a context that reveals identifiers, what has a kind's form but fails its check is not revealed; ties and repeated rows are each their own."""
+    rng = random.Random(8)
+    fill = lambda: " ".join(prose(rng, 9))
+    texts = [f"{fill()} the server address 10.{i}.7.{i + 1} {fill()}" for i in range(40)] + [f"{fill()} dial us on +49 (30) 555-{1000 + i} {fill()}" for i in range(40)]
+    odd = {900: "the server address 10.0.300.7 is up", 901: "the server address 10.0.30.7:8080 is up", 902: "dial us on +4 (3) 5-12 now", 903: "dial us on (30) 555-9999 now", 904: "dial us on (30) 555-9999 now"}
+    rows = [*enumerate(texts), *odd.items(), (903, odd[903])]
+    got = pii.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == len(rows)
+    spans = got.groupby("doc_id")["spans"].agg(list)
+    assert spans[900] == [""] and spans[902] == [""]
+    assert spans[903] == ["phone:11:24"] * 2 and spans[904] == ["phone:11:24"]
+    assert spans[901][0].startswith("ip:19:28")
