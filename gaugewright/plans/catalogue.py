@@ -50,6 +50,15 @@ def _rs(*names: str, n: int = 6) -> str:
     return ", ".join(f"round({c}, {n}) + 0.0 AS {c.split('.')[-1]}" for c in names)
 
 
+def _us(*names: str) -> list[F.Column]:
+    """Hours as whole microseconds."""
+    return [F.round(F.col(c) * 3.6e9).cast("long").alias(f"{c}_us") for c in names]
+
+
+def _uss(*names: str) -> str:
+    return ", ".join(f"CAST(round({c} * 3.6e9) AS BIGINT) AS {c.split('.')[-1]}_us" for c in names)
+
+
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 
@@ -291,17 +300,17 @@ def _loglog(spark: SparkSession, sf_dir: str, injection: bool) -> tuple[DataFram
 
 
 def _superposition_sql(status: str) -> str:
-    return _with(f"SELECT well_id, transient_id, seq, {_rs('superposition')}, {_rs('delta_time', 'delta_pressure', n=4)} FROM superposed WHERE status = '{status}'", G.RATES_SQL, _SUPER)
+    return _with(f"SELECT well_id, transient_id, seq, {_rs('superposition')}, {_uss('delta_time')}, {_rs('delta_pressure', n=4)} FROM superposed WHERE status = '{status}'", G.RATES_SQL, _SUPER)
 
 
 @query(_superposition_sql("shutin"))
 def superposition_shutin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loglog(spark, sf_dir, False)[0].select("well_id", "transient_id", "seq", *_r("superposition"), *_r("delta_time", "delta_pressure", n=4))
+    return _loglog(spark, sf_dir, False)[0].select("well_id", "transient_id", "seq", *_r("superposition"), *_us("delta_time"), *_r("delta_pressure", n=4))
 
 
 @query(_superposition_sql("flowing"))
 def superposition_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loglog(spark, sf_dir, True)[0].select("well_id", "transient_id", "seq", *_r("superposition"), *_r("delta_time", "delta_pressure", n=4))
+    return _loglog(spark, sf_dir, True)[0].select("well_id", "transient_id", "seq", *_r("superposition"), *_us("delta_time"), *_r("delta_pressure", n=4))
 
 
 _DER = """
@@ -315,10 +324,10 @@ ders AS (SELECT x.well_id, x.transient_id, ks.i, m.superposition, m.delta_pressu
 der AS (SELECT *, (d1 / nullif(x1, 0) * x2 + d2 / nullif(x2, 0) * x1) / nullif(x1 + x2, 0) / ln(10) AS derivative FROM ders)"""
 
 
-@query(_with(f"SELECT well_id, transient_id, {_rs('delta_time', 'delta_pressure', n=4)}, round(derivative, 4) + 0.0 AS derivative FROM der", G.RATES_SQL, _SUPER, _DER))
+@query(_with(f"SELECT well_id, transient_id, {_uss('delta_time')}, {_rs('delta_pressure', n=4)}, round(derivative, 4) + 0.0 AS derivative FROM der", G.RATES_SQL, _SUPER, _DER))
 def bourdet_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2)
-    return d.select("well_id", "transient_id", *_r("delta_time", "delta_pressure", n=4), (F.round("derivative", 4) + F.lit(0.0)).alias("derivative"))
+    return d.select("well_id", "transient_id", *_us("delta_time"), *_r("delta_pressure", n=4), (F.round("derivative", 4) + F.lit(0.0)).alias("derivative"))
 
 
 _NORM = """
@@ -330,13 +339,13 @@ ref AS (SELECT a.well_id, max(CASE WHEN o = pos THEN rate END) AS qr, coalesce(m
 normed AS (SELECT d.*, qr, qp, CASE WHEN z = 0 THEN q WHEN n > 1 THEN z - y ELSE z END AS dq, q FROM der d JOIN own USING (well_id, transient_id) JOIN ref USING (well_id))"""
 
 
-@query(_with("""SELECT well_id, transient_id, round(delta_time, 4) + 0.0 AS delta_time, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,
+@query(_with(f"""SELECT well_id, transient_id, {_uss('delta_time')}, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,
     round(derivative * abs(qr / nullif(q, 0)), 3) + 0.0 AS derivative_saphir, round(derivative * abs((qr - qp) / nullif(q, 0)), 3) + 0.0 AS derivative_autowell FROM normed""", G.RATES_SQL, _SUPER, _DER, _NORM))
 def normalized_loglog(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, steps = _loglog(spark, sf_dir, True)
     ref = steps.groupBy("well_id").agg(F.max_by("rates", "transient_id").alias("ref_rates"))
     n = loglog.normalize(loglog.derivative(s, 0.2), steps, ref)
-    return n.select("well_id", "transient_id", *_r("delta_time", n=4), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
+    return n.select("well_id", "transient_id", *_us("delta_time"), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
 
 
 @query()
@@ -389,7 +398,26 @@ def rate_change_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.rate_change(t, r).select("well_id", "transient_id", *_r(*[f"rate_change_snr_{k}" for k in scores.SCALES]))
 
 
-@query()
+#: Two-sided signed-rank tests: exact for up to 50 differences without ties and zeros, else normal; p < 0.05 is a standard score over 1.959963984540054.
+_TESTS = f"""
+scales(k, s) AS (VALUES {", ".join(f"('{k}', {s})" for k, s in scores.SCALES.items())}),
+around AS (SELECT t.well_id, t.transient_id, k, r.rate, us, us < 0 AS early, row_number() OVER (PARTITION BY t.well_id, t.transient_id, k, us < 0 ORDER BY us, r.seq) AS o, count(*) OVER (PARTITION BY t.well_id, t.transient_id, k, us < 0) AS n
+           FROM transients t CROSS JOIN scales JOIN (SELECT *, epoch_us(ts) AS at FROM rate) r ON r.well_id = t.well_id, LATERAL (SELECT r.at - epoch_us(t.start_ts) AS us) u
+           WHERE us >= -round(t.duration_hr * s * 3.6e9) AND us < round(t.duration_hr * s * 3.6e9)),
+both_sides AS (SELECT b.well_id, b.transient_id, b.k, b.rate - a.rate AS d FROM around b JOIN around a ON a.well_id = b.well_id AND a.transient_id = b.transient_id AND a.k = b.k AND b.early AND NOT a.early
+               AND b.o - greatest(b.n - a.n, 0) = a.o WHERE b.n > 2 AND a.n > 2),
+ranked AS (SELECT *, rank() OVER (PARTITION BY well_id, transient_id, k ORDER BY abs(d)) + (tied - 1) / 2.0::DOUBLE AS r FROM (
+           SELECT *, count(*) OVER (PARTITION BY well_id, transient_id, k, abs(d)) AS tied FROM both_sides WHERE d <> 0)),
+zeros AS (SELECT well_id, transient_id, k, count(*) FILTER (d = 0) AS n_zero FROM both_sides GROUP BY ALL),
+stats AS (SELECT well_id, transient_id, k, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, max(tied) AS most, sum(tied::DOUBLE * tied - 1) AS tie FROM ranked GROUP BY ALL),
+ways(n, w, c) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL SELECT n + 1, w + step * (n + 1), sum(c) FROM ways CROSS JOIN (VALUES (0), (1)) v(step) WHERE n < 50 GROUP BY n + 1, w + step * (n + 1)),
+tails AS (SELECT n, w, least(1.0, 2 * sum(c) OVER (PARTITION BY n ORDER BY w) / pow(2.0, n)) AS p FROM ways),
+tested AS (SELECT s.well_id, s.transient_id, s.k, CASE WHEN s.n <= 50 AND most = 1 AND n_zero = 0 THEN p < 0.05
+               ELSE abs(least(plus, s.n * (s.n + 1) / 2 - plus) - s.n * (s.n + 1) / 4.0::DOUBLE) > 1.959963984540054 * sqrt(s.n * (s.n + 1) * (2 * s.n + 1) / 24.0::DOUBLE - tie / 48) END AS differ
+           FROM stats s JOIN zeros USING (well_id, transient_id, k) LEFT JOIN tails t ON t.n = s.n AND t.w = CAST(floor(least(plus, s.n * (s.n + 1) / 2 - plus)) AS INT))"""
+
+
+@query(_with("SELECT t.well_id, t.transient_id, " + ", ".join(f"CAST(coalesce(bool_or(differ) FILTER (k = '{k}'), false) AS INT) AS binary_rate_change_{k}" for k in scores.SCALES) + " FROM transients t LEFT JOIN tested x ON x.well_id = t.well_id AND x.transient_id = t.transient_id GROUP BY t.well_id, t.transient_id", _TESTS))
 def rate_change_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, r, _ = _quality(spark, sf_dir)
     return scores.rate_tests(t, r)
@@ -408,25 +436,66 @@ def _workflow(spark: SparkSession, sf_dir: str) -> workflow.Workflow:
     return workflow.ti_workflow(G.bhp(spark, sf_dir), G.rate(spark, sf_dir), interval_shutin=24, interval_injection=24, order=ORDER, start_filter_hours=EDGE, end_filter_hours=EDGE)
 
 
-@query()
+#: The whole workflow: wells with a shut-in of over 24 hours by their periods between shut-ins (period 1 and on), the others as one period 0.
+_WORKFLOW = f"""
+long AS (SELECT * FROM shutins WHERE duration_hr > 24),
+long_wells AS (SELECT DISTINCT well_id FROM long),
+every_shutin AS (SELECT s.* FROM shutins s SEMI JOIN long_wells USING (well_id)),
+last_at AS (SELECT well_id, arg_max(time_hr, seq) AS z FROM bhp GROUP BY well_id),
+between_shutins AS (SELECT well_id, coalesce(lag(end_hr) OVER w, 0.0) AS start_hr, start_hr AS end_hr FROM every_shutin WINDOW w AS (PARTITION BY well_id ORDER BY start_hr, end_hr)
+    UNION ALL SELECT well_id, end_hr, z FROM (SELECT *, lead(start_hr) OVER (PARTITION BY well_id ORDER BY start_hr, end_hr) AS next FROM every_shutin) JOIN last_at USING (well_id) WHERE next IS NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY start_hr, end_hr) AS period FROM between_shutins WHERE end_hr - start_hr <> 0),
+samples AS (SELECT b.*, period FROM bhp b JOIN numbered n ON n.well_id = b.well_id AND b.time_hr BETWEEN n.start_hr AND n.end_hr UNION ALL SELECT b.*, 0 FROM bhp b ANTI JOIN long_wells USING (well_id)),
+bent AS (SELECT *, round(-sin(angle) * time_hr + cos(angle) * pressure, 9) AS rotated FROM (
+    SELECT *, atan((last(pressure) OVER f - first(pressure) OVER f) / nullif(last(time_hr) OVER f - first(time_hr) OVER f, 0)) AS angle
+    FROM samples WINDOW f AS (PARTITION BY well_id, period ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
+lows AS (SELECT *, coalesce(rotated < min(rotated) OVER (PARTITION BY well_id, period ORDER BY seq ROWS BETWEEN {ORDER} PRECEDING AND 1 PRECEDING)
+                        AND rotated < min(rotated) OVER (PARTITION BY well_id, period ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND {ORDER} FOLLOWING), false) AS low,
+                seq = first(seq) OVER (PARTITION BY well_id, period ORDER BY pressure DESC, seq) AS top,
+                min(time_hr) OVER (PARTITION BY well_id, period) AS lo, max(time_hr) OVER (PARTITION BY well_id, period) AS hi,
+                min(seq) OVER (PARTITION BY well_id, period) AS s0, max(seq) OVER (PARTITION BY well_id, period) AS s1 FROM bent),
+low_points AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id, period, time_hr ORDER BY low DESC, seq) AS n FROM lows WHERE low OR top) WHERE n = 1 AND time_hr > lo + {EDGE} AND time_hr < hi - {EDGE}),
+splits AS (SELECT well_id, period, seq, ts, time_hr FROM low_points UNION ALL SELECT well_id, period, seq, ts, time_hr FROM lows WHERE seq = s0 UNION ALL SELECT well_id, period, seq, ts, time_hr FROM lows WHERE seq = s1),
+flows AS (SELECT well_id, period, start_ts, start_hr, end_hr, end_hr - start_hr AS duration_hr FROM (
+    SELECT well_id, period, ts AS start_ts, time_hr AS start_hr, lead(time_hr) OVER (PARTITION BY well_id, period ORDER BY time_hr, seq) AS end_hr FROM splits) WHERE end_hr - start_hr >= 24),
+raised AS (SELECT well_id, ts, time_hr, 'start' AS label, 0 AS rank FROM bhp SEMI JOIN long_wells USING (well_id) WHERE seq = 1
+    UNION ALL SELECT b.well_id, ts, time_hr, 'end', 0 FROM bhp b SEMI JOIN long_wells USING (well_id) WHERE seq = (SELECT max(seq) FROM bhp c WHERE c.well_id = b.well_id)
+    UNION ALL SELECT well_id, start_ts, start_hr, 'shutin', 1 FROM every_shutin UNION ALL SELECT well_id, end_ts, end_hr, 'shutin', 1 FROM every_shutin
+    UNION ALL SELECT well_id, ts, time_hr, 'multibp', 2 FROM low_points WHERE period > 0),
+starts AS (SELECT well_id, start_hr FROM long UNION SELECT well_id, start_hr FROM flows WHERE period > 0),
+marks AS (SELECT well_id, ts, time_hr, label FROM (SELECT *, row_number() OVER (PARTITION BY well_id, ts ORDER BY rank, label DESC) AS n FROM raised) r
+          WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM starts t WHERE t.well_id = r.well_id AND t.start_hr > 2 AND r.time_hr >= t.start_hr - 2 AND r.time_hr < t.start_hr)
+    UNION ALL SELECT well_id, ts, time_hr, 'multibp' FROM (SELECT *, row_number() OVER (PARTITION BY well_id, ts ORDER BY time_hr, seq) AS n FROM splits WHERE period = 0) WHERE n = 1),
+spans AS (SELECT * FROM (SELECT well_id, ts AS start_ts, time_hr AS start_hr, lead(ts) OVER w AS end_ts, lead(time_hr) OVER w AS end_hr, row_number() OVER w AS seq
+          FROM marks WINDOW w AS (PARTITION BY well_id ORDER BY ts)) WHERE end_ts IS NOT NULL),
+{G.RATES_SQL.replace(" tiles ", " spans ").lstrip()},
+found AS (SELECT f.*, r.rate FROM (SELECT well_id, start_ts, start_hr, end_hr, duration_hr, 'shutin' AS status, false AS single FROM long
+          UNION ALL SELECT well_id, start_ts, start_hr, end_hr, duration_hr, 'flowing', period = 0 FROM flows) f LEFT JOIN rates r ON r.well_id = f.well_id AND r.start_ts = f.start_ts)"""
+
+
+def _workflow_sql(select: str) -> str:
+    return _with(select, _SHUTINS, _WORKFLOW)
+
+
+@query(_workflow_sql(f"""SELECT well_id, {_uss('start_hr', 'end_hr', 'duration_hr')}, CASE WHEN single THEN status WHEN status = 'shutin' AND rate <> 0 THEN 'flowing' WHEN status = 'flowing' AND rate = 0 THEN 'shutin' ELSE status END AS status FROM found"""))
 def workflow_transients(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _workflow(spark, sf_dir)
-    return w.shutin.unionByName(w.flowing)
+    return w.shutin.unionByName(w.flowing).select("well_id", *_us("start_hr", "end_hr", "duration_hr"), "status")
 
 
-@query()
+@query(_workflow_sql(f"SELECT well_id, {_uss('time_hr')}, label FROM marks"))
 def workflow_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workflow(spark, sf_dir).breakpoints
+    return _workflow(spark, sf_dir).breakpoints.select("well_id", *_us("time_hr"), "label")
 
 
-@query()
+@query(_workflow_sql(f"SELECT well_id, seq, {_uss('start_hr', 'end_hr')}, {_rs('rate')} FROM rates"))
 def workflow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workflow(spark, sf_dir).weighted_rates
+    return _workflow(spark, sf_dir).weighted_rates.select("well_id", "seq", *_us("start_hr", "end_hr"), *_r("rate"))
 
 
-@query()
+@query(_with(f"SELECT well_id, {_uss('x0', 'x1')}, status AS label, CASE status {' '.join(f"WHEN '{k}' THEN '{plots.COLOURS[k]}'" for k in ('shutin', 'flowing'))} END AS colour FROM (SELECT *, start_hr AS x0, end_hr AS x1 FROM transients)"))
 def plot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plots.bands(G.grid_transients(G.bhp(spark, sf_dir)))
+    return plots.bands(G.grid_transients(G.bhp(spark, sf_dir))).select("well_id", *_us("x0", "x1"), "label", "colour")
 
 
 # --- regimes and patterns -------------------------------------------------------------------------------------------
