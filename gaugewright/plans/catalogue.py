@@ -362,37 +362,45 @@ def _quality(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return G.grid_transients(b), G.rate(spark, sf_dir), b
 
 
-@query(_with("""SELECT transients.well_id, transients.transient_id, round(CASE WHEN n >= 2 THEN 1 - coalesce(turns, 0) / greatest(n - 2, 1) END, 6) + 0.0 AS monotonicity_ratio,
-    round(CASE WHEN n >= 2 THEN 1 / (1 + exp(0.2 * (mean_res / greatest(mad * 1.4826, 1e-6) - 50))) END, 6) + 0.0 AS local_deviation, round(CASE WHEN n >= 2 THEN coalesce(abs(z - a) / nullif(path, 0), 1.0) END, 6) + 0.0 AS trend_efficiency
-    FROM transients LEFT JOIN agg USING (well_id, transient_id) LEFT JOIN mads USING (well_id, transient_id)""", """
+_RESIDUALS = """
 x0 AS (SELECT t.well_id, t.transient_id, b.seq, b.pressure, b.pressure - lag(b.pressure) OVER w AS d, abs(b.pressure - avg(b.pressure) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) AS res
        FROM transients t JOIN bhp b ON b.well_id = t.well_id AND b.ts >= t.start_ts AND b.ts < t.end_ts WINDOW w AS (PARTITION BY t.well_id, t.transient_id ORDER BY b.ts, b.seq)),
 x1 AS (SELECT *, CAST(sign(d) <> sign(lag(d) OVER (PARTITION BY well_id, transient_id ORDER BY seq)) AS INT) AS turn FROM x0),
 agg AS (SELECT well_id, transient_id, count(*) AS n, sum(turn) AS turns, sum(abs(d)) AS path, arg_max(pressure, seq) AS z, arg_min(pressure, seq) AS a, median(res) AS mid, avg(res) AS mean_res FROM x1 GROUP BY well_id, transient_id),
-mads AS (SELECT well_id, transient_id, median(abs(res - mid)) AS mad FROM x1 JOIN agg USING (well_id, transient_id) GROUP BY well_id, transient_id)"""))
+mads AS (SELECT well_id, transient_id, median(abs(res - mid)) AS mad FROM x1 JOIN agg USING (well_id, transient_id) GROUP BY well_id, transient_id),
+of_pressure AS (SELECT transients.well_id, transients.transient_id, CASE WHEN n >= 2 THEN 1 - coalesce(turns, 0) / greatest(n - 2, 1) END AS monotonicity_ratio,
+    CASE WHEN n >= 2 THEN 1 / (1 + exp(0.2 * (mean_res / greatest(mad * 1.4826, 1e-6) - 50))) END AS local_deviation, CASE WHEN n >= 2 THEN coalesce(abs(z - a) / nullif(path, 0), 1.0) END AS trend_efficiency
+    FROM transients LEFT JOIN agg USING (well_id, transient_id) LEFT JOIN mads USING (well_id, transient_id))"""
+
+
+@query(_with(f"SELECT well_id, transient_id, {_rs(*scores.PRESSURE)} FROM of_pressure", _RESIDUALS))
 def pressure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _, b = _quality(spark, sf_dir)
     return scores.pressure_features(t, b).select("well_id", "transient_id", *_r(*scores.PRESSURE))
 
 
-@query(_with("""SELECT t.well_id, t.transient_id, round(stddev_samp(rate) FILTER (r.ts >= t.start_ts), 6) AS rate_std, round(stddev_samp(rate) FILTER (r.ts < t.start_ts), 6) AS rate_td_std,
-    round(quantile_cont(rate, 0.9) FILTER (r.ts >= t.start_ts) - quantile_cont(rate, 0.1) FILTER (r.ts >= t.start_ts), 6) AS rate_iqr
-    FROM transients t LEFT JOIN rate r ON r.well_id = t.well_id AND r.ts < t.end_ts AND epoch_us(r.ts) >= epoch_us(t.start_ts) - CAST(round(t.duration_hr * 3.6e9) AS BIGINT) GROUP BY t.well_id, t.transient_id"""))
+_OF_RATE = """
+of_rate AS (SELECT t.well_id, t.transient_id, stddev_samp(rate) FILTER (r.ts >= t.start_ts) AS rate_std, stddev_samp(rate) FILTER (r.ts < t.start_ts) AS rate_td_std,
+    quantile_cont(rate, 0.9) FILTER (r.ts >= t.start_ts) - quantile_cont(rate, 0.1) FILTER (r.ts >= t.start_ts) AS rate_iqr
+    FROM transients t LEFT JOIN rate r ON r.well_id = t.well_id AND r.ts < t.end_ts AND epoch_us(r.ts) >= epoch_us(t.start_ts) - CAST(round(t.duration_hr * 3.6e9) AS BIGINT) GROUP BY t.well_id, t.transient_id)"""
+
+
+@query(_with(f"SELECT well_id, transient_id, {_rs(*scores.RATE)} FROM of_rate", _OF_RATE))
 def rate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, r, _ = _quality(spark, sf_dir)
     return scores.rate_features(t, r).select("well_id", "transient_id", *_r(*scores.RATE))
 
 
-def _snr_sql() -> str:
+def _of_change() -> str:
     cols = []
     for k, s in scores.SCALES.items():
         b = f"r.us < 0 AND r.us >= -round({s} * dur * 3.6e9)"
         a = f"r.us >= 0 AND r.us < round({s} * dur * 3.6e9)"
-        cols.append(f"round(CASE WHEN count(*) FILTER ({b}) > 2 AND count(*) FILTER ({a}) > 2 THEN abs(avg(rate) FILTER ({a}) - avg(rate) FILTER ({b})) / greatest(stddev_samp(rate) FILTER ({b}), stddev_samp(rate) FILTER ({a}), 1e-6) END, 6) AS rate_change_snr_{k}")
-    return _with(f"SELECT well_id, transient_id, {', '.join(cols)} FROM (SELECT t.well_id, t.transient_id, t.duration_hr AS dur, r.rate, epoch_us(r.ts) - epoch_us(t.start_ts) AS us FROM transients t LEFT JOIN rate r ON r.well_id = t.well_id) r GROUP BY well_id, transient_id")
+        cols.append(f"CASE WHEN count(*) FILTER ({b}) > 2 AND count(*) FILTER ({a}) > 2 THEN abs(avg(rate) FILTER ({a}) - avg(rate) FILTER ({b})) / greatest(stddev_samp(rate) FILTER ({b}), stddev_samp(rate) FILTER ({a}), 1e-6) END AS rate_change_snr_{k}")
+    return f"of_change AS (SELECT well_id, transient_id, {', '.join(cols)} FROM (SELECT t.well_id, t.transient_id, t.duration_hr AS dur, r.rate, epoch_us(r.ts) - epoch_us(t.start_ts) AS us FROM transients t LEFT JOIN rate r ON r.well_id = t.well_id) r GROUP BY well_id, transient_id)"
 
 
-@query(_snr_sql())
+@query(_with(f"SELECT well_id, transient_id, {_rs(*[f'rate_change_snr_{k}' for k in scores.SCALES])} FROM of_change", _of_change()))
 def rate_change_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, r, _ = _quality(spark, sf_dir)
     return scores.rate_change(t, r).select("well_id", "transient_id", *_r(*[f"rate_change_snr_{k}" for k in scores.SCALES]))
@@ -417,16 +425,28 @@ tested AS (SELECT s.well_id, s.transient_id, s.k, CASE WHEN s.n <= 50 AND most =
            FROM stats s JOIN zeros USING (well_id, transient_id, k) LEFT JOIN tails t ON t.n = s.n AND t.w = CAST(floor(least(plus, s.n * (s.n + 1) / 2 - plus)) AS INT))"""
 
 
-@query(_with("SELECT t.well_id, t.transient_id, " + ", ".join(f"CAST(coalesce(bool_or(differ) FILTER (k = '{k}'), false) AS INT) AS binary_rate_change_{k}" for k in scores.SCALES) + " FROM transients t LEFT JOIN tested x ON x.well_id = t.well_id AND x.transient_id = t.transient_id GROUP BY t.well_id, t.transient_id", _TESTS))
+_OF_TESTS = "of_tests AS (SELECT t.well_id, t.transient_id, " + ", ".join(f"CAST(coalesce(bool_or(differ) FILTER (k = '{k}'), false) AS INT) AS binary_rate_change_{k}" for k in scores.SCALES) + " FROM transients t LEFT JOIN tested x ON x.well_id = t.well_id AND x.transient_id = t.transient_id GROUP BY t.well_id, t.transient_id)"
+
+
+@query(_with("SELECT * FROM of_tests", _TESTS, _OF_TESTS))
 def rate_change_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, r, _ = _quality(spark, sf_dir)
     return scores.rate_tests(t, r)
 
 
-@query()
+def _scores_sql() -> str:
+    mean = lambda parts: f"list_avg(list_filter([{', '.join(parts)}], lambda v: v IS NOT NULL))"
+    bounds = ", ".join(f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.95) AS hi_{c}" for c in scores.RATE)
+    scaled = [f"CASE WHEN {c} < lo_{c} THEN 1.0 WHEN {c} > hi_{c} THEN 0.0 ELSE 1 - ({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0) END" for c in scores.RATE]
+    change = " + ".join(f"coalesce(1 / (1 + exp(-2 * (rate_change_snr_{k} - 1))), 0.5) + binary_rate_change_{k}" for k in scores.SCALES)
+    return _with(f"""SELECT well_id, transient_id, round({mean(scores.PRESSURE)}, 6) + 0.0 AS pressure_score, round({mean(scaled)}, 6) + 0.0 AS rate_score, round(({change}) / 6, 6) + 0.0 AS significance_score
+    FROM of_pressure JOIN of_rate USING (well_id, transient_id) JOIN of_change USING (well_id, transient_id) JOIN of_tests USING (well_id, transient_id) CROSS JOIN (SELECT {bounds} FROM of_rate)""", _RESIDUALS, _OF_RATE, _of_change(), _TESTS, _OF_TESTS)
+
+
+@query(_scores_sql())
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, r, b = _quality(spark, sf_dir)
-    return scores.scores(t, r, b, merge=False)
+    return scores.scores(t, r, b, merge=False).select("well_id", "transient_id", *_r("pressure_score", "rate_score", "significance_score"))
 
 
 # --- workflow -------------------------------------------------------------------------------------------------------
