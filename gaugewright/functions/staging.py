@@ -47,11 +47,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return uri
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there."""
+    """Write df to the shared folder and read it back: the lineage ends there.
+
+    The shuffle files of the write serve nothing else, and go when it ends."""
     spark = df.sparkSession
     uri = new_path(spark, label)
-    df.write.parquet(uri)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(uri)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(uri)
     out._stored_uri = uri
     return out
