@@ -238,6 +238,32 @@ def contract(shared: DataFrame, check: Check, ratio: float, label: str, slip: fl
     return comp
 
 
+def settle(pairs: DataFrame, comp: DataFrame, check: Check, label: str, rounds: int = 2) -> DataFrame:
+    """(id, comp) after every link among pairs (a, b).
+
+    A round tries one pair for each component, with the one that it shares most pairs
+    with; pairs that have come into one component need no check then, and all that
+    are still open after the rounds are checked."""
+
+    def still_open(pairs: DataFrame) -> DataFrame:
+        side = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
+        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        return named.filter("ca <> cb")
+
+    for r in range(rounds):
+        left = keep(still_open(pairs), f"{label}-open")
+        both = left.select("a", "b", F.col("ca").alias("c"), F.col("cb").alias("other")).union(left.select("a", "b", F.col("cb").alias("c"), F.col("ca").alias("other")))
+        shared = both.groupBy("c", "other").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("a", "b", F.lit(r)).alias("d"), "a", "b")).alias("p"))
+        tried = keep(shared.groupBy("c").agg(F.max(F.struct("n", F.negate("other"), "p")).alias("x")).select("x.p.a", "x.p.b").distinct(), f"{label}-tried")
+        links = keep(check(tried), f"{label}-tried-links")
+        old, comp = comp, merge(comp, links, f"{label}-comp")
+        pairs = keep(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"{label}-untried")
+        for x in (left, tried, links, old):
+            drop(x)
+    links = keep(check(still_open(pairs).select("a", "b")), f"{label}-links")
+    return merge(comp, links, f"{label}-comp")
+
+
 @dataclass
 class Members:
     """Of one piece of a key."""
