@@ -93,8 +93,12 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, special: bool = True) -> Vocabulary:
+    """special: whether the strings of special tokens in a text stand for those tokens, or are text like any other."""
+    v = Vocabulary(path)
+    if not special:
+        v.special, v.split = {}, None
+    return v
 
 
 def encode_words(v: Vocabulary, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +168,10 @@ def gather(ids: np.ndarray, begin: np.ndarray, which: np.ndarray) -> np.ndarray:
     return ids[np.arange(end[-1]) + np.repeat(begin[which] - (end - n), n)] if len(which) else ids[:0]
 
 
-def irregular(c: B.Chunk) -> np.ndarray:
-    """Texts of a chunk with white space other than single inner spaces and newlines, or with "<|" in them."""
+def irregular(c: B.Chunk, led: bool = False) -> np.ndarray:
+    """Texts of a chunk with white space other than single inner spaces and newlines, or with "<|" in them.
+
+    led: every text begins with a space and something behind it, and that space is no oddity."""
     buf = c.buf
     ends = np.zeros(len(buf), bool)
     ends[c.stop] = True  # the newlines between texts
@@ -173,6 +179,8 @@ def irregular(c: B.Chunk) -> np.ndarray:
     space = (buf == 32) | (buf == 10)
     odd[1:] |= space[1:] & space[:-1] & ~(ends[1:] & ends[:-1])
     odd[c.start] |= space[c.start] & ~ends[c.start]
+    if led:
+        odd[c.start] = False
     wide = np.flatnonzero((buf[:-2] == 0xC2) | (buf[:-2] == 0xE1) | (buf[:-2] == 0xE2) | (buf[:-2] == 0xE3) | (buf[:-2] == 0x3C)) if len(buf) > 2 else np.zeros(0, np.int64)
     x, y, z = (buf[wide + k] for k in range(3))
     hit = (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80) | (x == 0x3C) & (y == 0x7C)
@@ -181,7 +189,7 @@ def irregular(c: B.Chunk) -> np.ndarray:
     return np.bincount(np.searchsorted(c.stop, np.flatnonzero(odd)), minlength=len(c.start))[: len(c.start)] > 0
 
 
-def encode_block(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(v: Vocabulary, column: pa.Array, led: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts of a column, by one index over its distinct units, and where each text's ids begin (and a last end).
 
     Pre-tokens never run over the start of a single space or newline between
@@ -192,7 +200,7 @@ def encode_block(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarra
     wholes: list[tuple[int, str]] = []
     base = 0
     for c in B.chunks(column):
-        odd = irregular(c)
+        odd = irregular(c, led)
         s, e = c.words()
         who = c.owner(s)
         ok = ~odd[who]

@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugewright.llm import bpe, jaccard, licenses, lines, mixing, neighbours, pii, quality, repeats, warc
+from gaugewright.llm import align, bpe, jaccard, licenses, lines, mixing, neighbours, pieces, pii, quality, repeats, warc, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +63,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_license_scans, op4_ngram_jaccard_join, op5_bpe, op6_mixing, op7_nearest_neighbours, op8_warc, op9_line_dedup, op10_pii)}
+    known = (
+        op1_quality_rules, op2_suffix_dedup, op3_license_scans, op4_ngram_jaccard_join, op5_bpe, op6_mixing, op7_nearest_neighbours,
+        op8_warc, op9_line_dedup, op10_pii, op11_whitening, op12_alignment, op13_sentencepiece,
+    )
+    return {f.__name__: f for f in known}
 
 
 def oracle_sql() -> dict[str, str]:
