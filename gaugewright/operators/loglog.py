@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.functions.intervals import interval_join
 from gaugewright.functions.kernels import bourdet, group_bounds, whole_groups
 from gaugewright.functions.numeric import last_nonzero, ratio
 
@@ -24,7 +25,8 @@ def with_ids(transients: DataFrame) -> DataFrame:
 def transient_samples(bhp: DataFrame, transients: DataFrame) -> DataFrame:
     """Samples of each transient (closed range of hours)."""
     t = transients.select("well_id", "transient_id", "start_hr", "end_hr")
-    return bhp.join(t, "well_id").filter(F.col("time_hr").between(F.col("start_hr"), F.col("end_hr")))
+    inside = F.col("time_hr").between(F.col("start_hr"), F.col("end_hr"))
+    return interval_join(bhp, t, ["well_id"], F.col("time_hr"), F.col("start_hr"), F.col("end_hr"), inside)
 
 
 def rate_steps(points: DataFrame, rates: DataFrame, transients: DataFrame) -> DataFrame:
@@ -92,12 +94,15 @@ def _at(values: Column, back: int) -> Column:
 def normalize(frame: DataFrame, steps: DataFrame, reference: DataFrame) -> DataFrame:
     """frame with pressures and derivatives scaled to a well's reference transient.
 
-    steps: rates of each transient; reference: well_id, ref_rates. A transient
-    that ends at a rate of 0 is scaled by its last rate that is not 0."""
+    steps: rates of each transient; reference: well_id, ref_rates. Pressures are
+    scaled by the last change of rate, by the last rate where the last two are
+    equal, and by the last rate that is not 0 where a transient ends at 0."""
     tail = lambda a: F.filter(F.transform(a, lambda q, i: F.when(q != 0, i)), lambda i: i.isNotNull())
     at = F.try_element_at(tail(F.col("ref_rates")), F.lit(-1))
     ref = reference.select("well_id", "ref_rates", F.get("ref_rates", at).alias("qr"), F.when(at > 0, F.get("ref_rates", at - 1)).otherwise(0.0).alias("qr_prev"))
-    own = steps.select(*KEYS, last_nonzero(F.col("rates")).alias("q"), F.when(_at(F.col("rates"), 1) == 0, last_nonzero(F.col("rates"))).when(F.size("rates") > 1, _at(F.col("rates"), 1) - _at(F.col("rates"), 2)).otherwise(_at(F.col("rates"), 1)).alias("dq"))
+    z, y = _at(F.col("rates"), 1), _at(F.col("rates"), 2)
+    change = F.when(z == 0, last_nonzero(F.col("rates"))).when(z != y, z - y).otherwise(z)  # one rate, or two equal ones: the rate itself
+    own = steps.select(*KEYS, last_nonzero(F.col("rates")).alias("q"), change.alias("dq"))
     x = frame.join(own, list(KEYS)).join(ref, "well_id")
     s, a = F.abs(ratio(F.col("qr"), F.col("dq"))), F.abs(ratio(F.col("qr") - F.col("qr_prev"), F.col("dq")))
     sd, ad = F.abs(ratio(F.col("qr"), F.col("q"))), F.abs(ratio(F.col("qr") - F.col("qr_prev"), F.col("q")))

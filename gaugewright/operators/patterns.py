@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,29 +54,70 @@ def regime_confidence(members: list[tuple[np.ndarray, np.ndarray]], code: int, s
     return out
 
 
+def _longest(r: np.ndarray, first: np.ndarray, last: np.ndarray, log_grid: np.ndarray, reach: np.ndarray, least: int) -> tuple[int, float, int, int] | None:
+    """How many members at most share an interval that is long enough, and the longest one that so many share: (number, length, start, end).
+
+    r: for each member and grid point where its run of the code began, beyond the
+    grid if it has another code there. first and last: the members that set the grid's
+    ends, of which one each must be among those that share. reach: the latest
+    start with which an interval that ends at a point is long enough."""
+    edge = np.maximum(r[first].min(axis=0), r[last].min(axis=0))
+    if least == 1:  # a single member sets both ends itself
+        both = r[first & last]
+        alone = both.min(axis=0) if len(both) else np.full(r.shape[1], r.shape[1])
+    share = np.where(edge <= reach, (r <= reach).sum(axis=0), 0)
+    if least == 1 and share.max() == 1:
+        edge = alone
+        share = np.where(edge <= reach, share, 0)
+    most = int(share.max())
+    if most < least:
+        return None
+    start = np.maximum(np.partition(r, most - 1, axis=0)[most - 1], edge)
+    length = np.where(start <= reach, log_grid - log_grid[np.minimum(start, len(log_grid) - 1)], -1)
+    end = int(length.argmax())
+    return most, float(length[end]), int(start[end]), end
+
+
 def stable_intervals(members: list[tuple[np.ndarray, np.ndarray]], minimum: float = 0.3, max_drop: int = 2, points: int = 500) -> list[tuple[int, float, float, float, int]]:
     """(regime, start, end, confidence, dropped): the longest interval in which all kept transients have a regime.
 
     As few transients are left out as will do; of the sets of one size the longest
-    interval counts. Codes between points are interpolated and must be met exactly."""
-    for drop in range(min(max_drop, len(members) - 1) + 1):
-        best: dict[int, tuple[float, float, float]] = {}
-        for kept in combinations(range(len(members)), len(members) - drop):
-            lo, hi = max(members[i][0][0] for i in kept), min(members[i][0][-1] for i in kept)
-            if not 0 < lo < hi:
+    interval counts, of equal ones the first. Codes between points are interpolated and must be met exactly.
+
+    Kept transients share a log-spaced grid from their latest start to their earliest
+    end, so there are as many grids as pairs of a start and an end, not one for
+    each subset. On a grid each member's runs of a code are found once; an interval is
+    shared by the members whose run began at or before its start, so the k-th
+    smallest of those beginnings is where the longest interval of k members starts."""
+    n = len(members)
+    least = n - min(max_drop, n - 1)
+    starts, ends = np.array([m[0][0] for m in members]), np.array([m[0][-1] for m in members])
+    inside = lambda lo, hi: (starts <= lo) & (ends >= hi)
+    pairs = [(int(inside(lo, hi).sum()), lo, hi) for lo in np.unique(starts) for hi in np.unique(ends) if 0 < lo < hi and np.log10(hi) - np.log10(lo) >= minimum - 1e-9]
+    best: dict[int, tuple[float, float, float]] = {}
+    at, kept = np.arange(points), least
+    for size, lo, hi in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        own = np.flatnonzero(inside(lo, hi))
+        first, last = starts[own] == lo, ends[own] == hi
+        if size < kept or not first.any() or not last.any():
+            continue
+        grid = np.logspace(np.log10(lo), np.log10(hi), points)
+        log_grid = np.log10(grid)
+        reach = np.searchsorted(log_grid, log_grid - minimum, side="right") - 1
+        reach = np.where((reach >= 0) & (log_grid - log_grid[reach] >= minimum), reach, reach - 1)
+        codes = np.stack([np.interp(grid, *members[i]) for i in own])
+        for code in STABLE:
+            other = codes != code
+            r = np.where(other, points, np.maximum.accumulate(np.where(other, at, -1), axis=1) + 1)
+            found = _longest(r, first, last, log_grid, reach, kept)
+            if found is None:
                 continue
-            grid = np.logspace(np.log10(lo), np.log10(hi), points)
-            codes = np.stack([np.interp(grid, *members[i]) for i in kept])
-            for code in STABLE:
-                runs = _islands((codes == code).all(axis=0))
-                if not runs:
-                    continue
-                length, a, b = max(((np.log10(grid[b]) - np.log10(grid[a]), -a, b) for a, b in runs))
-                if length >= minimum and length > best.get(code, (0.0,))[0]:
-                    best[code] = (length, grid[-a], grid[b])
-        if best:
-            return [(code, float(a), float(b), float(np.prod(regime_confidence(members, code, a, b))), drop) for code, (_, a, b) in sorted(best.items())]
-    return []
+            most, length, a, b = found
+            if most > kept:
+                kept, best = most, {}
+            if length > best.get(code, (0.0,))[0] or length == best[code][0] and grid[a] < best[code][1]:
+                best[code] = (length, grid[a], grid[b])
+    return [(code, float(a), float(b), float(np.prod(regime_confidence(members, code, a, b))), n - kept) for code, (_, a, b) in sorted(best.items())]
 
 
 def _members(g: pd.DataFrame, member: str, *columns: str) -> list[tuple[np.ndarray, ...]]:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.functions.intervals import interval_join, micros
 from gaugewright.functions.kernels import wilcoxon_p
 from gaugewright.functions.numeric import add_hours, ratio
 
@@ -16,12 +17,25 @@ PRESSURE = ("monotonicity_ratio", "local_deviation", "trend_efficiency")
 RATE = ("rate_std", "rate_td_std", "rate_iqr")
 
 
+def _within(samples: DataFrame, spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Samples of each span, half-open."""
+    inside = (F.col("ts") >= F.col(start)) & (F.col("ts") < F.col(end))
+    return interval_join(samples, spans, ["well_id"], micros(samples, "ts"), micros(spans, start), micros(spans, end), inside)
+
+
+def _around(transients: DataFrame, rate: DataFrame) -> DataFrame:
+    """Rates as long before and after each transient's start as it lasts, half-open."""
+    start, width = F.col("start_ts"), F.col("duration_hr")
+    t = transients.select(*KEYS, "start_ts", "duration_hr", add_hours(start, -width).alias("from_ts"), add_hours(start, width).alias("to_ts"))
+    return _within(rate, t, "from_ts", "to_ts")
+
+
 def pressure_features(transients: DataFrame, pressure: DataFrame, window: int = 12) -> DataFrame:
     """Monotonicity, local deviation and trend efficiency of each transient (half-open); null below two samples.
 
     transients: well_id, transient_id, start_ts, end_ts, duration_hr. pressure: well_id, seq, ts, pressure."""
     t = transients.select(*KEYS, "start_ts", "end_ts")
-    x = pressure.join(t, "well_id").filter((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))
+    x = _within(pressure, t, "start_ts", "end_ts")
     w = Window.partitionBy(*KEYS).orderBy("ts", "seq")
     p = F.col("pressure")
     x = x.withColumn("d", p - F.lag(p).over(w)).withColumn("res", F.abs(p - F.avg(p).over(w.rowsBetween(1 - window, 0))))
@@ -41,7 +55,7 @@ def pressure_features(transients: DataFrame, pressure: DataFrame, window: int =
 def rate_features(transients: DataFrame, rate: DataFrame) -> DataFrame:
     """Sample deviation in the transient and in as long a window before it, and the spread from the 10th to the 90th percentile."""
     t = transients.select(*KEYS, "start_ts", "end_ts", add_hours(F.col("start_ts"), -F.col("duration_hr")).alias("from_ts"))
-    x = rate.join(t, "well_id").filter((F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("end_ts")))
+    x = _within(rate, t, "from_ts", "end_ts")
     during, before = F.col("ts") >= F.col("start_ts"), F.col("ts") < F.col("start_ts")
     q = F.percentile(F.when(during, F.col("rate")), F.array(F.lit(0.9), F.lit(0.1)))
     a = x.groupBy(*KEYS).agg(F.stddev_samp(F.when(during, F.col("rate"))).alias("rate_std"), F.stddev_samp(F.when(before, F.col("rate"))).alias("rate_td_std"), q.alias("q"))
@@ -50,8 +64,7 @@ def rate_features(transients: DataFrame, rate: DataFrame) -> DataFrame:
 
 def rate_change(transients: DataFrame, rate: DataFrame) -> DataFrame:
     """Signal to noise of the rate change at the start, over windows of three lengths; null with two samples or fewer on a side."""
-    t = transients.select(*KEYS, "start_ts", "duration_hr")
-    x = rate.join(t, "well_id").filter((F.col("ts") >= add_hours(F.col("start_ts"), -F.col("duration_hr"))) & (F.col("ts") < add_hours(F.col("start_ts"), F.col("duration_hr"))))
+    x = _around(transients, rate)
     aggs: list[Column] = []
     for name, s in SCALES.items():
         sides = {"b": (F.col("ts") < F.col("start_ts")) & (F.col("ts") >= add_hours(F.col("start_ts"), -s * F.col("duration_hr"))), "a": (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < add_hours(F.col("start_ts"), s * F.col("duration_hr")))}
@@ -66,8 +79,7 @@ def rate_change(transients: DataFrame, rate: DataFrame) -> DataFrame:
 
 def rate_tests(transients: DataFrame, rate: DataFrame) -> DataFrame:
     """1 where a signed-rank test finds the rates on the two sides of the start to differ (p < 0.05), else 0, for three windows."""
-    t = transients.select(*KEYS, "start_ts", "duration_hr")
-    x = rate.join(t, "well_id").filter((F.col("ts") >= add_hours(F.col("start_ts"), -F.col("duration_hr"))) & (F.col("ts") < add_hours(F.col("start_ts"), F.col("duration_hr"))))
+    x = _around(transients, rate)
     x = x.select(*KEYS, "seq", "rate", "duration_hr", (F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("ts"))).alias("us"))
     names = [f"binary_rate_change_{k}" for k in SCALES]
     schema = f"well_id {dict(transients.dtypes)['well_id']}, transient_id int, " + ", ".join(f"{n} int" for n in names)

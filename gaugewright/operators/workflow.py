@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.functions.intervals import interval_join
 from gaugewright.functions.numeric import ratio
 from gaugewright.functions.staging import keep
 from gaugewright.operators.lmir import Lmir, lmir
@@ -41,7 +42,8 @@ def injection_periods(shutins: DataFrame, bhp: DataFrame) -> DataFrame:
 def all_flowing(periods: DataFrame, bhp: DataFrame, order: int = 100, start_filter_hours: float = 5, end_filter_hours: float = 5) -> Lmir:
     """Flowing transients within each period (closed on both sides)."""
     p = periods.withColumn("period", F.row_number().over(Window.partitionBy("well_id").orderBy("start_hr", "end_hr"))).select("well_id", "period", "start_hr", "end_hr")
-    within = bhp.join(p, "well_id").filter(F.col("time_hr").between(F.col("start_hr"), F.col("end_hr"))).drop("start_hr", "end_hr")
+    inside = F.col("time_hr").between(F.col("start_hr"), F.col("end_hr"))
+    within = interval_join(bhp, p, ["well_id"], F.col("time_hr"), F.col("start_hr"), F.col("end_hr"), inside).drop("start_hr", "end_hr")
     return lmir(within, order, start_filter_hours, end_filter_hours, ["well_id", "period"])
 
 

@@ -336,7 +336,7 @@ own AS (SELECT well_id, transient_id, any_value(n) AS n, any_value(last_nz) AS q
 ref_id AS (SELECT well_id, max(transient_id) AS transient_id FROM transients WHERE status = 'flowing' GROUP BY well_id),
 ref_at AS (SELECT o.well_id, o.transient_id, max(o) AS pos FROM ordered o JOIN ref_id USING (well_id, transient_id) WHERE rate <> 0 GROUP BY o.well_id, o.transient_id),
 ref AS (SELECT a.well_id, max(CASE WHEN o = pos THEN rate END) AS qr, coalesce(max(CASE WHEN o = pos - 1 THEN rate END), 0) AS qp FROM ref_at a JOIN ordered o USING (well_id, transient_id) GROUP BY a.well_id),
-normed AS (SELECT d.*, qr, qp, CASE WHEN z = 0 THEN q WHEN n > 1 THEN z - y ELSE z END AS dq, q FROM der d JOIN own USING (well_id, transient_id) JOIN ref USING (well_id))"""
+normed AS (SELECT d.*, qr, qp, CASE WHEN z = 0 THEN q WHEN n > 1 AND z <> y THEN z - y ELSE z END AS dq, q FROM der d JOIN own USING (well_id, transient_id) JOIN ref USING (well_id))"""
 
 
 @query(_with(f"""SELECT well_id, transient_id, {_uss('delta_time')}, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,

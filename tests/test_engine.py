@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewright.functions.intervals import interval_join
 from gaugewright.operators import ingest, lmir, loglog, patterns, rare, regimes, scores, tpmr, workflow
 from gaugewright.plans import catalogue
 from gaugewright.plans import gauges as G
@@ -214,3 +215,50 @@ def test_time_lapse_queries_see_all_flowing_transients(spark, long_history):
 def test_envelope_query_has_the_default_grid(spark, long_history):
     got = catalogue.uncertainty_envelope(spark, long_history)
     assert got.groupBy("well_id").count().collect()[0]["count"] == 500
+
+
+def test_normalization_by_hand(spark):
+    """Reference rates end 50, 200: its last rate is 200 and changed by 150."""
+    cases = {1: ([100.0, 40.0], 60, 40), 2: ([100.0, 100.0], 100, 100), 3: ([80.0, 0.0], 80, 80), 4: ([30.0, 0.0, 0.0], 30, 30), 5: ([25.0], 25, 25), 6: ([0.0], None, None), 7: ([10.0, -10.0, -10.0], 10, 10)}
+    frame = spark.createDataFrame([(1, k, 6.0, 3.0) for k in cases], "well_id int, transient_id int, delta_pressure double, derivative double")
+    steps = spark.createDataFrame([(1, k, v[0]) for k, v in cases.items()], "well_id int, transient_id int, rates array<double>")
+    ref = spark.createDataFrame([(1, [50.0, 200.0])], "well_id int, ref_rates array<double>")
+    got = {r.transient_id: r for r in loglog.normalize(frame, steps, ref).collect()}
+    assert len(got) == len(cases)
+    for k, (_, change, last) in cases.items():
+        want = [None if by is None else v * of / by for v, of, by in ((6.0, 200, change), (6.0, 150, change), (3.0, 200, last), (3.0, 150, last))]
+        assert [got[k].pn_saphir, got[k].pn_autowell, got[k].derivative_saphir, got[k].derivative_autowell] == pytest.approx(want), k
+
+
+def test_interval_join_equals_all_pairs(spark):
+    """Long, short, empty, overlapping, reversed and null intervals, negative times, points on edges and buckets."""
+    rng = np.random.default_rng(4)
+    spans = [(w, i, float(a), float(a + b)) for w in (1, 2) for i, (a, b) in enumerate(zip(rng.integers(-50, 900, 60), rng.choice([0, 1, 3, 400], 60), strict=True))]
+    spans += [(1, 90, 10.0, 5.0), (1, 91, None, 5.0), (3, 92, 0.0, 1e6), (2, 93, -1e5, -1e5)]
+    points = [(w, float(t)) for w in (1, 2, 3) for t in [*rng.integers(-60, 1000, 300), -1e5, 1e6]]
+    p, s = spark.createDataFrame(points, "w int, t double"), spark.createDataFrame(spans, "w int, id int, a double, b double")
+    for closed in (True, False):
+        inside = F.col("t").between(F.col("a"), F.col("b")) if closed else (F.col("t") >= F.col("a")) & (F.col("t") < F.col("b"))
+        got = sorted(tuple(r) for r in interval_join(p, s, ["w"], F.col("t"), F.col("a"), F.col("b"), inside).select("w", "t", "id").collect())
+        want = sorted((w, t, i) for w, t in points for x, i, a, b in spans if w == x and a is not None and a <= t and (t <= b if closed else t < b))
+        assert got == want and got
+    assert interval_join(p, s.filter("false"), ["w"], F.col("t"), F.col("a"), F.col("b"), F.col("t").between(F.col("a"), F.col("b"))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_features_of_either_kind_of_timestamp(wells, kind):
+    bhp, rate = (x.withColumn("ts", F.col("ts").cast(kind)) for x in wells)
+    t = loglog.with_ids(tpmr.tpmr(wells[0], prominence=5.0, interval=5).transients_interval)
+    t = t.withColumn("start_ts", F.col("start_ts").cast(kind)).withColumn("end_ts", F.col("end_ts").cast(kind))
+    f = scores.features(t, rate, bhp, merge=False).toPandas()
+    assert len(f) == t.count() > 0 and f["monotonicity_ratio"].notna().all() and f["rate_std"].notna().any()
+
+
+def test_no_join_on_the_well_alone(spark, wells):
+    """Samples meet transients by well and time bucket."""
+    bhp, rate = wells
+    t = loglog.with_ids(tpmr.tpmr(bhp, prominence=5.0, interval=5).transients_interval)
+    for df in (loglog.transient_samples(bhp, t), scores.rate_features(t, rate), scores.rate_change(t, rate), scores.pressure_features(t, bhp)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join Inner" in line and ("ts#" in line or "time_hr#" in line)]
+        assert joins and all("_bucket" in line for line in joins), joins

@@ -1,10 +1,13 @@
+import time
+from itertools import combinations
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gaugewright.functions import kernels as K
-from gaugewright.operators.patterns import stable_intervals
+from gaugewright.operators.patterns import STABLE, _islands, regime_confidence, stable_intervals
 from gaugewright.operators.regimes import LogTimeWindow, Params, Transient, slope_distances
 
 
@@ -100,3 +103,52 @@ def test_stable_interval_leaves_out_as_few_as_needed():
     code, a, b, conf, _ = stable_intervals([(t, flat)] * 2)[0]
     assert a < b and 0 <= conf <= 1 + 1e-9
     assert stable_intervals([(t, flat), (t, other)], max_drop=0) == []
+
+
+def every_subset(members, minimum, max_drop, points=500):
+    """The longest stable intervals by trying every set of transients to leave out."""
+    for drop in range(min(max_drop, len(members) - 1) + 1):
+        best = {}
+        for kept in combinations(range(len(members)), len(members) - drop):
+            lo, hi = max(members[i][0][0] for i in kept), min(members[i][0][-1] for i in kept)
+            if not 0 < lo < hi:
+                continue
+            grid = np.logspace(np.log10(lo), np.log10(hi), points)
+            log = np.log10(grid)
+            codes = np.stack([np.interp(grid, *members[i]) for i in kept])
+            for code in STABLE:
+                for a, b in _islands((codes == code).all(axis=0)):
+                    if log[b] - log[a] >= minimum:
+                        best[code] = max(best.get(code, (0.0,)), (log[b] - log[a], -grid[a], grid[b]))
+        if best:
+            return [(c, float(-a), float(b), float(np.prod(regime_confidence(members, c, -a, b))), drop) for c, (_, a, b) in sorted(best.items())]
+    return []
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_stable_intervals_equal_every_subset(seed):
+    """Common and own ranges, ties of ranges, single odd codes, groups of 1 to 8, every bound on what may go."""
+    rng, found = np.random.default_rng(seed), 0
+    for _ in range(15):
+        members = []
+        for _ in range(rng.integers(1, 9)):
+            lo = 10 ** (rng.choice([-2.3, -2, -1]) if rng.random() < 0.5 else rng.uniform(-2.5, -1))
+            t = np.logspace(np.log10(lo), rng.uniform(0.3, 1.5), int(rng.integers(20, 120)))
+            codes = np.resize(np.repeat(rng.choice([0, 0, 1, 2, 3], 6), rng.integers(5, 40)), len(t))
+            odd = rng.random(len(t)) < rng.choice([0, 0.02])
+            members.append((t, np.where(odd, rng.integers(0, 5, len(t)), codes).astype(float)))
+        for max_drop in (0, 2, max(len(members) - 2, 0), len(members)):
+            got = stable_intervals(members, 0.3, max_drop)
+            assert got == every_subset(members, 0.3, max_drop)
+            found += bool(got)
+    assert found > 20
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.4])
+def test_stable_intervals_of_many_transients(spread):
+    """60 transients, of which any 58 may go: subsets would be 10^18."""
+    rng = np.random.default_rng(1)
+    members = [(np.logspace(-2 - spread * rng.random(), 1.5 + spread * rng.random(), 500), np.repeat(rng.integers(0, 5, 20), 25).astype(float)) for _ in range(60)]
+    began = time.process_time()
+    assert stable_intervals(members, 0.3, 58)
+    assert time.process_time() - began < 10  # about a second where each has a range of its own, else milliseconds
