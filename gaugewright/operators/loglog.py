@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.functions.grids import on_log_grid
 from gaugewright.functions.intervals import interval_join
 from gaugewright.functions.kernels import bourdet, group_bounds, whole_groups
 from gaugewright.functions.numeric import last_nonzero, ratio
@@ -111,41 +111,34 @@ def normalize(frame: DataFrame, steps: DataFrame, reference: DataFrame) -> DataF
 
 def interpolate_on_grid(frame: DataFrame, group: list[str], member: str, x: str, y: str, points: int) -> DataFrame:
     """group, member, g, grid, value: y at `points` log-spaced x common to a group, linear between samples, the end values beyond."""
-    span = frame.groupBy(*group).agg(F.greatest(F.min(x), F.lit(1e-12)).alias("lo"), F.max(x).alias("hi"))
-    kind = dict(frame.dtypes)
-    schema = ", ".join([f"{c} {kind[c]}" for c in [*group, member]] + ["g int", "grid double", "value double"])
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(x)
-        grid = np.logspace(np.log10(t["lo"].iloc[0]), np.log10(t["hi"].iloc[0]), points)
-        out = {c: t[c].iloc[0] for c in [*group, member]}
-        return pd.DataFrame(out | {"g": np.arange(points), "grid": grid, "value": np.interp(grid, t[x].to_numpy(np.float64), t[y].to_numpy(np.float64))})
-
-    return frame.select(*group, member, x, y).na.drop().join(span, group).groupBy(*group, member).applyInPandas(run, schema)
+    f = frame.select(*group, member, F.col(x).alias("x"), F.col(y).alias("value")).na.drop()
+    span = f.groupBy(*group).agg(F.log10(F.greatest(F.min("x"), F.lit(1e-12))).alias("lo"), F.log10(F.max("x")).alias("hi"))
+    return on_log_grid(f.join(span, group), [*group, member], "x", ["value"], F.col("lo"), F.col("hi"), points)
 
 
 def envelope(frame: DataFrame, group: list[str], member: str = "transient_id", points: int = 500, log_half_window: float = 0.2, k_std: float = 2.0, time_col: str = "delta_time", value_col: str = "derivative") -> DataFrame:
     """group, g, grid, mean, lower, upper: in log10, mean and k population deviations over a centred window of the pooled values.
 
-    Values of one grid point are summed first, so that the window runs over grid
-    points, not members. A window without positive values takes the one before."""
+    The values of one grid point are reduced to number, mean and squares about it
+    first, so that what a group gathers is `points` long however many members it
+    has. A window without positive values takes the one before."""
     v = interpolate_on_grid(frame, group, member, time_col, value_col, points)
     lv = F.when(F.col("value") > 0, F.log10("value"))
-    sums = v.groupBy(*group, "g").agg(F.first("grid").alias("grid"), F.count(lv).alias("n"), F.coalesce(F.sum(lv), F.lit(0.0)).alias("s"), F.coalesce(F.sum(lv * lv), F.lit(0.0)).alias("q"))
-    w = Window.partitionBy(*group)
-    step = F.log10(ratio(F.max(F.when(F.col("g") == 1, F.col("grid"))).over(w), F.max(F.when(F.col("g") == 0, F.col("grid"))).over(w)))
+    sums = v.groupBy(*group, "g").agg(F.first("grid").alias("grid"), F.count(lv).alias("n"), F.coalesce(F.avg(lv), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(lv), F.lit(0.0)).alias("v"))
+    rows = sums.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("g", "grid", "n", "m", "v"))).alias("r"))  # `points` rows, whatever the group
+    step = F.log10(ratio(F.try_element_at("r", F.lit(2))["grid"], F.col("r")[0]["grid"]))
     half = F.greatest(F.lit(1), F.bround(ratio(F.lit(log_half_window), step)).cast("int"))
-    run = w.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    c = sums.withColumn("h", half).withColumn("c", F.struct(F.sum("n").over(run).alias("n"), F.sum("s").over(run).alias("s"), F.sum("q").over(run).alias("q")))
-    hi = c.select(*group, F.col("g").alias("gh"), F.col("c").alias("ch"))
-    lo = c.select(*group, F.col("g").alias("gl"), F.col("c").alias("cl"))
-    c = c.withColumn("gh", F.least(F.col("g") + F.col("h"), F.lit(points - 1))).withColumn("gl", F.col("g") - F.col("h") - 1)
-    c = c.join(hi, [*group, "gh"]).join(lo, [*group, "gl"], "left")
-    part = lambda f: F.col(f"ch.{f}") - F.coalesce(F.col(f"cl.{f}"), F.lit(0))
-    mean = ratio(part("s"), part("n"))
-    std = F.sqrt(F.greatest(ratio(part("q"), part("n")) - mean * mean, F.lit(0.0)))
-    c = c.withColumn("m", mean).withColumn("d", F.when(part("n") > 0, std))
-    before = w.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    centre = F.col("x.g")
+    near = F.slice("r", F.greatest(centre - half, F.lit(0)) + 1, F.least(centre, half) + half + 1)
+    rows = rows.select(*group, F.explode("r").alias("x"), "r").select(*group, "x", F.explode(near).alias("y"))
+    off = F.col("y.m") - F.col("x.m")  # from the centre's mean, so that equal values deviate by nothing
+    w = rows.groupBy(*group, F.col("x.g").alias("g"), F.col("x.grid").alias("grid"), F.col("x.m").alias("m0")).agg(
+        F.sum("y.n").alias("n"), F.sum(F.col("y.n") * off).alias("s"), F.sum(F.col("y.n") * (F.col("y.v") + off * off)).alias("q")
+    )
+    mean = ratio(F.col("s"), F.col("n"))
+    std = F.sqrt(F.greatest(ratio(F.col("q"), F.col("n")) - mean * mean, F.lit(0.0)))
+    c = w.select(*group, "g", "grid", (F.col("m0") + mean).alias("m"), F.when(F.col("n") > 0, std).alias("d"))
+    before = Window.partitionBy(*group).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("m", F.last("m", True).over(before)).withColumn("d", F.coalesce(F.last("d", True).over(before), F.lit(0.0)))
     power = lambda e: F.pow(F.lit(10.0), e)
     return c.select(*group, "g", "grid", power(F.col("m")).alias("mean"), power(F.col("m") - k_std * F.col("d")).alias("lower"), power(F.col("m") + k_std * F.col("d")).alias("upper"))

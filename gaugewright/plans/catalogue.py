@@ -348,10 +348,24 @@ def normalized_loglog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("well_id", "transient_id", *_us("delta_time"), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
 
 
-@query()
+#: Each grid point's mean and deviation straight from all values within its window.
+_ENVELOPE = """
+curve AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(x) OVER w IS NULL AS first FROM (SELECT well_id, transient_id, delta_time AS x, derivative AS y FROM der WHERE derivative IS NOT NULL)
+          WINDOW w AS (PARTITION BY well_id, transient_id ORDER BY x, y)),
+extent AS (SELECT well_id, log10(greatest(min(x), 1e-12)) AS l0, log10(max(x)) AS l1 FROM curve GROUP BY well_id),
+env_grid AS (SELECT well_id, CAST(g AS INT) AS g, pow(10.0, l0 + g * (l1 - l0) / 499) AS grid FROM extent CROSS JOIN (SELECT unnest(range(500)) AS g)),
+pooled AS (SELECT c.well_id, g, CASE WHEN x1 IS NULL OR grid < x THEN y ELSE y + (y1 - y) / (x1 - x) * (grid - x) END AS v
+           FROM curve c JOIN env_grid q ON q.well_id = c.well_id AND (first OR grid >= x) AND (x1 IS NULL OR grid < x1)),
+half AS (SELECT well_id, greatest(1, CAST(round_even(0.2 / nullif(log10(max(grid) FILTER (g = 1) / max(grid) FILTER (g = 0)), 0), 0) AS INT)) AS h FROM env_grid GROUP BY well_id),
+logs AS (SELECT well_id, g, log10(v) AS lv FROM pooled WHERE v > 0),
+windows AS (SELECT q.well_id, q.g, q.grid, avg(lv) AS m, stddev_pop(lv) AS d FROM env_grid q JOIN half USING (well_id) LEFT JOIN logs l ON l.well_id = q.well_id AND l.g BETWEEN q.g - h AND q.g + h GROUP BY q.well_id, q.g, q.grid),
+filled_windows AS (SELECT well_id, g, grid, last_value(m IGNORE NULLS) OVER w AS m, coalesce(last_value(d IGNORE NULLS) OVER w, 0) AS d FROM windows WINDOW w AS (PARTITION BY well_id ORDER BY g))"""
+
+
+@query(_with(f"SELECT well_id, g, {_rs('grid')}, round(pow(10, m), 3) + 0.0 AS mean, round(pow(10, m - 2 * d), 3) + 0.0 AS lower, round(pow(10, m + 2 * d), 3) + 0.0 AS upper FROM filled_windows", G.RATES_SQL, _SUPER, _DER, _ENVELOPE))
 def uncertainty_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2)
-    return loglog.envelope(d, ["well_id"])
+    return loglog.envelope(d, ["well_id"]).select("well_id", "g", *_r("grid"), *_r("mean", "lower", "upper", n=3))
 
 
 # --- quality --------------------------------------------------------------------------------------------------------
