@@ -56,25 +56,30 @@ def savgol_quadratic(y: np.ndarray, width: int) -> np.ndarray:
 
 
 def theil_sen_slopes(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """For each row of windows: the slope of the spatial median of all two-point lines (modified Weiszfeld)."""
+    """For each row of windows: the slope of the spatial median of all two-point lines (modified Weiszfeld).
+
+    A window is done when a round moves its median by less than 1e-10."""
     i, j = np.triu_indices(x.shape[1], 1)
     slope = (y[:, j] - y[:, i]) / (x[:, j] - x[:, i])
-    lines = np.stack([y[:, i] - slope * x[:, i], slope], axis=-1)
-    mid = lines.mean(axis=1)
+    icpt = y[:, i] - slope * x[:, i]
+    a, b = icpt.mean(axis=1), slope.mean(axis=1)
+    live = np.arange(len(x))
     for _ in range(rounds):
-        diff = lines - mid[:, None]
-        dist = np.linalg.norm(diff, axis=-1)
+        da, db = icpt - a[live, None], slope - b[live, None]
+        dist = np.sqrt(da * da + db * db)
         on = dist < 1e-12
         weight = np.where(on, 0, 1 / np.where(on, 1, dist))
-        total = weight.sum(axis=1)
-        new = (lines * weight[..., None]).sum(axis=1) / np.maximum(total, 1e-300)[:, None]
-        pull = np.linalg.norm((diff * weight[..., None]).sum(axis=1), axis=-1)
-        share = np.where(on.any(axis=1), np.minimum(1, 1 / np.maximum(pull, 1e-300)), 0)[:, None]
-        new = (1 - share) * new + share * mid
-        if np.max(np.abs(new - mid), initial=0) < 1e-10:
+        total = np.maximum(weight.sum(axis=1), 1e-300)
+        move_a, move_b = (da * weight).sum(axis=1), (db * weight).sum(axis=1)
+        stay = np.where(on.any(axis=1), np.minimum(1, 1 / np.maximum(np.hypot(move_a, move_b), 1e-300)), 0)
+        move_a, move_b = (1 - stay) * move_a / total, (1 - stay) * move_b / total
+        a[live] += move_a
+        b[live] += move_b
+        more = np.maximum(np.abs(move_a), np.abs(move_b)) >= 1e-10
+        if not more.any():
             break
-        mid = new
-    return mid[:, 1]
+        live, icpt, slope = live[more], icpt[more], slope[more]
+    return b
 
 
 def group_bounds(t: pa.RecordBatch, keys: int) -> np.ndarray:

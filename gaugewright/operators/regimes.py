@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from gaugewright.functions.kernels import savgol_quadratic, theil_sen_slopes
+from gaugewright.functions.grids import on_log_grid
+from gaugewright.functions.kernels import group_bounds, savgol_quadratic, theil_sen_slopes, whole_groups
+from gaugewright.functions.numeric import ratio
+from gaugewright.functions.staging import keep
 
 # Reference slopes, their names, and the regimes' codes and names.
 SLOPES = (0.0, 0.176, 0.364, -0.176, -0.364)
@@ -198,7 +203,9 @@ class Transient:
 
     def _all(self, regime: np.ndarray, p: Params) -> np.ndarray:
         """Regimes of all points: by slope, with what the filter and the boundary left out."""
-        return np.concatenate((np.full((self.log_time < p.filter_value).sum(), 4), _OF_SLOPE[regime], np.full((~self.inlier).sum(), 3))).astype(int)
+        out = np.where(self.inlier, 4, 3)
+        out[self.inlier & (self.log_time >= p.filter_value)] = _OF_SLOPE[regime]
+        return out
 
     def fragments(self, regime: np.ndarray, t: np.ndarray, p: Params) -> list[int]:
         """Points of runs no longer than the fragment window; [1] if all of it is shorter."""
@@ -210,8 +217,7 @@ class Transient:
         """Weighted mean distance with a small share of the filter value; 0.1 for a fragmented or impossible detection."""
         regime, mean = self.detect(p)
         t, _ = self.points(p)
-        folded = _OF_SLOPE[regime] if len(regime) else regime
-        if self.fragments(folded, t, p):
+        if self.fragments(regime, t, p):
             return 0.1
         best = mean.min(axis=1)
         best = best[np.isfinite(best)]
@@ -243,7 +249,7 @@ class Transient:
             mid = (left + right) / 2
             q = _with(p, window_length=mid)
             regime, _ = self.detect(q)
-            if self.fragments(_OF_SLOPE[regime], self.points(q)[0], q):
+            if self.fragments(regime, self.points(q)[0], q):
                 left = mid
             else:
                 right = window = mid
@@ -267,10 +273,9 @@ class Transient:
             except ValueError:
                 p = _with(p, window_length=self.least_window(p))
                 regime, _ = self.detect(p)
-            regime = _OF_SLOPE[regime]
             t, _ = self.points(p)
             before, after = regime[t < fil], regime[t >= fil]
-            if after[0] != _OF_SLOPE[first]:
+            if after[0] != first:
                 return fil
             other = np.flatnonzero(before != after[0])
             return float(t[other[-1]]) if len(other) else fil
@@ -299,30 +304,137 @@ def slope_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((np.array(SLOPES)[:, None] * dx + dy) ** 2).sum(axis=1)) / len(x)
 
 
+def resampled(frame: DataFrame, keys: list[str], time: str = "time", pressure: str = "pressure", derivative: str = "derivative") -> DataFrame:
+    """keys, seq, time, pressure, pressure_derivative: POINTS log-spaced points of each transient of two samples or more.
+
+    What has no value, as between equal times, is filled along the index."""
+    f = frame.select(*keys, F.col(time).alias("t"), F.col(pressure).alias("p"), F.col(derivative).alias("d")).na.drop()
+    lt = F.coalesce(F.log10("t"), F.lit(0.0))
+    f = f.join(f.groupBy(*keys).agg(F.min(lt).alias("lo"), F.max(lt).alias("hi")), keys)
+    x = on_log_grid(f, keys, "t", ["p", "d"], F.col("lo"), F.col("hi"), POINTS, extend=True)
+    before, behind = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("g"), F.desc("g")))
+
+    def filled(c: str) -> Column:
+        here = F.when(F.col(c).isNotNull() & ~F.isnan(c), F.struct("g", F.col(c).alias("v")))
+        a, z = F.last(here, True).over(before), F.last(here, True).over(behind)
+        between = a["v"] + F.coalesce(ratio((z["v"] - a["v"]) * (F.col("g") - a["g"]), z["g"] - a["g"]), F.lit(0.0))
+        return F.coalesce(between, a["v"], z["v"])
+
+    return x.select(*keys, F.col("g").alias("seq"), F.col("grid").alias("time"), filled("p").alias("pressure"), filled("d").alias("pressure_derivative"))
+
+
+def _each(points: DataFrame, keys: list[str], added: StructType, work: Callable[[Transient], dict[str, np.ndarray]], params: Params) -> DataFrame:
+    """points with what `work` finds for each transient, in Arrow batches of whole transients of POINTS rows."""
+    schema = StructType([*points.schema.fields, *added.fields])
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches, n):
+            t, p, d = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("time", "pressure", "pressure_derivative"))
+            cut = group_bounds(b, n)
+            found = [work(Transient(params, t[x:y], p[x:y], d[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            cols = [pa.array(np.concatenate([f[c] for f in found]), from_pandas=True) for c in added.names]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work for each
+    return points.repartition(tasks, *keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, schema)
+
+
+def mean_distances(points: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:
+    """keys, seq and DISTANCES: of each point (keys, seq, t, y; t rises with seq) the mean distance to each slope over the frames that cover it.
+
+    Sums of 1, x, y, xx, xy and yy up to a point give all five distances of a frame
+    in constant time: frames and points are put in one order, so that a frame's edges
+    read the sums at the last point before them, and a frame adds its distances
+    where its range begins and takes them back where it ends. The distances of frame n + 1
+    go to the points of frame n, as in Transient.detect. Null where no frame covers
+    a point; 1 in a transient of one point."""
+    by, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = points.withColumn("m", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(by))
+    x = x.withColumn("u", F.col("t") - F.avg("t").over(by)).withColumn("v", F.col("y") - F.avg("y").over(by)).withColumn("gap", F.col("t") - F.lag("t").over(order))
+    terms = {"c": F.lit(1.0), "x": F.col("u"), "y": F.col("v"), "xx": F.col("u") * F.col("u"), "xy": F.col("u") * F.col("v"), "yy": F.col("v") * F.col("v")}
+    sums = lambda less: F.struct(*((F.sum(e).over(upto) - (e if less else 0.0)).alias(k) for k, e in terms.items()))
+    x = x.select(*keys, "seq", "m", "n", "t", "gap", sums(True).alias("before"), sums(False).alias("after"))
+    span = x.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max(F.when(F.col("m") == F.col("n") - 2, F.col("t"))).alias("t_prev"), F.max("gap").alias("gap"), F.max_by("after", "m").alias("all")
+    )
+    length, step = F.lit(float(p.window_length)), F.lit(float(p.window_step))
+    extent = F.col("t1") - F.col("t0")
+    count = F.when(extent < length, 1).otherwise(((extent - length) / step).cast("int") + 2)
+    count = F.when(F.col("gap") > length, F.raise_error(F.lit("the window is shorter than a gap between points")).cast("int")).otherwise(count)
+    frames = span.filter("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0), count))).withColumn("start", F.col("t0") + step * (F.col("k") - 1))
+    edge = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("kind")), F.struct((F.col("start") + length).alias("t"), F.lit(2).alias("kind"))))
+    marks = frames.select(*keys, "k", edge.alias("e")).select(*keys, "k", "e.*")
+    rows = x.select(*keys, "t", F.lit(0).alias("kind"), "m", "before", "after", F.lit(None).cast("int").alias("k")).unionByName(marks, allowMissingColumns=True)
+    seen = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("m", "t", "before", "after")), True).over(seen)
+    read = rows.withColumn("p", last).filter("kind > 0").groupBy(*keys, "k").agg(F.max(F.when(F.col("kind") == 1, F.col("p"))).alias("a"), F.max(F.when(F.col("kind") == 2, F.col("p"))).alias("z"))
+    f = frames.select(*keys, "k", "n", "t1", "t_prev", "all", "start").join(read, [*keys, "k"])
+    # frame 0 starts before all points: its end counts from the last point, so that it covers all or nothing
+    sees_last = F.col("t1") <= F.col("start") + length
+    end = F.when(F.col("k") > 0, F.col("z.m") + 1).otherwise(F.when(sees_last, 0).otherwise(-1))
+    covered = F.when(F.col("k") > 0, F.col("z.t")).otherwise(F.when(sees_last, F.col("t1")).otherwise(F.col("t_prev")))
+    whole = covered > F.col("t1") - step
+    f = f.withColumn("i", F.coalesce(F.col("a.m"), F.lit(-1))).withColumn("j", F.when(whole, F.col("n")).otherwise(end)).withColumn("to", F.when(whole, F.col("all")).otherwise(F.col("z.after")))
+    part = lambda k: F.col(f"to.{k}") - F.col(f"a.before.{k}")
+    about = lambda k, one, two: part(k) - part(one) * part(two) / part("c")
+    square = lambda s: F.greatest(s * s * about("xx", "x", "x") - 2 * s * about("xy", "x", "y") + about("yy", "y", "y"), F.lit(0.0))
+    before = Window.partitionBy(*keys).orderBy("k")
+    f = f.select(*keys, "k", F.greatest(F.lag("i").over(before), F.lit(0)).alias("i"), F.greatest(F.lag("j").over(before), F.lit(0)).alias("j"), *((F.sqrt(square(s)) / part("c")).alias(d) for s, d in zip(SLOPES, DISTANCES, strict=True)))
+    events = f.filter("k > 0").select(*keys, F.explode(F.array(F.struct(F.col("i").alias("m"), F.lit(1).alias("s")), F.struct(F.col("j").alias("m"), F.lit(-1).alias("s")))).alias("e"), *DISTANCES)
+    events = events.groupBy(*keys, F.col("e.m").alias("m")).agg(F.sum("e.s").alias("hits"), *(F.sum(F.col("e.s") * F.col(d)).alias(d) for d in DISTANCES))
+    run = Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    y = x.select(*keys, "seq", "m", "n").join(events, [*keys, "m"], "left").withColumn("hits", F.sum("hits").over(run))
+    return y.select(*keys, "seq", *(F.when(F.col("n") < 2, 1.0).when(F.col("hits") > 0, F.sum(d).over(run) / F.col("hits")).alias(d) for d in DISTANCES))
+
+
+def _detected(points: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """points with regime and DISTANCES by fixed parameters; Python only marks the boundary and smooths."""
+    added = StructType([StructField("inlier", BooleanType()), StructField("y", DoubleType())])
+
+    def prepare(t: Transient) -> dict[str, np.ndarray]:
+        y = np.full(len(t.time), np.nan)
+        y[t.inlier & (t.log_time >= p.filter_value)] = t.points(p)[1]
+        return {"inlier": t.inlier, "y": y}
+
+    x = keep(_each(points, keys, added, prepare, p), "boundaries")
+    d = mean_distances(x.filter("y is not null").select(*keys, "seq", F.coalesce(F.log10("time"), F.lit(0.0)).alias("t"), "y"), keys, p)
+    x = x.join(d, [*keys, "seq"], "left")
+    far = F.lit(float("inf"))
+    distances = F.array(*(F.coalesce(F.col(c), far) for c in DISTANCES))
+    code = F.array(*map(F.lit, _OF_SLOPE.tolist()))[F.array_position(distances, F.array_min(distances)).cast("int") - 1]
+    return x.withColumn("regime", F.when(~F.col("inlier"), 3).when(F.col("y").isNull(), 4).otherwise(code)).withColumn("window_length", F.lit(float(p.window_length))).withColumn("filter_value", F.lit(float(p.filter_value)))
+
+
+def _searched(points: DataFrame, keys: list[str], params: Params, optimize: bool, deep: bool) -> DataFrame:
+    """points with regime and DISTANCES, by the searched parameters or with regimes smoothed: a transient is searched as a whole."""
+    names = ["regime", "window_length", "filter_value", *DISTANCES]
+    added = StructType([StructField(c, IntegerType() if c == "regime" else DoubleType()) for c in names])
+
+    def search(t: Transient) -> dict[str, np.ndarray]:
+        regime, mean, p = t.optimize(deep=deep) if optimize else (*t.detect(params, smooth=params.smooth, full=True), params)
+        use = np.flatnonzero(t.inlier & (t.log_time >= p.filter_value))
+        dist = np.full((len(t.time), len(SLOPES)), np.nan)
+        dist[use[: len(mean)]] = np.where(np.isfinite(mean), mean, np.nan)[: len(use)]
+        fixed = {"regime": regime.astype(np.int32), "window_length": np.full(len(t.time), p.window_length), "filter_value": np.full(len(t.time), p.filter_value)}
+        return fixed | {c: dist[:, k] for k, c in enumerate(DISTANCES)}
+
+    return _each(points, keys, added, search, params)
+
+
 def classify(frame: DataFrame, keys: list[str], params: Params = Params(), optimize: bool = False, deep: bool = False, time: str = "time", pressure: str = "pressure", derivative: str = "derivative") -> DataFrame:
     """seq, resampled time, pressure and derivative, their logs, regime and distances: POINTS rows for each transient.
 
-    Transients are independent groups; fewer than two samples give no rows."""
-    kinds = dict(frame.dtypes)
-    cols = ["time", "pressure", "pressure_derivative", "log_time", "log_pressure", "log_pressure_derivative"]
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["seq int"] + [f"{c} double" for c in cols] + ["regime int", "window_length double", "filter_value double"] + [f"{d} double" for d in DISTANCES])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(time)
-        x, y, z = (g[c].to_numpy(np.float64) for c in (time, pressure, derivative))
-        if len(x) < 2:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        t = Transient.fit(params, x, y, z)
-        if optimize:
-            regime, mean, p = t.optimize(deep=deep)
-        else:
-            p = params
-            regime, mean = t.detect(p, smooth=p.smooth, full=True)
-        n = len(t.time)
-        dist = np.full((n, len(SLOPES)), np.nan)
-        dist[np.flatnonzero(t.inlier & (t.log_time >= p.filter_value))[: len(mean)]] = np.where(np.isfinite(mean), mean, np.nan)[: (t.inlier & (t.log_time >= p.filter_value)).sum()]
-        out = {k: g[k].iloc[0] for k in keys} | {"seq": np.arange(n), "time": t.time, "pressure": t.pressure, "pressure_derivative": t.derivative, "log_time": t.log_time, "log_pressure": _log(t.pressure), "log_pressure_derivative": t.log_derivative, "regime": regime, "window_length": p.window_length, "filter_value": p.filter_value}
-        return pd.DataFrame(out | {d: dist[:, k] for k, d in enumerate(DISTANCES)})
-
-    out = frame.select(*keys, time, pressure, derivative).na.drop().groupBy(*keys).applyInPandas(run, schema)
-    return out.select(*[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    Transients are independent groups; fewer than two samples give no rows. With fixed
+    parameters and no smoothing of regimes the distances are window functions over all
+    transients; a search runs on whole transients, which POINTS bounds."""
+    own = [f"_key{i}" for i in range(len(keys))]  # whatever the keys are called, they meet no name of the steps
+    src = frame.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col(time).alias("time"), F.col(pressure).alias("pressure"), F.col(derivative).alias("derivative"))
+    points = resampled(src, own)
+    x = _searched(points, own, params, optimize, deep) if optimize or params.smooth else _detected(points, own, params)
+    log = lambda c: F.coalesce(F.log10(c), F.lit(0.0))
+    return x.select(
+        *(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), "seq", "time", "pressure", "pressure_derivative", log("time").alias("log_time"), log("pressure").alias("log_pressure"), log("pressure_derivative").alias("log_pressure_derivative"),
+        "regime", "window_length", "filter_value", *DISTANCES,
+    )

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.intervals import interval_join, micros
-from gaugewright.functions.kernels import wilcoxon_p
 from gaugewright.functions.numeric import add_hours, ratio
 
 KEYS = ["well_id", "transient_id"]
 SCALES = {"full": 1.0, "half": 0.5, "quarter": 0.25}
 PRESSURE = ("monotonicity_ratio", "local_deviation", "trend_efficiency")
 RATE = ("rate_std", "rate_td_std", "rate_iqr")
+EXACT = 50  # differences up to which the signed-rank distribution is exact
+LEVEL = 0.05
+NORMAL = 1.959963984540054  # two-sided standard score of that level
 
 
 def _within(samples: DataFrame, spans: DataFrame, start: str, end: str) -> DataFrame:
@@ -77,31 +79,62 @@ def rate_change(transients: DataFrame, rate: DataFrame) -> DataFrame:
     return transients.select(*KEYS).join(a.select(*KEYS, *snr), KEYS, "left")
 
 
+@lru_cache(maxsize=1)
+def critical_sums() -> list[int]:
+    """For 0 to EXACT untied differences: the largest signed-rank sum whose two-sided p value is under LEVEL; -1 if there is none."""
+    out, ways = [], [1]
+    for n in range(EXACT + 1):
+        if n:
+            ways = [(ways[w] if w < len(ways) else 0) + (ways[w - n] if w >= n else 0) for w in range(len(ways) + n)]
+        below, last = 0, -1
+        for w, count in enumerate(ways):
+            below += count
+            if 2 * below >= LEVEL * 2**n:
+                break
+            last = w
+        out.append(last)
+    return out
+
+
 def rate_tests(transients: DataFrame, rate: DataFrame) -> DataFrame:
-    """1 where a signed-rank test finds the rates on the two sides of the start to differ (p < 0.05), else 0, for three windows."""
-    x = _around(transients, rate)
-    x = x.select(*KEYS, "seq", "rate", "duration_hr", (F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("ts"))).alias("us"))
-    names = [f"binary_rate_change_{k}" for k in SCALES]
-    schema = f"well_id {dict(transients.dtypes)['well_id']}, transient_id int, " + ", ".join(f"{n} int" for n in names)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us", "seq"])
-        us, q, width = g["us"].to_numpy(np.int64), g["rate"].to_numpy(np.float64), float(g["duration_hr"].iloc[0])
-        out = {}
-        for name, s in zip(names, SCALES.values(), strict=True):
-            reach = round(width * s * 3.6e9)
-            before, after = q[(us < 0) & (us >= -reach)], q[(us >= 0) & (us < reach)]
-            n = min(len(before), len(after))
-            p = wilcoxon_p(before[-n:], after[:n]) if len(before) > 2 and len(after) > 2 else float("nan")
-            out[name] = [transform_p_value(p)]
-        return pd.DataFrame({"well_id": [g["well_id"].iloc[0]], "transient_id": [g["transient_id"].iloc[0]]} | out)
-
-    found = x.groupBy(*KEYS).applyInPandas(run, schema)
-    return transients.select(*KEYS).join(found, KEYS, "left").na.fill(0, names)
+    """1 where a signed-rank test finds the rates on the two sides of the start to differ (p < 0.05), else 0, for three windows.
+
+    As many of the last rates before as of the first after are paired, more than two a
+    side are needed, and differences of 0 do not count. Ranks are windows over all
+    transients; a sum of ranks is held against the exact distribution's critical
+    value for up to EXACT differences without ties and zeros, else against the normal
+    one's with ties corrected."""
+    test = ["well_id", "transient_id", "scale"]
+    x = _around(transients, rate).withColumn("us", F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("ts")))
+    scales = F.explode(F.array(*(F.struct(F.lit(k).alias("scale"), F.lit(s).alias("share")) for k, s in SCALES.items()))).alias("s")
+    x = x.select(*KEYS, "seq", "rate", "us", "duration_hr", scales).select("*", "s.*")
+    reach = F.bround(F.col("duration_hr") * F.col("share") * 3.6e9)
+    x = x.filter((F.col("us") >= -reach) & (F.col("us") < reach)).withColumn("early", F.col("us") < 0)
+    side, both = Window.partitionBy(*test, "early"), Window.partitionBy(*test)
+    x = x.withColumn("at", F.row_number().over(side.orderBy("us", "seq")))
+    x = x.withColumn("n_early", F.sum(F.col("early").cast("int")).over(both)).withColumn("n_late", F.sum((~F.col("early")).cast("int")).over(both)).filter("n_early > 2 and n_late > 2")
+    x = x.withColumn("at", F.when(F.col("early"), F.col("at") - F.greatest(F.col("n_early") - F.col("n_late"), F.lit(0))).otherwise(F.col("at"))).filter("at > 0 and at <= n_early")
+    d = x.groupBy(*test, "at").agg((F.max(F.when(F.col("early"), F.col("rate"))) - F.max(F.when(~F.col("early"), F.col("rate")))).alias("d"))
+    size = F.abs("d")
+    d = d.withColumn("counts", F.col("d") != 0)
+    d = d.withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*test, "counts", size))).withColumn("rank", F.rank().over(Window.partitionBy(*test, "counts").orderBy(size)) + (F.col("ties") - 1) / 2)
+    of = lambda v: F.sum(F.when(F.col("counts"), v).otherwise(0))
+    t = d.groupBy(*test).agg(
+        of(F.lit(1)).alias("n"), of(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("plus"), of(F.col("ties") * F.col("ties") - 1).cast("double").alias("tie"), F.bool_and("counts").alias("no_zero")
+    )
+    n = F.col("n").cast("double")
+    least = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
+    spread = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
+    exact = (F.col("n") <= EXACT) & (F.col("tie") == 0) & F.col("no_zero")
+    critical = F.get(F.array(*map(F.lit, critical_sums())), F.least(F.col("n"), F.lit(EXACT)).cast("int"))
+    differ = F.when(exact, least <= critical).otherwise((spread > 0) & (F.abs(least - n * (n + 1) / 4) > NORMAL * F.sqrt(F.greatest(spread, F.lit(0.0)))))
+    names = {k: f"binary_rate_change_{k}" for k in SCALES}
+    found = t.withColumn("differ", differ.cast("int")).groupBy(*KEYS).agg(*(F.max(F.when(F.col("scale") == k, F.col("differ"))).alias(c) for k, c in names.items()))
+    return transients.select(*KEYS).join(found, KEYS, "left").na.fill(0, [*names.values()])
 
 
 def transform_p_value(p: float) -> int:
-    return int(p < 0.05)
+    return int(p < LEVEL)
 
 
 def transform_snr(snr: Column) -> Column:

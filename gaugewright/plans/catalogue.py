@@ -538,13 +538,72 @@ def plot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flowing transients of each well as a time-lapse group."""
     d = loglog.derivative(_loglog(spark, sf_dir, True)[0], 0.2).filter("derivative is not null")
-    x = d.groupBy("well_id", "transient_id", F.col("delta_time").alias("time")).agg(F.first("delta_pressure").alias("pressure"), F.avg("derivative").alias("derivative"))
+    x = d.groupBy("well_id", "transient_id", F.col("delta_time").alias("time")).agg(F.min("delta_pressure").alias("pressure"), F.avg("derivative").alias("derivative"))
     return x.filter("time > 0 and derivative > 0").withColumnRenamed("well_id", "group_id")
 
 
-@query()
+def _smoothed_sql(name: str, source: str, width: str) -> str:
+    """Each point's value on the parabola through the window around it, or at the ends through the first or last window; source: tid, m, n, t, y."""
+    h = f"({width} // 2)"
+    at = f"greatest(0, least(a.m - {h}, a.n - {width}))"
+    r, q = f"(a.m - {at} - {h})", f"(b.m - {at} - {h})"
+    mu = f"({h} * ({h} + 1) / 3.0::DOUBLE)"  # mean square of the places -h to h
+    s2 = f"({width} * {mu})"
+    s4 = f"({width} * ({h} * ({h} + 1) * (3 * {h} * {h} + 3 * {h} - 1) / 15.0::DOUBLE - {mu} * {mu}))"
+    weight = f"(1.0::DOUBLE / {width} + {r} * {q} / {s2} + ({r} * {r} - {mu}) * ({q} * {q} - {mu}) / {s4})"
+    return f"""{name} AS (SELECT a.tid, a.m, a.n, a.t, CASE WHEN a.n < 30 THEN any_value(a.y) ELSE sum({weight} * b.y) END AS y
+    FROM {source} a JOIN {source} b ON b.tid = a.tid AND b.m >= {at} AND b.m < {at} + {width} GROUP BY a.tid, a.m, a.n, a.t)"""
+
+
+def _regimes_sql() -> tuple[str, ...]:
+    slopes = ", ".join(f"({k}, {s}::DOUBLE)" for k, s in enumerate(regimes.SLOPES))
+    p = regimes.Params()
+    w = p.bdw
+    return (
+        f"""family AS (SELECT *, dense_rank() OVER (ORDER BY well_id, transient_id) AS tid FROM (SELECT well_id, transient_id, delta_time AS x, min(delta_pressure) AS p, avg(derivative) AS d FROM der
+    WHERE derivative IS NOT NULL GROUP BY well_id, transient_id, delta_time) WHERE x > 0 AND d > 0),
+stretches AS (SELECT *, lead(x) OVER w AS x1, lead(p) OVER w AS p1, lead(d) OVER w AS d1, lag(x) OVER w IS NULL AS first, min(x) OVER (PARTITION BY tid) AS lo, max(x) OVER (PARTITION BY tid) AS hi
+    FROM family WINDOW w AS (PARTITION BY tid ORDER BY x)),
+resampled AS (SELECT well_id, transient_id, tid, m, grid AS t, p + (p1 - p) / (x1 - x) * (grid - x) AS p, d + (d1 - d) / (x1 - x) * (grid - x) AS d FROM (
+    SELECT *, unnest(range(500)) AS m, pow(10.0, log10(lo) + unnest(range(500)) * (log10(hi) - log10(lo)) / 499) AS grid FROM stretches WHERE x1 IS NOT NULL) WHERE (first OR grid >= x) AND (x1 = hi OR grid < x1)),
+curves AS (SELECT tid, m, 500 AS n, log10(t) AS t, CASE WHEN d > 0 THEN log10(d) ELSE 0 END AS y FROM resampled)""",
+        _smoothed_sql("smooth_all", "curves", str(p.dsw)),
+        f"""lines AS MATERIALIZED (SELECT p.tid * 500 + k AS id, (q.y - p.y) / (q.t - p.t) AS b, p.y - (q.y - p.y) / (q.t - p.t) * p.t AS a
+    FROM (SELECT DISTINCT tid, m AS k FROM curves WHERE m < 500 - {w}) a JOIN smooth_all p ON p.tid = a.tid AND p.m >= k AND p.m < k + {w} JOIN smooth_all q ON q.tid = a.tid AND q.m > p.m AND q.m < k + {w}),
+medians AS (SELECT id, 0 AS round, avg(a) AS a, avg(b) AS b, 1.0::DOUBLE AS moved FROM lines GROUP BY id
+    UNION ALL SELECT id, round + 1, a + da, b + db, greatest(abs(da), abs(db)) FROM (SELECT id, round, a, b, (1 - share) * ma / total AS da, (1 - share) * mb / total AS db FROM (
+        SELECT id, any_value(round) AS round, any_value(a) AS a, any_value(b) AS b, sum(da * w) AS ma, sum(db * w) AS mb, sum(w) AS total,
+            CASE WHEN min(w) = 0 THEN least(1.0, 1 / greatest(sqrt(pow(sum(da * w), 2) + pow(sum(db * w), 2)), 1e-300)) ELSE 0 END AS share
+        FROM (SELECT *, CASE WHEN far < 1e-12 THEN 0 ELSE 1 / far END AS w FROM (SELECT *, sqrt(da * da + db * db) AS far FROM (
+            SELECT i.id, i.round, i.a, i.b, l.a - i.a AS da, l.b - i.b AS db FROM medians i JOIN lines l ON l.id = i.id WHERE i.moved >= 1e-10 AND i.round < 60))) GROUP BY id))),
+slopes AS (SELECT id // 500 AS tid, id % 500 AS k, abs(arg_max(b, round)) AS b FROM medians GROUP BY id),
+steep AS (SELECT tid, k, avg(b) OVER (PARTITION BY tid ORDER BY k ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) > {p.slope_threshold} AS steep FROM slopes),
+tails AS (SELECT tid, max(k) FILTER (NOT steep) AS flat, bool_or(steep) FILTER (k = {499 - 2 * w}) AS ends_steep FROM steep WHERE k < {500 - 2 * w} GROUP BY tid),
+marked AS (SELECT c.*, CASE WHEN NOT ends_steep THEN 0 WHEN flat IS NULL THEN {500 - 2 * w} ELSE {499 - 2 * w} - flat + {w - 1} END AS run FROM curves c JOIN tails USING (tid)),
+inner_points AS (SELECT tid, m AS seq, row_number() OVER (PARTITION BY tid ORDER BY m) - 1 AS m, count(*) OVER (PARTITION BY tid) AS n, t, y FROM marked WHERE m < 500 - run AND t >= {p.filter_value}),
+sized AS (SELECT *, CASE WHEN n < 30 THEN 1 WHEN n < 100 THEN 5 ELSE {p.dsw} END AS width FROM inner_points)""",
+        *(_smoothed_sql(f"smooth_{k}", f"(SELECT * FROM sized WHERE width = {k})", str(k)) for k in (5, p.dsw)),
+        f"""used AS (SELECT tid, m, n, t, y FROM sized WHERE width = 1 UNION ALL SELECT * FROM smooth_5 UNION ALL SELECT * FROM smooth_{p.dsw}),
+spans_of AS (SELECT tid, any_value(n) AS n, min(t) AS t0, max(t) AS t1, max(t) FILTER (m = n - 2) AS t_prev FROM used GROUP BY tid HAVING any_value(n) > 1),
+starts_of AS (SELECT *, t0 + {p.window_step} * (k - 1) AS s FROM (SELECT *, unnest(range(0, 1 + CASE WHEN t1 - t0 < {p.window_length} THEN 1 ELSE CAST(floor((t1 - t0 - {p.window_length}) / {p.window_step}) AS BIGINT) + 2 END)) AS k FROM spans_of)),
+edges AS (SELECT f.tid, f.k, f.n, f.t1, f.t_prev, f.s, count(*) FILTER (u.t <= s) - 1 AS i, count(*) FILTER (u.t <= s + {p.window_length}) AS j, max(u.t) FILTER (u.t <= s + {p.window_length}) AS z FROM starts_of f JOIN used u ON u.tid = f.tid GROUP BY ALL),
+ranges AS (SELECT tid, k, n, i, CASE WHEN CASE WHEN k > 0 THEN z WHEN t1 <= s + {p.window_length} THEN t1 ELSE t_prev END > t1 - {p.window_step} THEN n WHEN k > 0 THEN j ELSE 0 END AS j FROM edges),
+centres AS (SELECT r.tid, r.k, count(*) AS c, avg(u.t) AS mt, avg(u.y) AS my FROM ranges r JOIN used u ON u.tid = r.tid AND u.m >= r.i AND u.m < r.j WHERE k > 0 GROUP BY r.tid, r.k),
+reference(slope, value) AS (VALUES {slopes}),
+far AS (SELECT r.tid, r.k, slope, sqrt(sum(pow(value * (u.t - mt) + my - u.y, 2))) / any_value(c) AS d FROM ranges r JOIN centres USING (tid, k) JOIN used u ON u.tid = r.tid AND u.m >= r.i AND u.m < r.j CROSS JOIN reference GROUP BY r.tid, r.k, slope),
+point_distances AS (SELECT u.tid, u.m, f.slope, avg(f.d) AS d FROM used u JOIN ranges r ON r.tid = u.tid AND u.m >= r.i AND u.m < r.j JOIN far f ON f.tid = r.tid AND f.k = r.k + 1 GROUP BY u.tid, u.m, f.slope
+    UNION ALL SELECT tid, m, slope, 1.0 FROM used CROSS JOIN reference WHERE n < 2),
+detected AS (SELECT m.tid, m.m, {", ".join(f"max(d.d) FILTER (d.slope = {k}) AS {c}" for k, c in enumerate(regimes.DISTANCES))},
+    CASE WHEN m.m >= 500 - m.run THEN 3 WHEN m.t < {p.filter_value} THEN 4 ELSE [0, 1, 1, 2, 2][1 + coalesce(arg_min(d.slope, (d.d, d.slope)), 0)] END AS regime
+    FROM marked m LEFT JOIN inner_points i ON i.tid = m.tid AND i.seq = m.m LEFT JOIN point_distances d ON d.tid = i.tid AND d.m = i.m GROUP BY m.tid, m.m, m.run, m.t),
+regimes AS (SELECT r.well_id AS group_id, r.transient_id, CAST(r.m AS INT) AS seq, r.t AS time, r.p AS pressure, r.d AS pressure_derivative, d.* EXCLUDE (tid, m) FROM detected d JOIN resampled r ON r.tid = d.tid AND r.m = d.m)""",
+    )
+
+
+@query(_with(f"""SELECT group_id, transient_id, seq, {_rs('time', 'pressure', 'pressure_derivative', n=4)}, regime, {_rs(*regimes.DISTANCES)} FROM regimes""", G.RATES_SQL, _SUPER, _DER, *_regimes_sql()))
 def regimes_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"])
+    r = regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"])
+    return r.select("group_id", "transient_id", "seq", *_r("time", "pressure", "pressure_derivative", n=4), "regime", *_r(*regimes.DISTANCES))
 
 
 @query()

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewright.functions import kernels as K
 from gaugewright.functions.intervals import interval_join
 from gaugewright.operators import ingest, lmir, loglog, patterns, rare, regimes, scores, tpmr, workflow
 from gaugewright.plans import catalogue
@@ -262,3 +263,65 @@ def test_no_join_on_the_well_alone(spark, wells):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         joins = [line for line in plan.splitlines() if "Join Inner" in line and ("ts#" in line or "time_hr#" in line)]
         assert joins and all("_bucket" in line for line in joins), joins
+
+
+def test_signed_rank_tests_equal_plain(spark):
+    """Ties, zeros, equal sides, uneven sides, few and many samples."""
+    rng = np.random.default_rng(6)
+    at = lambda h: T0 + dt.timedelta(hours=float(h))
+    rates, transients = [], []
+    for w in range(40):
+        n, step = int(rng.choice([4, 12, 30, 150])), float(rng.choice([0.5, 1.0]))
+        shift = rng.choice([0, 0.5, 3])
+        rows = rng.normal(0, 1, 2 * n) + shift * (np.arange(2 * n) >= n)
+        rows = rows if w % 3 else np.round(rows)
+        rates += [(w, i + 1, at(step * i), float(v)) for i, v in enumerate(rows)]
+        transients += [(w, 1, at(step * n), at(step * n * 2), step * n), (w, 2, at(step * n / 2), at(step * n), step * n / 2), (w, 3, at(1e4), at(2e4), 1e4 - 5e3)]
+    rate = spark.createDataFrame(rates, "well_id int, seq int, ts timestamp_ntz, rate double").repartition(3)
+    t = spark.createDataFrame(transients, "well_id int, transient_id int, start_ts timestamp_ntz, end_ts timestamp_ntz, duration_hr double")
+    got = {(r.well_id, r.transient_id): r for r in scores.rate_tests(t, rate).collect()}
+    assert len(got) == len(transients)
+    ones = 0
+    for w, i, start, _, width in transients:
+        own = [((ts - start) / dt.timedelta(hours=1), v) for x, _, ts, v in rates if x == w]
+        for name, share in scores.SCALES.items():
+            reach = width * share
+            before, after = np.array([v for h, v in own if -reach <= h < 0]), np.array([v for h, v in own if 0 <= h < reach])
+            n = min(len(before), len(after))
+            p = K.wilcoxon_p(before[-n:], after[:n]) if len(before) > 2 and len(after) > 2 else float("nan")
+            assert got[w, i][f"binary_rate_change_{name}"] == scores.transform_p_value(p), (w, i, name, p)
+            ones += scores.transform_p_value(p)
+    assert 10 < ones < 2 * len(transients)
+
+
+def test_critical_sums_are_the_exact_tails():
+    sums = scores.critical_sums()
+    assert len(sums) == scores.EXACT + 1 and sums[:6] == [-1] * 6
+    for n in (6, 9, 20, 50):
+        d = np.arange(1.0, n + 1)
+        for low, under in ((sums[n], True), (sums[n] + 1, False)):
+            sign, rest = np.ones(n), low
+            for r in range(n, 0, -1):  # negative ranks that add up to `low`
+                if r <= rest:
+                    sign[r - 1], rest = -1, rest - r
+            assert rest == 0 and (K.wilcoxon_p(d * sign, np.zeros(n)) < 0.05) == under
+
+
+@pytest.mark.parametrize("p", [regimes.Params(), regimes.Params(window_length=0.3, window_step=0.05), regimes.Params(window_length=3.0, filter_value=-1.0), regimes.Params(filter_value=1.0, bdw=4)])
+def test_distances_by_running_sums_equal_windows(spark, p):
+    """Smooth, noisy, steep, exactly flat and short transients; the last has one point behind the filter."""
+    rng, rows = np.random.default_rng(2), []
+    for k in range(6):
+        t = np.logspace(-2, [3, 2, 1.5, 2.5, -1, p.filter_value + 1e-9][k], 120)
+        d = [3 * np.maximum(1, t / 10) ** 0.364, np.exp(rng.normal(size=120)), t**1.2, np.full(120, 2.0), t**0.5, t**-0.3][k]
+        rows += [(k, float(a), float(a**0.1), float(b)) for a, b in zip(t, d, strict=True)]
+    rows += [(7, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "k int, time double, pressure double, derivative double").repartition(3)
+    got = regimes.classify(frame, ["k"], p).toPandas().sort_values(["k", "seq"]).groupby("k")
+    want = regimes._searched(regimes.resampled(frame.withColumnRenamed("k", "well"), ["well"]), ["well"], p, False, False).toPandas().sort_values(["well", "seq"]).groupby("well")
+    assert set(got.groups) == set(want.groups) == set(range(6))
+    for k, g in got:
+        x = want.get_group(k)
+        assert len(g) == 500 and g["regime"].tolist() == x["regime"].tolist()
+        for c in regimes.DISTANCES:
+            np.testing.assert_allclose(g[c].astype(float), x[c].astype(float), atol=2e-8)

@@ -78,15 +78,52 @@ def test_slopes_are_told_apart(slope, code):
     assert slope_distances(x, slope * x).argmin() == code
 
 
-def test_flat_then_steep_transient():
+@pytest.mark.parametrize("until", [10, 20, 50])
+def test_flat_then_steep_transient(until):
     t = np.logspace(-2, 3, 200)
-    d = np.where(t < 50, 3.0, 3.0 * (t / 50) ** 0.364)
+    d = np.where(t < until, 3.0, 3.0 * (t / until) ** 0.364)
     fit = Transient.fit(Params(), t, t**0.1, d)
     regime, _, p = fit.optimize()
-    assert len(regime) == 500 and {0, 1} <= set(regime.tolist())
+    assert len(regime) == 500 and set(regime.tolist()) == {0, 1, 4}
+    assert abs(fit.log_time[np.flatnonzero(regime == 1)[0]] - np.log10(until)) < 0.05
     assert Params().window_length != 0 and -1.5 <= p.filter_value <= 1
 
 
+def curve(*pieces):
+    """Time and derivative of a curve of log-log slopes, each up to a log time."""
+    x = np.linspace(-2.5, 2.5, 300)
+    slope = np.array([next(s for end, s in pieces if v <= end) for v in x[1:]])
+    return 10**x, 10 ** np.concatenate(([0.0], np.cumsum(slope * np.diff(x))))
+
+
+HUMP = ((-1.2, 1.0), (-0.6, -0.6))  # storage in the well before the reservoir answers
+
+
+@pytest.mark.parametrize(
+    ("pieces", "regimes"),
+    [
+        ([(9, 0.0)], {4: -2.5, 0: -0.6}),
+        ([(1.2, 0.0), (9, -0.364)], {4: -2.5, 0: -0.6, 2: 1.2}),
+        ([(1.0, 0.0), (2.1, 0.364), (9, 1.0)], {4: -2.5, 0: -0.6, 1: 1.0, 3: 2.1}),
+        ([(9, 0.364)], {4: -2.5, 1: -0.6}),
+    ],
+)
+def test_regimes_of_designed_transients(pieces, regimes):
+    """Each regime is found, none besides, and begins where the curve bends."""
+    t, d = curve(*HUMP, *pieces)
+    fit = Transient.fit(Params(), t, t**0.1, d)
+    found, _, _ = fit.optimize()
+    assert {int(k): round(float(fit.log_time[np.flatnonzero(found == k)[0]]), 1) for k in np.unique(found)} == pytest.approx(regimes, abs=0.2)
+
+
+def test_boundary_before_the_filter_is_boundary():
+    """A transient that is steep all through has no point twice."""
+    t = np.logspace(-2, 2, 100)
+    fit = Transient.fit(Params(), t, t**0.1, t**1.5)
+    regime, _ = fit.detect(Params(), full=True)
+    assert len(regime) == 500 and (regime[~fit.inlier] == 3).all() and not fit.inlier[-1]
+
+
 @pytest.mark.parametrize("bad", [{"metric": "x"}, {"dsw": 4}, {"rsw": 0.01}, {"bdw": 1}, {"filter_value": 3}, {"fragment_window": 2}])
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
