@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.grids import on_log_grid
 from gaugewright.functions.intervals import interval_join
 from gaugewright.functions.kernels import bourdet, group_bounds, whole_groups
-from gaugewright.functions.numeric import last_nonzero, ratio
+from gaugewright.functions.numeric import ratio
 
 KEYS = ("well_id", "transient_id")
+STEP_BLOCK = 1024  # rate steps of a well that a row holds at most
 
 
 def with_ids(transients: DataFrame) -> DataFrame:
@@ -29,32 +30,48 @@ def transient_samples(bhp: DataFrame, transients: DataFrame) -> DataFrame:
     return interval_join(bhp, t, ["well_id"], F.col("time_hr"), F.col("start_hr"), F.col("end_hr"), inside)
 
 
-def rate_steps(points: DataFrame, rates: DataFrame, transients: DataFrame) -> DataFrame:
-    """well_id, transient_id, bps, rates: breakpoints up to the transient's start and as many rates, in order.
-
-    A transient's steps are the prefix of one well's, as arrays beside its row."""
+def rate_steps(points: DataFrame, rates: DataFrame) -> DataFrame:
+    """well_id, bp, time_hr, rate, before, change: each breakpoint that begins a rate, the rate before it (none: null) and the change."""
+    w = Window.partitionBy("well_id").orderBy("bp")
     b = points.withColumn("bp", F.row_number().over(Window.partitionBy("well_id").orderBy("time_hr")))
-    s = b.join(rates.select("well_id", F.col("seq").alias("bp"), "rate"), ["well_id", "bp"])
-    x = transients.select("well_id", "transient_id", "start_hr").join(s.select("well_id", "bp", "time_hr", "rate"), "well_id").filter(F.col("time_hr") <= F.col("start_hr"))
-    arr = F.array_sort(F.collect_list(F.struct("bp", "time_hr", "rate")))  # the well's breakpoints before one transient
-    return x.groupBy(*KEYS).agg(arr.alias("s")).select(*KEYS, F.transform("s", lambda v: v["time_hr"]).alias("bps"), F.transform("s", lambda v: v["rate"]).alias("rates"))
+    s = b.join(rates.select("well_id", F.col("seq").alias("bp"), "rate"), ["well_id", "bp"]).select("well_id", "bp", "time_hr", "rate", F.lag("rate").over(w).alias("before"))
+    return s.withColumn("change", F.col("rate") - F.coalesce("before", F.lit(0.0)))
+
+
+def last_steps(steps: DataFrame, transients: DataFrame) -> DataFrame:
+    """well_id, transient_id, n_steps, rate, rate_before, nonzero, nonzero_before: how many steps begin up to a transient's start,
+    the last rate and the last that is not 0, each with the rate before it. Transients before all steps are left out.
+
+    Steps and starts are put in one order by well: no step meets a transient by a join."""
+    row = F.struct("rate", "before")
+    s = steps.select("well_id", "time_hr", F.lit(0).alias("kind"), "bp", row.alias("last"), F.when(F.col("rate") != 0, row).alias("nonzero"))
+    both = s.unionByName(transients.select("well_id", F.col("start_hr").alias("time_hr"), F.lit(1).alias("kind"), "transient_id"), allowMissingColumns=True)
+    upto = Window.partitionBy("well_id").orderBy("time_hr", "kind", "bp").rowsBetween(Window.unboundedPreceding, 0)
+    x = both.select("well_id", "transient_id", "kind", F.count("bp").over(upto).cast("int").alias("n_steps"), *(F.last(c, True).over(upto).alias(c) for c in ("last", "nonzero")))
+    return x.filter("kind = 1 and n_steps > 0").select(
+        *KEYS, "n_steps", F.col("last.rate").alias("rate"), F.col("last.before").alias("rate_before"), F.col("nonzero.rate").alias("nonzero"), F.col("nonzero.before").alias("nonzero_before")
+    )
 
 
-def superposition(samples: DataFrame, steps: DataFrame, injection: bool = False) -> DataFrame:
+def superposition(samples: DataFrame, steps: DataFrame, ends: DataFrame, injection: bool = False, block: int = STEP_BLOCK) -> DataFrame:
     """well_id, transient_id, seq, superposition, delta_pressure, delta_time of each sample after a transient's first.
 
-    The sum over steps is an array fold beside each sample: no join of samples
-    and breakpoints. A shut-in divides by its last rate that is not 0 (none: null)
-    and turns the sign; an injection divides by its last rate."""
-    w = Window.partitionBy(*KEYS)
-    first = F.min(F.struct("seq", "pressure", "time_hr")).over(w)
-    x = samples.select(*KEYS, "seq", "pressure", "time_hr").withColumn("f", first).filter(F.col("seq") > F.col("f.seq")).join(steps, list(KEYS))
-    end = F.try_element_at("rates", F.lit(-1)) if injection else last_nonzero(F.col("rates"))
+    A well's steps are held once, in blocks of `block`. A sample meets the blocks up to its
+    transient's last step, adds up each in place, and its parts are summed: no row holds more
+    steps than a block, and none is shuffled with a sample. A shut-in divides by its last
+    rate that is not 0 (none: null) and turns the sign; an injection divides by its last rate."""
+    first = F.min(F.struct("seq", "pressure", "time_hr")).over(Window.partitionBy(*KEYS))
+    x = samples.select(*KEYS, "seq", "pressure", "time_hr").withColumn("f", first).filter(F.col("seq") > F.col("f.seq"))
+    x = x.join(ends.select(*KEYS, "n_steps", F.col("rate" if injection else "nonzero").alias("qn")), list(KEYS))
+    number = lambda bp: F.floor((bp - 1) / block).cast("int")
+    held = F.array_sort(F.collect_list(F.struct("bp", "time_hr", "change"))).alias("steps")
+    blocks = steps.groupBy("well_id", number(F.col("bp")).alias("block")).agg(held)
+    x = x.withColumn("block", F.explode(F.sequence(F.lit(0), number(F.col("n_steps"))))).join(blocks, ["well_id", "block"])
     sign = 1.0 if injection else -1.0
-    change = F.transform("rates", lambda q, i: q - F.when(i > 0, F.get("rates", i - 1)).otherwise(0.0))
-    x = x.withColumn("steps", F.arrays_zip(change.alias("dq"), F.col("bps").alias("t"))).withColumn("qn", end)
-    total = F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + F.lit(sign) * ratio(s["dq"], F.col("qn")) * F.log10(F.col("time_hr") - s["t"]))
-    return x.select(*KEYS, "seq", total.alias("superposition"), F.abs(F.col("pressure") - F.col("f.pressure")).alias("delta_pressure"), (F.col("time_hr") - F.col("f.time_hr")).alias("delta_time"))
+    term = lambda s: F.lit(sign) * ratio(s["change"], F.col("qn")) * F.log10(F.col("time_hr") - s["time_hr"])
+    part = F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + F.when(s["bp"] <= F.col("n_steps"), term(s)).otherwise(0.0))
+    x = x.select(*KEYS, "seq", part.alias("part"), F.abs(F.col("pressure") - F.col("f.pressure")).alias("dp"), (F.col("time_hr") - F.col("f.time_hr")).alias("dt"))
+    return x.groupBy(*KEYS, "seq").agg(F.sum("part").alias("superposition"), F.first("dp").alias("delta_pressure"), F.first("dt").alias("delta_time"))
 
 
 def derivative(frame: DataFrame, smoothing: float) -> DataFrame:
@@ -82,27 +99,22 @@ def derivative(frame: DataFrame, smoothing: float) -> DataFrame:
 
 def loglog(bhp: DataFrame, transients: DataFrame, points: DataFrame, rates: DataFrame, injection: bool = False, smoothing: float | None = None) -> DataFrame:
     """Derivatives of every transient of a kind, from histories, breakpoints and rebuilt rates."""
-    steps = rate_steps(points, rates, transients)
-    frame = superposition(transient_samples(bhp, transients), steps, injection)
+    steps = rate_steps(points, rates)
+    frame = superposition(transient_samples(bhp, transients), steps, last_steps(steps, transients), injection)
     return derivative(frame, (0.2 if injection else 0.1) if smoothing is None else smoothing)
 
 
-def _at(values: Column, back: int) -> Column:
-    return F.try_element_at(values, F.lit(-back))
-
-
-def normalize(frame: DataFrame, steps: DataFrame, reference: DataFrame) -> DataFrame:
+def normalize(frame: DataFrame, ends: DataFrame, reference: DataFrame) -> DataFrame:
     """frame with pressures and derivatives scaled to a well's reference transient.
 
-    steps: rates of each transient; reference: well_id, ref_rates. Pressures are
-    scaled by the last change of rate, by the last rate where the last two are
-    equal, and by the last rate that is not 0 where a transient ends at 0."""
-    tail = lambda a: F.filter(F.transform(a, lambda q, i: F.when(q != 0, i)), lambda i: i.isNotNull())
-    at = F.try_element_at(tail(F.col("ref_rates")), F.lit(-1))
-    ref = reference.select("well_id", "ref_rates", F.get("ref_rates", at).alias("qr"), F.when(at > 0, F.get("ref_rates", at - 1)).otherwise(0.0).alias("qr_prev"))
-    z, y = _at(F.col("rates"), 1), _at(F.col("rates"), 2)
-    change = F.when(z == 0, last_nonzero(F.col("rates"))).when(z != y, z - y).otherwise(z)  # one rate, or two equal ones: the rate itself
-    own = steps.select(*KEYS, last_nonzero(F.col("rates")).alias("q"), change.alias("dq"))
+    ends: the last steps of each transient; reference: well_id, nonzero and
+    nonzero_before of its last steps. Pressures are scaled by the last change of rate, by
+    the last rate where the last two are equal, and by the last rate that is not 0
+    where a transient ends at 0."""
+    ref = reference.select("well_id", F.col("nonzero").alias("qr"), F.coalesce("nonzero_before", F.lit(0.0)).alias("qr_prev"))
+    z, y = F.col("rate"), F.col("rate_before")
+    change = F.when(z == 0, F.col("nonzero")).when(z != y, z - y).otherwise(z)  # one rate, or two equal ones: the rate itself
+    own = ends.select(*KEYS, F.col("nonzero").alias("q"), change.alias("dq"))
     x = frame.join(own, list(KEYS)).join(ref, "well_id")
     s, a = F.abs(ratio(F.col("qr"), F.col("dq"))), F.abs(ratio(F.col("qr") - F.col("qr_prev"), F.col("dq")))
     sd, ad = F.abs(ratio(F.col("qr"), F.col("q"))), F.abs(ratio(F.col("qr") - F.col("qr_prev"), F.col("q")))

@@ -295,8 +295,9 @@ superposed AS (SELECT w.well_id, w.transient_id, w.status, w.seq, abs(w.pressure
 def _loglog(spark: SparkSession, sf_dir: str, injection: bool) -> tuple[DataFrame, DataFrame]:
     b, p, r = _rates(spark, sf_dir)
     t = G.grid_transients(b).filter(F.col("status") == ("flowing" if injection else "shutin"))
-    steps = loglog.rate_steps(p, r, t)
-    return loglog.superposition(loglog.transient_samples(b, t), steps, injection), steps
+    steps = loglog.rate_steps(p, r)
+    ends = loglog.last_steps(steps, t)
+    return loglog.superposition(loglog.transient_samples(b, t), steps, ends, injection), ends
 
 
 def _superposition_sql(status: str) -> str:
@@ -342,9 +343,9 @@ normed AS (SELECT d.*, qr, qp, CASE WHEN z = 0 THEN q WHEN n > 1 AND z <> y THEN
 @query(_with(f"""SELECT well_id, transient_id, {_uss('delta_time')}, round(delta_pressure * abs(qr / nullif(dq, 0)), 3) + 0.0 AS pn_saphir, round(delta_pressure * abs((qr - qp) / nullif(dq, 0)), 3) + 0.0 AS pn_autowell,
     round(derivative * abs(qr / nullif(q, 0)), 3) + 0.0 AS derivative_saphir, round(derivative * abs((qr - qp) / nullif(q, 0)), 3) + 0.0 AS derivative_autowell FROM normed""", G.RATES_SQL, _SUPER, _DER, _NORM))
 def normalized_loglog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, steps = _loglog(spark, sf_dir, True)
-    ref = steps.groupBy("well_id").agg(F.max_by("rates", "transient_id").alias("ref_rates"))
-    n = loglog.normalize(loglog.derivative(s, 0.2), steps, ref)
+    s, ends = _loglog(spark, sf_dir, True)
+    ref = ends.groupBy("well_id").agg(F.max_by(F.struct("nonzero", "nonzero_before"), "transient_id").alias("r")).select("well_id", "r.*")
+    n = loglog.normalize(loglog.derivative(s, 0.2), ends, ref)
     return n.select("well_id", "transient_id", *_us("delta_time"), *_r("pn_saphir", "pn_autowell", "derivative_saphir", "derivative_autowell", n=3))
 
 

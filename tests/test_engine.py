@@ -118,8 +118,8 @@ def test_loglog_of_all_transients(wells):
     w = workflow.ti_workflow(bhp, rate, prominence=5.0, interval_shutin=5, interval_injection=20, order=10)
     shut = loglog.with_ids(w.shutin)
     d = loglog.loglog(bhp, shut, w.breakpoints, w.weighted_rates)
-    steps = loglog.rate_steps(w.breakpoints, w.weighted_rates, shut)
-    n = loglog.normalize(d, steps, steps.groupBy("well_id").agg(F.max_by("rates", "transient_id").alias("ref_rates")))
+    ends = loglog.last_steps(loglog.rate_steps(w.breakpoints, w.weighted_rates), shut)
+    n = loglog.normalize(d, ends, ends.filter("transient_id = 1"))
     assert d.count() > 50 and n.count() == d.count()
     e = loglog.envelope(d, ["well_id"], points=50).toPandas()
     ok = e.dropna()
@@ -221,10 +221,13 @@ def test_envelope_query_has_the_default_grid(spark, long_history):
 def test_normalization_by_hand(spark):
     """Reference rates end 50, 200: its last rate is 200 and changed by 150."""
     cases = {1: ([100.0, 40.0], 60, 40), 2: ([100.0, 100.0], 100, 100), 3: ([80.0, 0.0], 80, 80), 4: ([30.0, 0.0, 0.0], 30, 30), 5: ([25.0], 25, 25), 6: ([0.0], None, None), 7: ([10.0, -10.0, -10.0], 10, 10)}
-    frame = spark.createDataFrame([(1, k, 6.0, 3.0) for k in cases], "well_id int, transient_id int, delta_pressure double, derivative double")
-    steps = spark.createDataFrame([(1, k, v[0]) for k, v in cases.items()], "well_id int, transient_id int, rates array<double>")
-    ref = spark.createDataFrame([(1, [50.0, 200.0])], "well_id int, ref_rates array<double>")
-    got = {r.transient_id: r for r in loglog.normalize(frame, steps, ref).collect()}
+    cases[8] = ([50.0, 200.0], 150, 200)  # the reference
+    frame = spark.createDataFrame([(k, 1, 6.0, 3.0) for k in cases], "well_id int, transient_id int, delta_pressure double, derivative double")
+    points = spark.createDataFrame([(k, float(i)) for k, v in cases.items() for i in range(len(v[0]) + 1)], "well_id int, time_hr double")
+    rates = spark.createDataFrame([(k, i + 1, q) for k, v in cases.items() for i, q in enumerate(v[0])], "well_id int, seq int, rate double")
+    ends = loglog.last_steps(loglog.rate_steps(points, rates), spark.createDataFrame([(k, 1, 100.0) for k in cases], "well_id int, transient_id int, start_hr double"))
+    ref = ends.filter("well_id = 8").drop("well_id").crossJoin(frame.select("well_id"))
+    got = {r.well_id: r for r in loglog.normalize(frame, ends, ref).collect()}
     assert len(got) == len(cases)
     for k, (_, change, last) in cases.items():
         want = [None if by is None else v * of / by for v, of, by in ((6.0, 200, change), (6.0, 150, change), (3.0, 200, last), (3.0, 150, last))]
@@ -325,3 +328,43 @@ def test_distances_by_running_sums_equal_windows(spark, p):
         assert len(g) == 500 and g["regime"].tolist() == x["regime"].tolist()
         for c in regimes.DISTANCES:
             np.testing.assert_allclose(g[c].astype(float), x[c].astype(float), atol=2e-8)
+
+
+def test_superposition_in_blocks_equals_a_sum_over_all_steps(spark):
+    """Steps at a transient's start, transients before all steps, last rates of 0, blocks of any size."""
+    rng = np.random.default_rng(12)
+    steps, transients, samples, want = [], [], [], {}
+    for w in range(3):
+        bps = np.sort(rng.choice(np.arange(1, 200), 23, replace=False)).astype(float)
+        q = np.round(rng.choice([0, 0, 50, 80, -30], 22) + rng.integers(0, 3, 22) * (w > 0), 1)
+        steps.append((bps, q))
+        for i, (a, z) in enumerate(((-5.0, 3.0), (bps[4], bps[4] + 9), (bps[9] + 0.5, 150.0), (201.0, 260.0))):
+            transients.append((w, i, float(a), float(z)))
+        seq = 0
+        for t in np.arange(-5.0, 260, 2.5):
+            seq += 1
+            samples.append((w, seq, float(rng.normal(100, 5)), float(t)))
+    for w, i, a, z in transients:
+        own = [(s, p, t) for x, s, p, t in samples if x == w and a <= t <= z]
+        bps, q = steps[w]
+        use = np.flatnonzero(bps[:-1] <= a)
+        if not len(use):
+            continue
+        rate = q[use]
+        for injection in (False, True):
+            last = rate[-1] if injection else next((v for v in rate[::-1] if v), 0)
+            for s, p, t in own[1:]:
+                v = None if last == 0 else float((1 if injection else -1) * (np.diff(rate, prepend=0) / last * np.log10(t - bps[use])).sum())
+                want[injection, w, i, s] = (v, abs(p - own[0][1]), t - own[0][2])
+    points = spark.createDataFrame([(w, float(t)) for w, (b, _) in enumerate(steps) for t in b], "well_id int, time_hr double")
+    rates = spark.createDataFrame([(w, i + 1, float(v)) for w, (_, q) in enumerate(steps) for i, v in enumerate(q)], "well_id int, seq int, rate double")
+    t = spark.createDataFrame(transients, "well_id int, transient_id int, start_hr double, end_hr double")
+    bhp = spark.createDataFrame(samples, "well_id int, seq int, pressure double, time_hr double").repartition(3)
+    s = loglog.rate_steps(points, rates)
+    for injection in (False, True):
+        for block in (1, 5, 1024):
+            rows = loglog.superposition(loglog.transient_samples(bhp, t), s, loglog.last_steps(s, t), injection, block).collect()
+            expected = {k[1:]: v for k, v in want.items() if k[0] == injection}
+            assert len(rows) == len(expected) > 100
+            for r in rows:
+                assert (r.superposition, r.delta_pressure, r.delta_time) == pytest.approx(expected[r.well_id, r.transient_id, r.seq])
