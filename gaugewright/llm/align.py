@@ -42,7 +42,7 @@ from gaugewright.llm import bpe
 from gaugewright.llm.pieces import Pieces, blocks, pieces, segment
 from gaugewright.llm.store import drop, keep
 
-BLOCK_BYTES = 4_000_000  # of text whose arrays are held at once
+BLOCK_BYTES = 2_000_000  # of text whose arrays are held at once
 HOT_PAIRS = 1 << 17  # rows of the broadcast table at most
 SLICE = 1 << 20  # pairs of long groups that are spread out at once
 GROUP = re.compile(rb"[^3]*3")  # labels: 0 none, 1 A-end, 2 B-end, 3 both
