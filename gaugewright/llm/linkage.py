@@ -97,7 +97,7 @@ def index(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
 
     def packed(held: list[Entries]) -> pa.RecordBatch:
         key, ids, size, at, flags = (np.concatenate([getattr(x, f) for x in held]) for f in ("key", "id", "size", "at", "flags"))
-        moved = np.unique(np.concatenate([np.stack(x.moved, axis=1) for x in held]), axis=0).astype(np.int64).tobytes()
+        moved = np.unique(np.concatenate([np.stack(x.moved, axis=1) for x in held]), axis=0).astype(np.int64)
         spread = flags & SPREAD > 0
         home = (key % U(buckets)).astype("<i4")
         bucket = np.where(spread, (B.mix(key ^ ids.view(U)) % U(buckets)).astype("<i4"), home)
@@ -109,8 +109,14 @@ def index(df: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]],
             a = a[order]
             return pa.array([_planes(a[cut[i] : cut[i + 1]], width).tobytes() for i in full], pa.binary())
 
+        # a bucket gets the components of the ids in it, not of all
+        place = np.minimum(np.searchsorted(moved[:, 0], ids[order]), len(moved) - 1)
+        hit = moved[place, 0] == ids[order] if len(moved) else np.zeros(len(ids), bool)
+        to = np.unique(bucket[order][hit].astype(np.int64) * len(moved) + place[hit])
+        of = np.searchsorted(to, np.append(full, buckets) * len(moved))
+        components = [moved[to[a:z] % len(moved)].tobytes() if z > a else b"" for a, z in zip(of[:-1], of[1:], strict=True)]
         cols = [pack(key >> U(64 - 8 * KEY), KEY), pack(ids, 8), pack(size.astype("<i4"), 4), pack(at.astype("<i4"), 4), pack(flags.astype("u1"), 1), pack(home, 4)]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cols, pa.array([moved] * len(full), pa.binary())], names=["bucket", "k", "c", "s", "p", "f", "h", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cols, pa.array(components, pa.binary())], names=["bucket", "k", "c", "s", "p", "f", "h", "m"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

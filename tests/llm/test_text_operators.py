@@ -472,3 +472,28 @@ def test_pii_failed_base_matches_stay_out(spark):
     assert spans[900] == [""] and spans[902] == [""]
     assert spans[903] == ["phone:11:24"] * 2 and spans[904] == ["phone:11:24"]
     assert spans[901][0].startswith("ip:19:28")
+
+
+def test_index_sends_a_bucket_only_its_own_components(spark):
+    """Components reach every entry whatever the number of packs and buckets."""
+    from gaugewright.llm import linkage
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(i // 7 * 7), [int(k) for k in rng.integers(0, 400, 6)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, comp long, keys array<long>").repartition(4)
+
+    def entries(b):
+        ids, comp = (b.column(i).to_numpy() for i in (0, 1))
+        flat = b.column(2).flatten().to_numpy().astype(np.uint64)
+        own, joined = np.repeat(ids, 6), ids != comp
+        key = linkage.B.mix(flat)
+        yield linkage.Entries(key, own, np.full(len(own), 10), np.zeros(len(own), np.int32), np.full(len(own), linkage.SMALL, np.uint8), (ids[joined], comp[joined]))
+
+    out = []
+    for per in (100_000, 1_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(linkage, "PER_BUCKET", per)
+            m.setattr(linkage, "PER_PACK", 2_000)
+            got = linkage.index(df, entries, 18_000, 0.75)
+            out.append(Counter((r["key"] is not None, r["id"], r["comp"], r["size"]) for r in got.collect()))
+    assert out[0] == out[1] and all(c == i // 7 * 7 for _, i, c, _ in out[0])
