@@ -3,44 +3,132 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def wall_cuts(h: np.ndarray, prominence: float) -> np.ndarray:
+    """For each wall the highest valley that it stands at least `prominence` above: the largest v with h - v >= prominence in doubles."""
+    lo = h - prominence
+    hi = lo + np.spacing(np.abs(lo)) + 2 * np.spacing(np.full(len(h), abs(prominence)))
+    lo = lo - np.spacing(np.abs(lo))
+    while True:  # halves to neighbouring doubles
+        mid = lo + (hi - lo) / 2
+        inner = (mid > lo) & (mid < hi)
+        if not inner.any():
+            return np.where(h - hi >= prominence, hi, lo)
+        high = h - mid >= prominence
+        lo, hi = np.where(inner & high, mid, lo), np.where(inner & ~high, mid, hi)
+
+
+def clamp(x: np.ndarray | float, lo: np.ndarray | float, hi: np.ndarray | float) -> np.ndarray:
+    return np.maximum(np.minimum(x, hi), lo)
+
+
+def clamps_before(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All clamps before each place as one clamp, and last all of them: clamps compose to clamps, so the places double in log n steps."""
+    lo, hi, d = lo.copy(), hi.copy(), 1
+    while d < len(lo):
+        lo[d:], hi[d:] = clamp(lo[:-d], lo[d:], hi[d:]), clamp(hi[:-d], lo[d:], hi[d:])
+        d *= 2
+    return np.concatenate(([-np.inf], lo)), np.concatenate(([np.inf], hi))
+
+
+class Slice(NamedTuple):
+    """A stretch of samples: its flats (first and last place, value) and for each flat the clamps between it and the stretch's ends.
+
+    A valley of value v has a wall of the prominence on its left if x >= v, where x
+    is the highest valley that the samples before it leave possible. Each sample of
+    value h takes x to at most h, as valleys above it end there, and to at least the
+    valley that h itself is a wall for: a clamp. So what any stretch does to x is
+    two numbers, and stretches can be worked on apart and put together."""
+
+    head: np.ndarray
+    tail: np.ndarray
+    value: np.ndarray
+    left: tuple[np.ndarray, np.ndarray]  # one more than flats: the last is the whole stretch, from left to right
+    right: tuple[np.ndarray, np.ndarray]  # one more than flats: the first is the whole stretch, from right to left
+
+
+def flats_and_walls(p: np.ndarray, prominence: float) -> Slice:
+    head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+    v = p[head]
+    cut = np.minimum(wall_cuts(v, prominence), v)
+    lo, hi = clamps_before(cut[::-1], v[::-1])
+    return Slice(head, np.append(head[1:], len(p)) - 1, v, clamps_before(cut, v), (lo[::-1], hi[::-1]))
+
+
+def low_flats(s: Slice) -> np.ndarray:
+    """The inner flats below both neighbours that no wall within the stretch rules out."""
+    v = s.value
+    k = np.flatnonzero((v[1:-1] < v[:-2]) & (v[1:-1] < v[2:])) + 1
+    return k[(s.left[1][k] >= v[k]) & (s.right[1][k + 1] >= v[k])]
+
+
 def prominent_valleys(p: np.ndarray, prominence: float) -> np.ndarray:
     """Indices of the interior valleys of at least this prominence.
 
     A valley is strictly below what stands on both sides; a flat one is reported
     at its middle, rounded down. Its prominence is how far the lower of its two
     walls rises above it, where a wall reaches to the next lower sample or the end."""
-    n = len(p)
-    if n < 3:
+    if len(p) < 3:
         return np.zeros(0, np.int64)
-    head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))  # flats as one
-    tail = np.append(head[1:], n) - 1
-    v = p[head]
-    k = np.flatnonzero((v[1:-1] < v[:-2]) & (v[1:-1] < v[2:])) + 1
-    if not len(k):
-        return np.zeros(0, np.int64)
-
-    def wall(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The highest value since the last lower one, for each valley of an ordered run."""
-        peak = np.maximum.reduceat(values, np.concatenate(([0], at)))[: len(at)]  # before each valley, since the one before
-        out, stack = np.empty(len(at)), []
-        for i, (x, high) in enumerate(zip(values[at], peak, strict=True)):
-            while stack and stack[-1][0] >= x:
-                high = max(high, stack.pop()[1])
-            out[i] = high
-            stack.append((x, high))
-        return out
-
-    left = wall(v, k)
-    right = wall(v[::-1], len(v) - 1 - k[::-1])[::-1]
-    edge_low = np.minimum(left, right) - v[k]
-    k = k[edge_low >= prominence]
-    return (head[k] + tail[k]) // 2
+    s = flats_and_walls(p, prominence)
+    k = low_flats(s)
+    k = k[(s.left[0][k] >= s.value[k]) & (s.right[0][k + 1] >= s.value[k])]
+    return (s.head[k] + s.tail[k]) // 2
+
+
+class Edge(NamedTuple):
+    """What a slice's neighbours need of it: its first and last flat, and its clamps from either side."""
+
+    slice: int
+    n: int
+    first: float
+    first_tail: int
+    second: float  # nan if the slice is one flat
+    last: float
+    last_head: int
+    last_but_one: float
+    whole_left: tuple[float, float]
+    whole_right: tuple[float, float]
+    last_left: tuple[float, float]  # before the last flat
+    first_right: tuple[float, float]  # behind the first flat
+
+
+def stitch(edges: list[Edge]) -> list[tuple[int, float, float, list[int]]]:
+    """(slice, x from its left, x from its right, places of valleys among flats at its edges) for the slices of a well in order.
+
+    A flat that runs over a boundary is one flat; its middle may be in another slice than its ends."""
+    none, start = -np.inf, np.concatenate(([0], np.cumsum([e.n for e in edges])))
+    left, right = [none], [none]
+    for e in edges[:-1]:
+        left.append(float(clamp(left[-1], *e.whole_left)))
+    for e in edges[:0:-1]:
+        right.append(float(clamp(right[-1], *e.whole_right)))
+    right.reverse()
+    flats: list[list] = []  # value, first and last place, value before, x from the left, value behind, x from the right
+    for i, e in enumerate(edges):
+        parts = [(e.first, 0, e.first_tail, np.nan, left[i], e.second, float(clamp(right[i], *e.first_right)))]
+        if e.first_tail < e.n - 1:
+            parts.append((e.last, e.last_head, e.n - 1, e.last_but_one, float(clamp(left[i], *e.last_left)), np.nan, right[i]))
+        for k, (v, a, z, before, xl, behind, xr) in enumerate(parts):
+            if k == 0 and flats and flats[-1][0] == v:
+                flats[-1][2], flats[-1][5], flats[-1][6] = start[i] + z, behind, xr
+                continue
+            if k == 0 and flats:
+                flats[-1][5], before = v, flats[-1][0]
+            flats.append([v, start[i] + a, start[i] + z, before, xl, behind, xr])
+    found: list[list[int]] = [[] for _ in edges]
+    for v, a, z, before, xl, behind, xr in flats:
+        if v < before and v < behind and xl >= v and xr >= v:
+            at = (a + z) // 2
+            i = int(np.searchsorted(start, at, side="right")) - 1
+            found[i].append(int(at - start[i]))
+    return [(e.slice, xl, xr, f) for e, xl, xr, f in zip(edges, left, right, found, strict=True)]
 
 
 def savgol_quadratic(y: np.ndarray, width: int) -> np.ndarray:

@@ -6,13 +6,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from gaugewright.functions.kernels import prominent_valleys
+from gaugewright.functions.kernels import Edge, flats_and_walls, low_flats, stitch
 from gaugewright.functions.numeric import ratio
 
 DEFAULT_INTERVAL = 50.0
+SLICE = 1 << 16  # samples of a well that are worked on at once
+_CLAMP = pa.list_(pa.float64())
+EDGE = pa.struct([(c, pa.float64() if c in ("first", "second", "last", "last_but_one") else pa.int64() if c in ("slice", "n", "first_tail", "last_head") else _CLAMP) for c in Edge._fields])
 TRANSIENT = ("well_id", "start_hr", "end_hr", "duration_hr", "start_ts", "end_ts", "status")
 
 
@@ -29,22 +35,43 @@ def default_prominence(bhp: DataFrame) -> DataFrame:
     return bhp.groupBy("well_id").agg(q.alias("q")).select("well_id", F.round((F.col("q")[0] - F.col("q")[1]) / 2, 9).alias("prominence"))
 
 
-def detect_valleys(bhp: DataFrame, prominence: float | None = None) -> DataFrame:
-    """The samples that are prominent valleys, labelled flowing.
+def detect_valleys(bhp: DataFrame, prominence: float | None = None, slice_samples: int = SLICE) -> DataFrame:
+    """The samples that are prominent valleys, labelled flowing. Samples without a pressure, or with NaN, count as absent.
 
-    A well's wall heights depend on its whole history, so a well is one Arrow
-    group; the kernel is linear in its samples."""
+    A well is worked on in slices of `slice_samples` numbers of seq, each a group of
+    its own: a slice gives the valleys that its own walls do not rule out, and
+    one row of a few numbers for its neighbours. Only those rows come
+    together by well, and say which valleys the walls of other slices allow."""
+    src = bhp.select("well_id", "seq", "ts", "pressure", "time_hr").filter(F.col("pressure").isNotNull() & ~F.isnan(F.col("pressure").cast("double")))
+    out = src.schema
+    src = src.withColumn("slice", F.floor(F.col("seq") / slice_samples))
     p = default_prominence(bhp) if prominence is None else None
-    src = bhp.select("well_id", "seq", "ts", "pressure", "time_hr")
-    src = src.join(p, "well_id") if p is not None else src.withColumn("prominence", F.lit(float(prominence)))
-    schema = src.drop("prominence").schema
-
-    def find(well: pd.DataFrame) -> pd.DataFrame:
-        well = well.sort_values("seq")
-        at = prominent_valleys(well["pressure"].to_numpy(np.float64), float(well["prominence"].iloc[0]))
-        return well.iloc[at].drop(columns="prominence")
-
-    return src.groupBy("well_id").applyInPandas(find, schema).withColumn("label", F.lit("flowing"))
+    with_p = src.join(p, "well_id") if p is not None else src.withColumn("prominence", F.lit(float(prominence)))
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        s = flats_and_walls(t["pressure"].to_numpy().astype(np.float64), float(t["prominence"][0].as_py()))
+        v, m = s.value, len(s.value)
+        k = low_flats(s)
+        pair = lambda x, i: [float(x[0][i]), float(x[1][i])]
+        edge = Edge(t["slice"][0].as_py(), t.num_rows, v[0], s.tail[0], v[1] if m > 1 else np.nan, v[-1], s.head[-1], v[-2] if m > 1 else np.nan, pair(s.left, m), pair(s.right, 0), pair(s.left, m - 1), pair(s.right, 1))
+        rows = t.drop_columns("prominence").take(pa.array(np.append((s.head[k] + s.tail[k]) // 2, 0)))
+        rows = rows.append_column("open_left", pa.array(np.append(s.left[0][k] < v[k], False))).append_column("open_right", pa.array(np.append(s.right[0][k + 1] < v[k], False)))
+        return rows.append_column("edge", pa.array([None] * len(k) + [edge._asdict()], EDGE))
+
+    kind = StructType(list(src.schema)).add("open_left", "boolean").add("open_right", "boolean").add("edge", from_arrow_type(EDGE))
+    worked = with_p.groupBy("well_id", "slice").applyInArrow(work, kind)
+
+    def join_up(well: pd.DataFrame) -> pd.DataFrame:
+        rows = stitch([Edge(*r) for r in well.sort_values("slice").drop(columns="well_id").itertuples(index=False)])
+        return pd.DataFrame([(well["well_id"].iloc[0], *r) for r in rows], columns=["well_id", "slice", "x_left", "x_right", "places"])
+
+    edges = worked.filter("edge is not null").select("well_id", *[F.col(f"edge.{c}") for c in Edge._fields])
+    met = edges.groupBy("well_id").applyInPandas(join_up, StructType([out["well_id"]]).add("slice", "long").add("x_left", "double").add("x_right", "double").add("places", ArrayType(IntegerType())))
+    inner = worked.filter("edge is null").join(met.drop("places"), ["well_id", "slice"]).filter("(not open_left or x_left >= pressure) and (not open_right or x_right >= pressure)")
+    at_edges = src.join(met.filter("size(places) > 0").select("well_id", "slice", "places"), ["well_id", "slice"])
+    at_edges = at_edges.withColumn("place", F.row_number().over(Window.partitionBy("well_id", "slice").orderBy("seq")) - 1).filter(F.array_contains("places", F.col("place")))
+    return inner.select(*out.names).union(at_edges.select(*out.names)).withColumn("label", F.lit("flowing"))
 
 
 def split_segments(bhp: DataFrame, valleys: DataFrame) -> DataFrame:

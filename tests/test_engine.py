@@ -145,6 +145,25 @@ def test_scores_are_from_0_to_1(wells):
         assert s[c].dropna().between(0, 1).all()
 
 
+def test_valleys_do_not_depend_on_slices(spark):
+    """Flats over slice boundaries, walls in other slices, gaps in seq, missing and NaN pressures, wells of one and two samples."""
+    rng = np.random.default_rng(5)
+    rows = [(w, int(k), float(v)) for w in range(4) for k, v in zip(np.sort(rng.choice(400, 150, replace=False)), np.repeat(rng.integers(0, 40, 50), 3) + (w % 2) * rng.random(150), strict=True)]
+    rows += [(7, 1, 3.0), (8, 1, 3.0), (8, 2, 1.0), (0, 401, None), (1, 402, float("nan"))]
+    bhp = spark.createDataFrame(rows, "well_id int, seq int, pressure double").selectExpr("well_id", "seq", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, seq) AS ts", "pressure", "cast(seq as double) AS time_hr")
+    key = lambda df: sorted(map(str, df.collect()))
+    want = []
+    for w in range(4):
+        own = [r for r in rows if r[0] == w and r[2] is not None and r[2] == r[2]]
+        want += [(w, own[i][1]) for i in K.prominent_valleys(np.array([r[2] for r in own]), 12.0)]
+    got = tpmr.detect_valleys(bhp, 12.0)
+    assert len(want) > 20 and sorted((r.well_id, r.seq) for r in got.collect()) == want
+    for size in (10, 64):
+        assert key(tpmr.detect_valleys(bhp, 12.0, slice_samples=size)) == key(got)
+    assert tpmr.detect_valleys(bhp, slice_samples=10).schema == got.schema
+    assert tpmr.detect_valleys(bhp.filter("false")).count() == 0
+
+
 def test_lmir_edges(spark, wells):
     found = lmir.lmir(wells[0].filter("well_id = 0"), 10, 5, 5)
     times = [r.time_hr for r in found.flow_breakpoints.orderBy("time_hr").collect()]

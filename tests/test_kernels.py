@@ -40,6 +40,36 @@ def test_valleys_equal_a_plain_scan(values, prominence):
     assert K.prominent_valleys(p, prominence).tolist() == slow_valleys(p, prominence)
 
 
+def sliced_valleys(p, prominence, size):
+    """The same from slices of `size` samples that only know their neighbours' edges."""
+    parts = [K.flats_and_walls(p[i : i + size], prominence) for i in range(0, len(p), size)]
+    edges = [
+        K.Edge(i, s.tail[-1] + 1, s.value[0], s.tail[0], s.value[1] if len(s.value) > 1 else np.nan, s.value[-1], s.head[-1], s.value[-2] if len(s.value) > 1 else np.nan, *[(lo[at], hi[at]) for (lo, hi), at in ((s.left, -1), (s.right, 0), (s.left, -2), (s.right, 1))])
+        for i, s in enumerate(parts)
+    ]
+    out = []
+    for s, (i, left, right, places) in zip(parts, K.stitch(edges), strict=True):
+        k = K.low_flats(s)
+        v = s.value[k]
+        k = k[(K.clamp(left, s.left[0][k], s.left[1][k]) >= v) & (K.clamp(right, s.right[0][k + 1], s.right[1][k + 1]) >= v)]
+        out += [i * size + at for at in sorted([*((s.head[k] + s.tail[k]) // 2), *places])]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=60), st.integers(0, 4), st.sampled_from([1, 2, 3, 10]))
+def test_valleys_by_slices_equal_a_plain_scan(values, prominence, size):
+    p = np.array(values, float)
+    assert sliced_valleys(p, prominence, size) == slow_valleys(p, prominence)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.floats(-50, 50), min_size=1, max_size=60), st.floats(0, 40), st.sampled_from([1, 4, 10]))
+def test_valleys_by_slices_round_as_a_plain_scan(values, prominence, size):
+    p = np.array(values, float)
+    assert sliced_valleys(p, prominence, size) == slow_valleys(p, prominence) == K.prominent_valleys(p, prominence).tolist()
+
+
 def test_savgol_keeps_parabolas():
     x = np.arange(60.0)
     assert np.allclose(K.savgol_quadratic(3 - 2 * x + 0.5 * x * x, 25), 3 - 2 * x + 0.5 * x * x)
