@@ -10,10 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def wall_cuts(h: np.ndarray, prominence: float) -> np.ndarray:
+def wall_cuts(h: np.ndarray, prominence: np.ndarray | float) -> np.ndarray:
     """For each wall the highest valley that it stands at least `prominence` above: the largest v with h - v >= prominence in doubles."""
     lo = h - prominence
-    hi = lo + np.spacing(np.abs(lo)) + 2 * np.spacing(np.full(len(h), abs(prominence)))
+    hi = lo + np.spacing(np.abs(lo)) + 2 * np.spacing(np.abs(np.float64(prominence)))
     lo = lo - np.spacing(np.abs(lo))
     while True:  # halves to neighbouring doubles
         mid = lo + (hi - lo) / 2
@@ -53,10 +53,11 @@ class Slice(NamedTuple):
     right: tuple[np.ndarray, np.ndarray]  # one more than flats: the first is the whole stretch, from right to left
 
 
-def flats_and_walls(p: np.ndarray, prominence: float) -> Slice:
+def flats_and_walls(p: np.ndarray, cuts: np.ndarray) -> Slice:
+    """The slice of samples p, with the highest valley that each is a wall for."""
     head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
     v = p[head]
-    cut = np.minimum(wall_cuts(v, prominence), v)
+    cut = np.minimum(cuts[head], v)
     lo, hi = clamps_before(cut[::-1], v[::-1])
     return Slice(head, np.append(head[1:], len(p)) - 1, v, clamps_before(cut, v), (lo[::-1], hi[::-1]))
 
@@ -76,7 +77,7 @@ def prominent_valleys(p: np.ndarray, prominence: float) -> np.ndarray:
     walls rises above it, where a wall reaches to the next lower sample or the end."""
     if len(p) < 3:
         return np.zeros(0, np.int64)
-    s = flats_and_walls(p, prominence)
+    s = flats_and_walls(p, wall_cuts(p, prominence))
     k = low_flats(s)
     k = k[(s.left[0][k] >= s.value[k]) & (s.right[0][k + 1] >= s.value[k])]
     return (s.head[k] + s.tail[k]) // 2

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from gaugewright.functions.kernels import Edge, flats_and_walls, low_flats, stitch
+from gaugewright.functions.kernels import Edge, flats_and_walls, group_bounds, low_flats, stitch, wall_cuts, whole_groups
 from gaugewright.functions.numeric import ratio
 
 DEFAULT_INTERVAL = 50.0
@@ -38,8 +38,7 @@ def default_prominence(bhp: DataFrame) -> DataFrame:
 def detect_valleys(bhp: DataFrame, prominence: float | None = None, slice_samples: int = SLICE) -> DataFrame:
     """The samples that are prominent valleys, labelled flowing. Samples without a pressure, or with NaN, count as absent.
 
-    A well is worked on in slices of `slice_samples` numbers of seq, each a group of
-    its own: a slice gives the valleys that its own walls do not rule out, and
+    A well is worked on in slices of `slice_samples` numbers of seq: a slice gives the valleys that its own walls do not rule out, and
     one row of a few numbers for its neighbours. Only those rows come
     together by well, and say which valleys the walls of other slices allow."""
     src = bhp.select("well_id", "seq", "ts", "pressure", "time_hr").filter(F.col("pressure").isNotNull() & ~F.isnan(F.col("pressure").cast("double")))
@@ -48,26 +47,33 @@ def detect_valleys(bhp: DataFrame, prominence: float | None = None, slice_sample
     p = default_prominence(bhp) if prominence is None else None
     with_p = src.join(p, "well_id") if p is not None else src.withColumn("prominence", F.lit(float(prominence)))
 
-    def work(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        s = flats_and_walls(t["pressure"].to_numpy().astype(np.float64), float(t["prominence"][0].as_py()))
-        v, m = s.value, len(s.value)
-        k = low_flats(s)
-        pair = lambda x, i: [float(x[0][i]), float(x[1][i])]
-        edge = Edge(t["slice"][0].as_py(), t.num_rows, v[0], s.tail[0], v[1] if m > 1 else np.nan, v[-1], s.head[-1], v[-2] if m > 1 else np.nan, pair(s.left, m), pair(s.right, 0), pair(s.left, m - 1), pair(s.right, 1))
-        rows = t.drop_columns("prominence").take(pa.array(np.append((s.head[k] + s.tail[k]) // 2, 0)))
-        rows = rows.append_column("open_left", pa.array(np.append(s.left[0][k] < v[k], False))).append_column("open_right", pa.array(np.append(s.right[0][k + 1] < v[k], False)))
-        return rows.append_column("edge", pa.array([None] * len(k) + [edge._asdict()], EDGE))
-
-    kind = StructType(list(src.schema)).add("open_left", "boolean").add("open_right", "boolean").add("edge", from_arrow_type(EDGE))
-    worked = with_p.groupBy("well_id", "slice").applyInArrow(work, kind)
-
-    def join_up(well: pd.DataFrame) -> pd.DataFrame:
-        rows = stitch([Edge(*r) for r in well.sort_values("slice").drop(columns="well_id").itertuples(index=False)])
-        return pd.DataFrame([(well["well_id"].iloc[0], *r) for r in rows], columns=["well_id", "slice", "x_left", "x_right", "places"])
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            p, bounds, at, opens, edges = t.column("pressure").to_numpy().astype(np.float64), group_bounds(t, 2), [], [], []
+            cuts, slices = wall_cuts(p, t.column("prominence").to_numpy(zero_copy_only=False).astype(np.float64)), t.column("slice").to_numpy()
+            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                s = flats_and_walls(p[a:z], cuts[a:z])
+                v, m, k = s.value, len(s.value), low_flats(s)
+                pair = lambda x, i: [float(x[0][i]), float(x[1][i])]
+                edges += [None] * len(k) + [Edge(slices[a], z - a, v[0], s.tail[0], v[1] if m > 1 else np.nan, v[-1], s.head[-1], v[-2] if m > 1 else np.nan, pair(s.left, m), pair(s.right, 0), pair(s.left, m - 1), pair(s.right, 1))._asdict()]
+                at.append(np.append(a + (s.head[k] + s.tail[k]) // 2, a))
+                opens.append(np.append(np.stack([s.left[0][k] < v[k], s.right[0][k + 1] < v[k]]), [[False], [False]], axis=1))
+            rows = t.select(kind.names[:-3]).take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, np.concatenate(opens, axis=1)), pa.array(edges, EDGE)], names=kind.names)
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 1):
+            bounds, columns = group_bounds(t, 1), t.drop_columns("well_id").to_pydict()
+            edges = [Edge(*r) for r in zip(*(columns[c] for c in Edge._fields), strict=True)]
+            rows = [r for a, z in zip(bounds[:-1], bounds[1:], strict=True) for r in stitch(edges[a:z])]
+            cols = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32())), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("well_id"), *cols], names=["well_id", "slice", "x_left", "x_right", "places"])
+
+    # sorted partitions in batches of whole slices, as most wells are short
+    kind = StructType([out["well_id"], StructField("slice", LongType()), *[f for f in out if f.name != "well_id"]]).add("open_left", "boolean").add("open_right", "boolean").add("edge", from_arrow_type(EDGE))
+    worked = with_p.select(*kind.names[:-3], "prominence").repartition("well_id", "slice").sortWithinPartitions("well_id", "slice", "seq").mapInArrow(work, kind)
     edges = worked.filter("edge is not null").select("well_id", *[F.col(f"edge.{c}") for c in Edge._fields])
-    met = edges.groupBy("well_id").applyInPandas(join_up, StructType([out["well_id"]]).add("slice", "long").add("x_left", "double").add("x_right", "double").add("places", ArrayType(IntegerType())))
+    met = edges.repartition("well_id").sortWithinPartitions("well_id", "slice").mapInArrow(join_up, StructType([out["well_id"]]).add("slice", "long").add("x_left", "double").add("x_right", "double").add("places", ArrayType(IntegerType())))
     inner = worked.filter("edge is null").join(met.drop("places"), ["well_id", "slice"]).filter("(not open_left or x_left >= pressure) and (not open_right or x_right >= pressure)")
     at_edges = src.join(met.filter("size(places) > 0").select("well_id", "slice", "places"), ["well_id", "slice"])
     at_edges = at_edges.withColumn("place", F.row_number().over(Window.partitionBy("well_id", "slice").orderBy("seq")) - 1).filter(F.array_contains("places", F.col("place")))

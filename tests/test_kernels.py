@@ -42,7 +42,7 @@ def test_valleys_equal_a_plain_scan(values, prominence):
 
 def sliced_valleys(p, prominence, size):
     """The same from slices of `size` samples that only know their neighbours' edges."""
-    parts = [K.flats_and_walls(p[i : i + size], prominence) for i in range(0, len(p), size)]
+    parts = [K.flats_and_walls(p[i : i + size], K.wall_cuts(p[i : i + size], prominence)) for i in range(0, len(p), size)]
     edges = [
         K.Edge(i, s.tail[-1] + 1, s.value[0], s.tail[0], s.value[1] if len(s.value) > 1 else np.nan, s.value[-1], s.head[-1], s.value[-2] if len(s.value) > 1 else np.nan, *[(lo[at], hi[at]) for (lo, hi), at in ((s.left, -1), (s.right, 0), (s.left, -2), (s.right, 1))])
         for i, s in enumerate(parts)
