@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from gaugewright.functions.numeric import ratio
 
 
-def on_log_grid(frame: DataFrame, keys: list[str], x: str, ys: list[str], lo: Column, hi: Column, points: int, extend: bool = False) -> DataFrame:
+def on_log_grid(frame: DataFrame, keys: list[str], x: str, ys: list[str], lo: Column, hi: Column, points: int, extend: bool = False, log_x: bool = False) -> DataFrame:
     """keys, g, grid and each of ys at `points` log-spaced x from lo to hi (both in log10, one value for each curve).
 
-    Linear between samples; beyond the ends the end value, or with extend the line
+    Linear between samples, with log_x in log10 of x; beyond the ends the end value, or with extend the line
     of the end's two samples. Of equal x the last (by ys) begins the stretch
     behind and the first ends the one before. No sample meets a grid point
     that is not in its stretch, so the rows made are the grid's and two for each sample at most.
@@ -31,7 +31,10 @@ def on_log_grid(frame: DataFrame, keys: list[str], x: str, ys: list[str], lo: Co
     s = s.filter((F.col("_first") | (F.col("grid") >= F.col(x))) & (F.col("_last") | (F.col("grid") < F.col(f"{x}_next"))))
 
     def value(c: str) -> Column:
-        line = F.col(c) + ratio(F.col(f"{c}_next") - F.col(c), F.col(f"{x}_next") - F.col(x)) * (F.col("grid") - F.col(x))
+        at, end, here = F.col(x), F.col(f"{x}_next"), F.col("grid")
+        if log_x:
+            at, end, here = F.log10(at), F.log10(end), F.col("_lo") + F.col("g") * step
+        line = F.col(c) + ratio(F.col(f"{c}_next") - F.col(c), end - at) * (here - at)
         return (line if extend else F.when(F.col("_last") | (F.col("grid") < F.col(x)), F.col(c)).otherwise(line)).alias(c)
 
     return s.select(*keys, "g", "grid", *map(value, ys))

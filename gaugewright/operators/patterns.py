@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from gaugewright.functions.grids import on_log_grid
+from gaugewright.functions.kernels import group_bounds, whole_groups
 from gaugewright.operators.regimes import DISTANCES, REGIMES, LogTimeWindow, Params, classify
 
-# The codes that a stable pattern can have, nested correlation thresholds, slope bounds of regimes.
+# The codes that a stable pattern can have, the lowest and the top correlation threshold, slope bounds of regimes.
 STABLE = (0, 1, 2)
-THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
+LEAST, TOP = 0.5, 0.99
 FLAT, STEEP = 0.1, 0.8
+BLOCK = 64  # members that are correlated with as many others at once
 INTERVAL = "regime string, start double, end double, confidence double, dropped int"
 
 
@@ -155,42 +162,115 @@ def correlated_interval(corr: np.ndarray, threshold: float) -> tuple[int, int] |
     return max(runs, key=lambda r: (corr[r[0] : r[1] + 1].mean(), -r[0])) if runs else None
 
 
-def correlation_analysis(frame: DataFrame, group: str = "group_id", member: str = "transient_id", time: str = "time", derivative: str = "derivative", points: int = 500, length: float = 0.5, step: float = 0.02) -> DataFrame:
-    """group, threshold, start, end, regime: for nested thresholds, where the log derivatives of all transients correlate, and the regime of their mean slope there."""
-    kind = dict(frame.dtypes)[group]
+def thresholds(least: float = LEAST) -> list[float]:
+    """Five nested correlation thresholds from `least` up."""
+    return [float(x) for x in np.round(np.linspace(least, 1, 5), 2)[:-1]] + [TOP]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        m = _members(g, member, time, derivative)
-        lo, hi = max(x[0][0] for x in m), min(x[0][-1] for x in m)
-        if len(m) > 1 and 0 < lo < hi:
-            grid = np.linspace(np.log10(lo), np.log10(hi), points)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rows = np.stack([np.interp(grid, np.log10(np.maximum(t, 1e-300)), np.nan_to_num(np.log10(d), neginf=0.0)) for t, d in m])
-            win = LogTimeWindow(grid, length, step)
-            frames = [win.frame(n) for n in range(win.count())]
-            corr = np.full(len(frames), np.nan)
-            for n, (i, j) in enumerate(frames):
-                part = rows[:, i:j] if i >= 0 else rows[:, points + i : j]
-                if part.shape[1] > 1:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        corr[n] = np.abs(np.corrcoef(part)).min()
-            a, b = 0, len(frames) - 1
-            regime = None
-            for threshold in THRESHOLDS:
-                hit = correlated_interval(np.nan_to_num(corr[a : b + 1], nan=-1.0), threshold)
-                if hit is None:
-                    break
-                a, b = a + hit[0], a + hit[1]
-                first, last = max(frames[a][0], 0), frames[b][1] - 1
-                if regime is None:
-                    x = grid[first:last]  # the last point is left out
-                    beta = np.mean([np.polyfit(x, y[first:last], 1)[0] for y in rows])
-                    regime = "Radial" if abs(beta) <= FLAT else "Linear-up" if FLAT < beta < STEEP else "Linear-down" if -STEEP < beta < -FLAT else "Not defined"
-                found.append((g[group].iloc[0], threshold, 10 ** grid[first], 10 ** grid[last], regime))
-        return pd.DataFrame(found, columns=[group, "threshold", "start", "end", "regime"])
-
-    return frame.select(group, member, time, derivative).na.drop().groupBy(group).applyInPandas(run, f"{group} {kind}, threshold double, start double, end double, regime string")
+
+def shared_curves(frame: DataFrame, group: str = "group_id", member: str = "transient_id", time: str = "time", derivative: str = "derivative", points: int = 500) -> DataFrame:
+    """group, member, lo, hi, n, g, x, y: log derivatives over log time, on the grid from the latest start of a group's members to their earliest end.
+
+    lo, hi: log10 of the grid's ends, n: the group's members. A derivative of 0 or less has log 0.
+    Groups of one member, or whose members share no stretch of positive times, have no rows."""
+    f = frame.select(group, member, F.col(time).cast("double").alias("t"), F.col(derivative).cast("double").alias("d")).na.drop()
+    own = f.groupBy(group, member).agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    span = own.groupBy(group).agg(F.max("a").alias("a"), F.min("z").alias("z"), F.count(F.lit(1)).alias("n")).filter("n > 1 and a > 0 and a < z")
+    span = span.select(group, "n", F.log10("a").alias("lo"), F.log10("z").alias("hi"))
+    f = f.select(group, member, F.greatest("t", F.lit(1e-300)).alias("t"), F.coalesce(F.log10(F.when(F.col("d") > 0, F.col("d"))), F.lit(0.0)).alias("y"))
+    on = on_log_grid(f.join(span, group), [group, member, "n", "lo", "hi"], "t", ["y"], F.col("lo"), F.col("hi"), points, log_x=True)
+    return on.select(group, member, "lo", "hi", "n", "g", (F.col("lo") + F.col("g") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"), "y")
+
+
+def _least_correlations(x: np.ndarray, y: np.ndarray | None, frames: list[tuple[int, int]]) -> np.ndarray:
+    """For each frame the least absolute correlation of any row of x with any of y, or with y None of any two rows of x, each with itself included; nan if there are none.
+
+    Rows that are constant in a frame correlate with nothing."""
+    out = np.full(len(frames), np.nan)
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        rows = rows[rows.max(axis=1) > rows.min(axis=1)]
+        rows = rows - rows.mean(axis=1, keepdims=True)
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+    for n, (i, j) in enumerate(frames):
+        if i >= 0 and j - i > 1:
+            a = unit(x[:, i:j])
+            b = a if y is None else unit(y[:, i:j])
+            if len(a) and len(b):
+                out[n] = min(1.0, np.abs(a @ b.T).min())
+    return out
+
+
+def window_correlations(curves: DataFrame, group: str = "group_id", member: str = "transient_id", points: int = 500, length: float = 0.5, step: float = 0.02, block: int = BLOCK) -> DataFrame:
+    """group, window, lo, hi, first, last, corr: for each log-time window the least absolute correlation of any two members' curves; first and last: its grid points, the last included.
+
+    curves: as shared_curves gives them. Members that are constant in a window are
+    skipped; if no other is left corr is null. Members are dealt to blocks of about
+    `block`, and two blocks meet in one piece of work, which gives one row a window:
+    neither the members of a large group nor their pairs come together in one task."""
+    kind = curves.schema[group]
+    whole = curves.groupBy(group, member, "lo", "hi", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "y"))), lambda p: p["y"]).alias("y"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = whole.withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(group, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "lo", "hi", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 3):
+            bounds, lo, hi = group_bounds(t, 3), t.column("lo").to_numpy(), t.column("hi").to_numpy()
+            a, b, own = (t.column(c).to_numpy() for c in ("a", "b", "own"))
+            ys, at, cols = t.column("y").flatten().to_numpy().reshape(-1, points), [], []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                win = LogTimeWindow(np.linspace(lo[s], hi[s], points), length, step)
+                frames = [win.frame(n) for n in range(win.count())]
+                x, y = ys[s:e][own[s:e] == a[s]], None if a[s] == b[s] else ys[s:e][own[s:e] == b[s]]
+                if len(x) and (y is None or len(y)):
+                    at += [s] * len(frames)
+                    cols.append(np.stack([np.arange(len(frames)), [max(i, 0) for i, _ in frames], [j - 1 for _, j in frames], _least_correlations(x, y, frames)]))
+            if cols:
+                w, i, j, c = np.concatenate(cols, axis=1)
+                own_rows = t.select([group, "lo", "hi"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own_rows.columns, *(pa.array(x.astype(np.int32)) for x in (w, i, j)), pa.array(c, from_pandas=True)], names=[group, "lo", "hi", "window", "first", "last", "corr"])
+
+    schema = StructType([kind]).add("lo", "double").add("hi", "double").add("window", "integer").add("first", "integer").add("last", "integer").add("corr", "double")
+    met = dealt.repartition(group, "a", "b").sortWithinPartitions(group, "a", "b").mapInArrow(run, schema)
+    return met.groupBy(group, "window").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "first", "last")], F.min("corr").alias("corr"))
+
+
+def correlation_analysis(frame: DataFrame, group: str = "group_id", member: str = "transient_id", time: str = "time", derivative: str = "derivative", points: int = 500, length: float = 0.5, step: float = 0.02, least: float = LEAST) -> DataFrame:
+    """group, threshold, start, end, regime: for nested thresholds, where the log derivatives of all transients correlate, and the regime of their mean slope there.
+
+    Only a group's windows come together to be searched, some dozens for each
+    decade of time however many members it has. The slopes are those of the lowest threshold's interval."""
+    curves = shared_curves(frame, group, member, time, derivative, points)
+    found_type = StructType([curves.schema[group]]).add("level", "integer").add("threshold", "double").add("first", "integer").add("last", "integer").add("start", "double").add("end", "double")
+    levels = thresholds(least)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 1):
+            bounds, out, at = group_bounds(t, 1), [], []
+            lo, hi, first, last = (t.column(c).to_numpy() for c in ("lo", "hi", "first", "last"))
+            corr = t.column("corr").to_numpy(zero_copy_only=False)
+            corr = np.where(np.isnan(corr), -1.0, corr)
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                a, b = s, e - 1
+                for level, threshold in enumerate(levels):
+                    hit = correlated_interval(corr[a : b + 1], threshold)
+                    if hit is None:
+                        break
+                    a, b = a + hit[0], a + hit[1]
+                    at.append(s)
+                    out.append((level, threshold, first[a], last[b], *(10 ** (lo[s] + (hi[s] - lo[s]) * k / (points - 1)) for k in (first[a], last[b]))))
+            if out:
+                cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([t.column(group).take(pa.array(at)), *cols], names=found_type.names)
+
+    windows = window_correlations(curves, group, member, points, length, step)
+    found = windows.select(group, "window", "lo", "hi", "first", "last", "corr").repartition(group).sortWithinPartitions(group, "window").mapInArrow(search, found_type)
+    inside = curves.join(found.filter("level = 0").select(group, "first", "last"), group).filter((F.col("g") >= F.col("first")) & (F.col("g") < F.col("last")))  # the last point is left out
+    slope = inside.groupBy(group, member).agg(F.regr_slope("y", "x").alias("b")).groupBy(group).agg(F.avg("b").alias("b"))
+    b = F.col("b")
+    regime = F.when(F.abs(b) <= FLAT, "Radial").when((b > FLAT) & (b < STEEP), "Linear-up").when((b < -FLAT) & (b > -STEEP), "Linear-down").otherwise("Not defined")
+    return found.join(slope, group, "left").select(group, "threshold", "start", "end", regime.alias("regime"))
 
 
 def min_pair_correlation(values: DataFrame, group: list[str], window: str, member: str, at: str, value: str) -> DataFrame:

@@ -617,9 +617,62 @@ def stable_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.get_stable_pattern(regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"]))
 
 
-@query()
+def _correlation_sql(family: str, group: str) -> str:
+    """Windows and nested intervals of a family's members (tid, x, d: all positive), grouped by an expression."""
+    levels = patterns.thresholds()
+    nested = []
+    for n, level in enumerate(levels):
+        inside = f"JOIN level_{n - 1} p ON p.grp = c.grp AND c.k BETWEEN p.ka AND p.kb" if n else ""
+        nested.append(f"""level_{n} AS (SELECT grp, arg_max(ka, (mean, -ka)) AS ka, arg_max(kb, (mean, -ka)) AS kb FROM (SELECT grp, min(k) AS ka, max(k) AS kb, avg(corr) AS mean FROM (
+    SELECT c.*, c.k - row_number() OVER (PARTITION BY c.grp ORDER BY c.k) AS island FROM correlations c {inside} WHERE c.corr > {level}::DOUBLE) GROUP BY grp, island) GROUP BY grp)""")
+    every = " UNION ALL ".join(f"SELECT *, {level}::DOUBLE AS threshold FROM level_{n}" for n, level in enumerate(levels))
+    return f"""{family},
+owned AS (SELECT {group} AS grp, tid, x, log10(x) AS lx, log10(d) AS y FROM family),
+limits AS (SELECT grp, log10(max(a)) AS lo, log10(min(z)) AS hi FROM (SELECT grp, tid, min(x) AS a, max(x) AS z FROM owned GROUP BY grp, tid) GROUP BY grp HAVING count(*) > 1 AND max(a) < min(z)),
+legs AS (SELECT *, lead(lx) OVER w AS lx1, lead(y) OVER w AS y1, lag(lx) OVER w IS NULL AS first FROM owned WINDOW w AS (PARTITION BY grp, tid ORDER BY lx)),
+ticks AS (SELECT *, lo + g * (hi - lo) / 499 AS t FROM (SELECT *, unnest(range(500)) AS g FROM limits)),
+shared AS MATERIALIZED (SELECT k.grp, tid, g, t, CASE WHEN lx1 IS NULL OR t < lx THEN y ELSE y + (y1 - y) / (lx1 - lx) * (t - lx) END AS y FROM ticks k JOIN legs l ON l.grp = k.grp AND (first OR t >= lx) AND (lx1 IS NULL OR t < lx1)),
+opened AS (SELECT *, lo + 0.02::DOUBLE * (k - 1) AS s FROM (SELECT *, unnest(range(1, CAST(floor((hi - lo - 0.5) / 0.02) AS BIGINT) + 2)) AS k FROM limits WHERE hi - lo >= 0.5)),
+counted AS (SELECT o.grp, o.k, o.hi, count(*) FILTER (t <= s) - 1 AS i, count(*) FILTER (t <= s + 0.5) AS j, max(t) FILTER (t <= s + 0.5) AS z FROM opened o JOIN ticks USING (grp) GROUP BY ALL),
+frames AS (SELECT grp, k, i, CASE WHEN z > hi - 0.02 THEN 500 ELSE j END AS j FROM counted),
+both_curves AS (SELECT a.grp, a.g, a.tid AS a, b.tid AS b, a.y AS ya, b.y AS yb FROM shared a JOIN shared b ON b.grp = a.grp AND b.g = a.g AND b.tid >= a.tid),
+in_windows AS (SELECT w.grp, k, i, j, a, b, CASE WHEN min(ya) < max(ya) AND min(yb) < max(yb) THEN CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, abs(corr(ya, yb))) END END AS c
+    FROM frames w JOIN both_curves p ON p.grp = w.grp AND p.g >= w.i AND p.g < w.j WHERE w.j - w.i > 1 GROUP BY w.grp, k, i, j, a, b),
+correlations AS MATERIALIZED (SELECT grp, k, i, j, min(c) AS corr FROM in_windows GROUP BY ALL),
+{", ".join(nested)},
+slope_of AS (SELECT grp, avg(b) AS b FROM (SELECT s.grp, tid, regr_slope(s.y, s.t) AS b FROM level_0 l JOIN correlations f ON f.grp = l.grp AND f.k = l.ka JOIN correlations e ON e.grp = l.grp AND e.k = l.kb
+    JOIN shared s ON s.grp = l.grp AND s.g >= f.i AND s.g < e.j - 1 GROUP BY s.grp, tid) GROUP BY grp),
+intervals AS (SELECT l.grp AS group_id, threshold, pow(10.0, p.t) AS start, pow(10.0, q.t) AS "end",
+    CASE WHEN abs(b) <= {patterns.FLAT} THEN 'Radial' WHEN b > 0 AND b < {patterns.STEEP} THEN 'Linear-up' WHEN b < 0 AND b > -{patterns.STEEP} THEN 'Linear-down' ELSE 'Not defined' END AS regime
+    FROM ({every}) l JOIN correlations f ON f.grp = l.grp AND f.k = l.ka JOIN correlations e ON e.grp = l.grp AND e.k = l.kb
+    JOIN ticks p ON p.grp = l.grp AND p.g = f.i JOIN ticks q ON q.grp = l.grp AND q.g = e.j - 1 LEFT JOIN slope_of s ON s.grp = l.grp)"""
+
+
+_INTERVALS = f"""SELECT group_id, threshold, round(start, 6) AS start, round("end", 6) AS "end", regime FROM intervals"""
+_FLOWING = (G.RATES_SQL, _SUPER, _DER, _correlation_sql(_regimes_sql()[0].split("stretches AS")[0].rstrip().rstrip(","), "well_id"))
+_NEIGHBOURS = _correlation_sql("family AS (SELECT well_id, well_id AS tid, time_hr AS x, avg(pressure) AS d FROM bhp WHERE time_hr > 0 AND pressure > 0 GROUP BY well_id, time_hr)", "well_id // 2")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two wells each as a group: their pressures over the hours since their first sample."""
+    x = G.bhp(spark, sf_dir).filter("time_hr > 0 and pressure > 0").groupBy(F.col("well_id").alias("transient_id"), F.col("time_hr").alias("time")).agg(F.avg("pressure").alias("derivative"))
+    return x.withColumn("group_id", F.floor(F.col("transient_id") / 2))
+
+
+@query(_with(_INTERVALS, *_FLOWING))
 def correlation_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.correlation_analysis(_family(spark, sf_dir))
+    return patterns.correlation_analysis(_family(spark, sf_dir)).select("group_id", "threshold", *_r("start", "end"), "regime")
+
+
+@query(_with(_INTERVALS, _NEIGHBOURS))
+def correlation_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.correlation_analysis(_neighbours(spark, sf_dir)).select("group_id", "threshold", *_r("start", "end"), "regime")
+
+
+@query(_with(f"SELECT grp AS group_id, CAST(k AS INT) AS \"window\", CAST(i AS INT) AS first, CAST(j - 1 AS INT) AS last, {_rs('corr')} FROM correlations WHERE corr IS NOT NULL", _NEIGHBOURS))
+def window_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = patterns.window_correlations(patterns.shared_curves(_neighbours(spark, sf_dir))).filter("corr is not null")
+    return x.select("group_id", "window", "first", "last", *_r("corr"))
 
 
 _PAIRS = "daily AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY ALL)"

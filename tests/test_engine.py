@@ -188,6 +188,55 @@ def test_regimes_and_patterns(spark):
     assert plots.regime_points(r).filter("regime_name is null").count() == 0
 
 
+def plain_correlations(group):
+    """Windows and nested intervals of one group by a table of all pairs' correlations, window by window."""
+    lo, hi = max(min(m) for m in group.values()), min(max(m) for m in group.values())
+    if len(group) < 2 or not 0 < lo < hi:
+        return {}, []
+    grid = np.linspace(np.log10(lo), np.log10(hi), 500)
+    curves = pd.DataFrame({k: np.interp(grid, np.log10(sorted(m)), [math.log10(m[t]) if m[t] > 0 else 0.0 for t in sorted(m)]) for k, m in group.items()})
+    win = regimes.LogTimeWindow(grid, 0.5, 0.02)
+    frames = [win.frame(n) for n in range(win.count())]
+    corr = np.array([curves.iloc[i:j].corr().abs().min().min() if i >= 0 else np.nan for i, j in frames])
+    a, b, found = 0, len(frames) - 1, []
+    for threshold in (0.5, 0.62, 0.75, 0.88, 0.99):
+        runs = [r for r in patterns._islands(np.nan_to_num(corr[a : b + 1]) > threshold)]
+        if not runs:
+            break
+        s, e = max(runs, key=lambda r: corr[a + r[0] : a + r[1] + 1].mean())
+        a, b = a + s, a + e
+        found.append((threshold, 10 ** grid[frames[a][0]], 10 ** grid[frames[b][1] - 1], frames[a][0], frames[b][1] - 1))
+    slope = np.mean([np.polyfit(grid[found[0][3] : found[0][4]], curves[k][found[0][3] : found[0][4]], 1)[0] for k in curves]) if found else 0
+    name = "Radial" if abs(slope) <= 0.1 else "Linear-up" if 0.1 < slope < 0.8 else "Linear-down" if -0.8 < slope < -0.1 else "Not defined"
+    return {n: c for n, c in enumerate(corr) if c == c}, [(t, s, e, name) for t, s, e, *_ in found]
+
+
+def test_correlations_equal_a_plain_search(spark):
+    """Groups of 2, 5 and 9 members, one constant in part, one with zeros, one alone, one without a common stretch, one without rows that count."""
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g, n in ((1, 2), (2, 5), (3, 9), (4, 1), (5, 2)):
+        groups[g] = {}
+        for m in range(n):
+            t = np.sort(10 ** rng.uniform(-1, 2.2, 60)) * (1000 ** m if g == 5 else 1)
+            d = t ** (0.0 if g == 1 else 0.3) * np.exp(np.where(t < 5, 1.0, 0.05) * rng.normal(size=60) * 0.2 + np.sin(np.log(t) * 3))
+            groups[g][m] = dict(zip(t.tolist(), d.tolist(), strict=True))
+    groups[3][0] = {t: 2.0 if 1 < t < 30 else v for t, v in groups[3][0].items()}
+    groups[2][1] = {t: 0.0 if k == 7 else v for k, (t, v) in enumerate(groups[2][1].items())}
+    rows = [(g, m, t, d) for g, ms in groups.items() for m, c in ms.items() for t, d in c.items()]
+    frame = spark.createDataFrame([*rows, (6, 0, None, 1.0), (6, 1, 2.0, None), (None, 0, 1.0, 1.0)], "group_id int, transient_id int, time double, derivative double")
+    want = {g: plain_correlations(ms) for g, ms in groups.items()}
+    curves = patterns.shared_curves(frame).cache()
+    for block in (64, 2):
+        got = {(r.group_id, r.window): r.corr for r in patterns.window_correlations(curves, block=block).filter("corr is not null").collect()}
+        assert got == pytest.approx({(g, n): c for g, (w, _) in want.items() for n, c in w.items()}, abs=1e-9) and len(got) > 200
+    found = patterns.correlation_analysis(frame).orderBy("group_id", "threshold").collect()
+    flat = [(g, *f) for g, (_, fs) in sorted(want.items()) for f in fs]
+    assert len(flat) > 4 and [(r.group_id, r.threshold, r.regime) for r in found] == [(g, t, name) for g, t, _, _, name in flat]
+    assert np.allclose([(r.start, r.end) for r in found], [(s, e) for _, _, s, e, _ in flat], rtol=1e-9)
+    assert patterns.correlation_analysis(frame.filter("false")).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path, wells):
     path = files.write_with_header(wells[0].limit(5), str(tmp_path / "p"), well="W", long_label="x")
     assert path.endswith(".csv") and files.read_header(spark, path) == {"well": "W", "label": "time_hr", "long label": "x"}
@@ -228,7 +277,8 @@ def test_time_lapse_queries_see_all_flowing_transients(spark, long_history):
     assert {r.transient_id for r in catalogue.regimes_fixed(spark, long_history).select("transient_id").distinct().collect()} == every
     key = lambda df: sorted(map(str, df.collect()))
     assert key(catalogue.stable_pattern(spark, long_history)) == key(patterns.get_stable_pattern(regimes.classify(family, ["group_id", "transient_id"])))
-    assert key(catalogue.correlation_intervals(spark, long_history)) == key(patterns.correlation_analysis(family))
+    rounded = patterns.correlation_analysis(family).select("group_id", "threshold", *[F.round(c, 6).alias(c) for c in ("start", "end")], "regime")
+    assert key(catalogue.correlation_intervals(spark, long_history)) == key(rounded)
     assert {r.transient_id for r in catalogue.regimes_optimized(spark, long_history).select("transient_id").distinct().collect()} == every
 
 
