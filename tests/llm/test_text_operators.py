@@ -265,12 +265,25 @@ def test_edit_distance_against_plain():
         assert lines.within(x, y, most) == (levenshtein(x, y) <= most), (x, y, most)
 
 
+def test_rows_that_share_an_id_lose_only_their_own_text(spark):
+    said = "this line is said by document one and then said again elsewhere"
+    alone = [f"here stands a line of row {k} that is found nowhere else {k * 7919}" for k in "1 2 3 4".replace(" ", "")]
+    rows = [(1, f"{said}\n{alone[0]}"), (2, f"{said}\n{alone[1]}"), (2, f"{alone[2]}\n{alone[3]}"), (2, f"{alone[2]}\n{alone[3]}"), (3, ""), (3, None), (3, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = lines.dedup(df)
+    got = sorted((r.doc_id, r.text or "") for r in cut.collect())
+    assert got == sorted([(1, rows[0][1]), (2, alone[1]), (2, rows[2][1]), (2, rows[2][1]), (3, ""), (3, ""), (3, "  ")])
+    assert sorted((r.doc_id, r.n_removed) for r in lines.report(df).collect()) == [(1, 0), (2, 0), (2, 0), (2, 1), (3, 0), (3, 0), (3, 0)]
+    kept = sorted((r.doc_id, r.text or "-") for r in jaccard.first_of_groups(cut.selectExpr("*", "1 as own", "'x' as text_hash")).collect())
+    assert kept == sorted([(1, rows[0][1]), (2, alone[1]), (2, rows[2][1]), (3, "-"), (3, "-"), (3, "  ")])
+
+
 def test_lines_odd_names_ties_and_long_lines(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, long, "a"), (4, long[:-3] + "xyz", "b"), (4, long[:-3] + "xyz", "c"), (3, "one\none", "d"), (None, "one", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, `gone` string").selectExpr("*", "1 as `row`", "2 as `hash`")
     out = lines.dedup(df).collect()
-    # copies that share an id are treated alike; the later long line goes with its document
+    # the two rows of document 4 are equal and treated alike; the later long line goes with its document
     assert sorted((r.doc_id or 0, r.gone, len(r.text)) for r in out) == [(0, "e", 3), (3, "d", 3), (4, "b", len(long)), (4, "c", len(long))]
     assert lines.dedup(df).columns == df.columns
 
