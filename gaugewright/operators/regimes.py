@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from gaugewright.functions.bayes import minimize
 from gaugewright.functions.grids import on_log_grid
 from gaugewright.functions.kernels import group_bounds, savgol_quadratic, theil_sen_slopes, whole_groups
 from gaugewright.functions.numeric import ratio
@@ -23,6 +24,9 @@ REGIMES = {0: "Radial", 1: "Linear-up", 2: "Linear-down", 3: "Boundary", 4: "WBS
 METRICS = ("euclidean", "manhattan", "cosine", "chebyshev")
 _OF_SLOPE = np.array([0, 1, 1, 2, 2, 3])
 POINTS = 500
+SEARCHES = ("grid", "bayes")
+CALLS = 40
+OWN = ("_window_length", "_filter_value")
 
 
 @dataclass
@@ -225,20 +229,25 @@ class Transient:
         scaled = 0.1 + 0.9 * (p.filter_value - low) / (high - low)
         return float(0.9992 * (best @ weight / weight.sum()) + 0.0008 * scaled)
 
-    def optimize(self, adjust_filter: bool = True, max_window: float = 1.0, low: float = -0.5, high: float = 0.5, deep: bool = False) -> tuple[np.ndarray, np.ndarray, Params]:
-        """Search window length and filter value: a grid over the box, twice refined around the best, then the
-        shortest window that leaves no fragments by bisection. Deterministic, so that any executor finds the same."""
+    def optimize(
+        self, adjust_filter: bool = True, max_window: float = 1.0, low: float = -0.5, high: float = 0.5, deep: bool = False, search: str = "grid", seed: int = 0, calls: int = CALLS
+    ) -> tuple[np.ndarray, np.ndarray, Params]:
+        """Search window length and filter value, then the shortest window that leaves no fragments by bisection.
+
+        "grid" is a grid over the box, twice refined around the best; "bayes" takes `calls`
+        points (half as many again if deep) by expected improvement under a Gaussian process.
+        Both are deterministic, the second by its seed, so that any executor finds the same.
+        "bayes" comes to lower values, but where those belong to long windows it can miss a short regime."""
+        if search not in SEARCHES:
+            raise ValueError(f"search is one of {SEARCHES}")
         base = self.params
         least = self.least_window(_with(base, filter_value=low))
         value = lambda w, f: self._try(_with(base, window_length=float(w), filter_value=float(f)), low, high)
-        side = 6 if deep else 4
-        ws, fs = np.linspace(least, max_window, side), np.linspace(low, high, side + 1)
-        best = min((value(w, f), w, f) for w in ws for f in fs)
-        for _ in range(2):
-            dw, df = (ws[1] - ws[0]) / 2, (fs[1] - fs[0]) / 2
-            ws, fs = np.clip(best[1] + dw * np.array([-1, 0, 1]), least, max_window), np.clip(best[2] + df * np.array([-1, 0, 1]), low, high)
-            best = min([best, *((value(w, f), w, f) for w in ws for f in fs)])
-        window, fil = float(best[1]), float(best[2])
+        if search == "bayes":
+            (window, fil), _ = minimize(lambda x: value(*x), (least, low), (max_window, high), calls * 3 // 2 if deep else calls, seed=seed)
+            window, fil = float(window), float(fil)
+        else:
+            window, fil = self._refined(value, least, max_window, low, high, 6 if deep else 4)
         if adjust_filter:
             fil = self._adjust(window, fil)
         p = _with(base, filter_value=fil)
@@ -257,6 +266,17 @@ class Transient:
         regime, mean = self.detect(p, smooth=True, full=True)
         return regime, mean, p
 
+    @staticmethod
+    def _refined(value: Callable[[float, float], float], least: float, most: float, low: float, high: float, side: int) -> tuple[float, float]:
+        """Window length and filter value of the least value on a grid, twice refined around the best."""
+        ws, fs = np.linspace(least, most, side), np.linspace(low, high, side + 1)
+        best = min((value(w, f), w, f) for w in ws for f in fs)
+        for _ in range(2):
+            dw, df = (ws[1] - ws[0]) / 2, (fs[1] - fs[0]) / 2
+            ws, fs = np.clip(best[1] + dw * np.array([-1, 0, 1]), least, most), np.clip(best[2] + df * np.array([-1, 0, 1]), low, high)
+            best = min([best, *((value(w, f), w, f) for w in ws for f in fs)])
+        return float(best[1]), float(best[2])
+
     def _try(self, p: Params, low: float, high: float) -> float:
         try:
             return self.objective(p, low, high)
@@ -324,7 +344,9 @@ def resampled(frame: DataFrame, keys: list[str], time: str = "time", pressure: s
 
 
 def _each(points: DataFrame, keys: list[str], added: StructType, work: Callable[[Transient], dict[str, np.ndarray]], params: Params) -> DataFrame:
-    """points with what `work` finds for each transient, in Arrow batches of whole transients of POINTS rows."""
+    """points with what `work` finds for each transient, in Arrow batches of whole transients of POINTS rows.
+
+    Where points have the columns OWN, a transient's own values in them stand before those of params."""
     schema = StructType([*points.schema.fields, *added.fields])
     n = len(keys)
 
@@ -332,7 +354,9 @@ def _each(points: DataFrame, keys: list[str], added: StructType, work: Callable[
         for b in whole_groups(batches, n):
             t, p, d = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("time", "pressure", "pressure_derivative"))
             cut = group_bounds(b, n)
-            found = [work(Transient(params, t[x:y], p[x:y], d[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            own = [b.column(c).to_numpy(zero_copy_only=False) for c in OWN] if OWN[0] in b.schema.names else []
+            of = [_with(params, **{c.strip("_"): float(v[x]) for c, v in zip(OWN, own) if v[x] == v[x]}) for x in cut[:-1]] if own else [params] * (len(cut) - 1)
+            found = [work(Transient(q, t[x:y], p[x:y], d[x:y])) for q, x, y in zip(of, cut[:-1], cut[1:], strict=True)]
             cols = [pa.array(np.concatenate([f[c] for f in found]), from_pandas=True) for c in added.names]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
 
@@ -407,13 +431,13 @@ def _detected(points: DataFrame, keys: list[str], p: Params) -> DataFrame:
     return x.withColumn("regime", F.when(~F.col("inlier"), 3).when(F.col("y").isNull(), 4).otherwise(code)).withColumn("window_length", F.lit(float(p.window_length))).withColumn("filter_value", F.lit(float(p.filter_value)))
 
 
-def _searched(points: DataFrame, keys: list[str], params: Params, optimize: bool, deep: bool) -> DataFrame:
+def _searched(points: DataFrame, keys: list[str], params: Params, optimize: bool, deep: bool, **how: object) -> DataFrame:
     """points with regime and DISTANCES, by the searched parameters or with regimes smoothed: a transient is searched as a whole."""
     names = ["regime", "window_length", "filter_value", *DISTANCES]
     added = StructType([StructField(c, IntegerType() if c == "regime" else DoubleType()) for c in names])
 
     def search(t: Transient) -> dict[str, np.ndarray]:
-        regime, mean, p = t.optimize(deep=deep) if optimize else (*t.detect(params, smooth=params.smooth, full=True), params)
+        regime, mean, p = t.optimize(deep=deep, **how) if optimize else (*t.detect(t.params, smooth=t.params.smooth, full=True), t.params)
         use = np.flatnonzero(t.inlier & (t.log_time >= p.filter_value))
         dist = np.full((len(t.time), len(SLOPES)), np.nan)
         dist[use[: len(mean)]] = np.where(np.isfinite(mean), mean, np.nan)[: len(use)]
@@ -423,16 +447,25 @@ def _searched(points: DataFrame, keys: list[str], params: Params, optimize: bool
     return _each(points, keys, added, search, params)
 
 
-def classify(frame: DataFrame, keys: list[str], params: Params = Params(), optimize: bool = False, deep: bool = False, time: str = "time", pressure: str = "pressure", derivative: str = "derivative") -> DataFrame:
+def classify(
+    frame: DataFrame, keys: list[str], params: Params = Params(), optimize: bool = False, deep: bool = False, time: str = "time", pressure: str = "pressure", derivative: str = "derivative",
+    found: DataFrame | None = None, **how: object,
+) -> DataFrame:
     """seq, resampled time, pressure and derivative, their logs, regime and distances: POINTS rows for each transient.
 
     Transients are independent groups; fewer than two samples give no rows. With fixed
     parameters and no smoothing of regimes the distances are window functions over all
-    transients; a search runs on whole transients, which POINTS bounds."""
+    transients; a search runs on whole transients, which POINTS bounds. `how` goes to
+    Transient.optimize. `found` (keys, window_length, filter_value; a row a transient) gives transients
+    their own parameters, with regimes smoothed; the others take those of params."""
     own = [f"_key{i}" for i in range(len(keys))]  # whatever the keys are called, they meet no name of the steps
     src = frame.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col(time).alias("time"), F.col(pressure).alias("pressure"), F.col(derivative).alias("derivative"))
     points = resampled(src, own)
-    x = _searched(points, own, params, optimize, deep) if optimize or params.smooth else _detected(points, own, params)
+    if found is not None:
+        mine = found.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), *(F.col(c.strip("_")).alias(c) for c in OWN))
+        x = _searched(points.join(mine, own, "left"), own, replace(params, smooth=True), False, False)
+    else:
+        x = _searched(points, own, params, optimize, deep, **how) if optimize or params.smooth else _detected(points, own, params)
     log = lambda c: F.coalesce(F.log10(c), F.lit(0.0))
     return x.select(
         *(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), "seq", "time", "pressure", "pressure_derivative", log("time").alias("log_time"), log("pressure").alias("log_pressure"), log("pressure_derivative").alias("log_pressure_derivative"),
