@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -217,12 +218,45 @@ def test_licenses_equal_sql(spark, empty):
     con = duckdb.connect()
     con.register("documents", df.toPandas().drop_duplicates())
     want = con.execute(licenses.scan_sql()).fetch_df()
-    key = lambda p: sorted((r.doc_id, r.n_units, r.license if isinstance(r.license, str) else "", 0 if pd.isna(r.dice) else r.dice) for r in p.drop_duplicates().itertuples())
+    key = lambda p: sorted((r.doc_id, r.n_units, r.n_passages, r.license if isinstance(r.license, str) else "", 0 if pd.isna(r.dice) else r.dice) for r in p.drop_duplicates().itertuples())
     assert key(got) == key(want)
     assert got.set_index("doc_id").loc[5, "license"] == "mit-text" and got["n_units"].max() == 2
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped_commented_and_inside_longer_texts(spark):
+    """Passages find what no line and no whole text is; clean texts about licences stay clean, and SQL agrees."""
+    filler = " ".join(f"word{i}" for i in range(300))
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 76))
+    t = licenses.TEMPLATES
+    cut = t["mit-text"].split()
+    rows = [
+        (1, f"{wrap(filler)}\n{wrap(t['mit-text'])}\n{wrap(filler)}", "mit-text"),
+        (2, f"int main();\n/*\n{wrap(t['apache-2.0-header'], ' * ')}\n */\n{filler}", "apache-2.0-header"),
+        (3, f"{filler} {t['gpl-3.0-header'].upper()} {filler}", "gpl-3.0-header"),
+        (4, f"{filler} " + " ".join(cut[: len(cut) // 2] + ["however", "then"] + cut[len(cut) // 2 :]), "mit-text"),
+        (5, wrap(t["isc"], "# "), "isc"),
+        (6, f"{filler} permission is hereby granted to distribute this software {filler}", None),
+        (7, f"{filler} the license that the copyright holders provided merchantability {filler}", None),
+        (8, " ".join(["permission notice"] * 3000), None),
+        (9, "noninfringement", None),
+        (10, f"{filler} {t['mpl-2.0']}\n\n{filler}\n{wrap(t['isc'], '// ')}\n{filler}", max("isc", "mpl-2.0", key=lambda k: len(licenses.template_bigrams(t[k])))),
+        (11, f"{t['apache-2.0-header']}\nReleased under the MIT License.", "apache-2.0-header"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = licenses.scan(df).toPandas()
+    assert {r.doc_id: r.license if isinstance(r.license, str) else None for r in got.itertuples()} == {r[0]: r[2] for r in rows}
+    by = got.set_index("doc_id")
+    assert by.loc[10, "n_passages"] >= 2 and by.loc[4, "dice"] >= 0.8 and by.loc[1, "dice"] == 1.0 and by.loc[[6, 7, 8, 9], "n_passages"].sum() == 0
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(licenses.scan_sql()).fetch_df()
+    key = lambda p: sorted((r.doc_id, r.n_units, r.n_passages, r.license if isinstance(r.license, str) else "", 0 if pd.isna(r.dice) else r.dice) for r in p.itertuples())
+    assert key(got) == key(want)
+    plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_lines_keep_one_of_each_group(spark, empty):
     long = "the quick brown fox jumps over the lazy dog and runs far away into the dark green woods beyond the river at night"
     near = long.replace("quick", "quiet")
