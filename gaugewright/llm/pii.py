@@ -41,6 +41,7 @@ PATTERNS = {
 _NUMBER = r"[+(]*+[0-9][0-9().:+-]*+(?![^\x20\x09-\x0D,;!?])"
 #: Words of digits and their marks with single spaces between; or a word with a digit or an at sign.
 INSTANCE = rf"(?<![^\x20\x09-\x0D])(?:{_NUMBER}(?:\x20{_NUMBER})*+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+BLOCK = 256  # characters of a block in which spans meet
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": ""}
 
 
@@ -120,6 +121,19 @@ def _shape(m: Column) -> list[Column]:
     return [count("[^0-9]").alias("digits"), count(r"[\p{L}\p{N}\x20]").alias("marks"), m.rlike(r"\p{L}").alias("letters"), m.rlike("[^@]@[^@]").alias("sign")]
 
 
+def _touching(inst: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
+    """at, start of each instance and s, e, kind of each base span that shares a character with it.
+
+    Both go to every block of characters they stand in, and meet in the block where
+    the later of the two starts, so each pair comes once and a long document's work
+    is in proportion to its length, spread over its blocks."""
+    blocks = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.col(z) - 1) / block))).alias("block")
+    one = inst.select("at", "start", "end", blocks("start", "end"))
+    other = base.select("at", F.col("start").alias("s"), F.col("end").alias("e"), "kind").select("*", blocks("s", "e"))
+    both = one.join(other, ["at", "block"]).filter((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    return both.filter(F.col("block") == F.floor(F.greatest("start", "s") / block)).select("at", "start", "s", "e", "kind")
+
+
 def discovered(found: DataFrame, base: DataFrame, setting: Bootstrap = Bootstrap()) -> DataFrame:
     """at, kind, start, end of the instances that confident patterns reveal and that no base span touches."""
     inst = _spans(found, "instance")
@@ -130,12 +144,11 @@ def discovered(found: DataFrame, base: DataFrame, setting: Bootstrap = Bootstrap
     inst = inst.select("at", "start", "end", "m", F.right(before, around).alias("left"), F.left(behind, around).alias("right"))
     edge = F.char_length(F.regexp_extract("m", r"[^\p{L}\p{N}]*$", 0))
     inst = inst.select("at", "start", (F.col("end") - edge).alias("end"), F.regexp_replace("m", r"[^\p{L}\p{N}]*$", "").alias("m"), "left", "right").filter(F.col("end") > F.col("start"))
-    touch = base.select("at", F.col("start").alias("s"), F.col("end").alias("e"), "kind")
-    hit = (inst["at"] == touch["at"]) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    inst = keep(inst.join(touch, hit, "left").select(inst["at"], "start", "end", "m", "left", "right", "s", "e", "kind"), "pii-touch")
+    inst = keep(inst.select("at", "start", "end", "m", "left", "right"), "pii-found")
+    pairs = keep(_touching(inst, base), "pii-touch")
     # a base span is one instance, with the context around it
-    whole = inst.filter("kind is not null").groupBy("at", "s", "e", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "m"))), lambda x: x["m"]), " ").alias("m"), F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"))
-    inst = inst.filter("kind is null").drop("s", "e").unionByName(whole.drop("s", "e")).withColumnRenamed("kind", "seed")
+    whole = inst.join(pairs, ["at", "start"]).groupBy("at", "s", "e", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "m"))), lambda x: x["m"]), " ").alias("m"), F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"))
+    inst = inst.join(pairs, ["at", "start"], "left_anti").withColumn("kind", F.lit(None).cast("int")).unionByName(whole.drop("s", "e")).withColumnRenamed("kind", "seed")
     one, two, after = _word(F.col("left"), -1), _word(F.col("left"), -2), _word(F.col("right"), 1)
     patterns = F.array(F.concat(F.lit("L1:"), one), F.concat(F.lit("L2:"), two, F.lit(" "), one), F.concat(F.lit("LR:"), one, F.lit(" | "), after))
     inst = keep(inst.filter(one != "").withColumn("p", F.explode(patterns)).select("at", "start", "end", "m", "seed", "p"), "pii-instances")

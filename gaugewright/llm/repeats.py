@@ -40,7 +40,7 @@ from gaugewright.llm.store import keep
 LENGTH, GRAM = 400, 64
 HOT_BLOCKS = 50_000
 U = np.uint64
-_POS = U((1 << 28) - 1)
+_POS = U((1 << 31) - 1)  # places in a text: an Arrow string has fewer bytes than this
 
 
 def text_marks(c: B.Chunk, prefix: np.ndarray) -> np.ndarray:

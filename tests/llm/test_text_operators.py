@@ -480,6 +480,22 @@ def test_lines_recall_on_planted_copies(spark, altered, least):
     assert recall >= least
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_pii_spans_meet_once_in_blocks(spark, block):
+    """Instances and base spans of any length, against all pairs."""
+    rng = random.Random(block)
+
+    def cut(most):
+        ends = sorted(rng.sample(range(1, 3000), 120))
+        return [(a, min(b, a + rng.randint(1, most))) for a, b in zip(ends, ends[1:])]
+
+    inst = [(at, a, b) for at in range(3) for a, b in cut(90)] + [(3, 0, 2900), (4, 0, 1)]
+    base = [(at, k, a, b) for at in range(4) for k in range(2) for a, b in cut(40)] + [(4, 0, 1, 2), (4, 1, 0, 9)]
+    got = pii._touching(spark.createDataFrame(inst, "at long, start int, end int"), spark.createDataFrame(base, "at long, kind int, start int, end int"), block)
+    want = [(at, a, s, e, k) for at, a, b in inst for x, k, s, e in base if x == at and s < b and a < e]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300
+
+
 def test_pii_unseen_forms_are_found(spark):
     rng = random.Random(9)
     around = lambda m, lead: f"{' '.join(prose(rng, 9))} {lead} {m} {' '.join(prose(rng, 9))}"
