@@ -28,6 +28,11 @@ def detect_features(frame: DataFrame, group: str = "group_id", member: str = "tr
     return classify(frame, [group, member], params, optimize=True, deep=deep, **columns)
 
 
+def distinct_regimes(detected: DataFrame, group: str = "group_id", member: str = "transient_id") -> DataFrame:
+    """group, member, n_regimes (distinct), n_radial (points) of each transient; n_radial is 0 where none is radial."""
+    return detected.groupBy(group, member).agg(F.countDistinct("regime").alias("n_regimes"), F.count_if(F.col("regime") == 0).alias("n_radial"))
+
+
 def combine_distances(distances: Column) -> Column:
     """From five slope distances to three regime ones: the two least keep their value; in one family the larger of them."""
     ranked = F.slice(F.array_sort(F.transform(distances, lambda d, i: F.struct(d.alias("d"), i.alias("i")))), 1, 2)

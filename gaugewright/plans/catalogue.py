@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewright.functions.staging import keep
 from gaugewright.operators import ingest, lmir, loglog, patterns, rare, regimes, scores, tpmr, workflow
+from gaugewright.operators.classifier import RegimeClassifier
 from gaugewright.plans import gauges as G
 from gaugewright.sources import plots
 
@@ -612,6 +614,19 @@ def regimes_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.detect_features(_family(spark, sf_dir)).groupBy("group_id", "transient_id", "regime").agg(F.count(F.lit(1)).alias("n"), F.first("window_length").alias("window_length"), F.first("filter_value").alias("filter_value"))
 
 
+@query(_with("""SELECT group_id, transient_id, count(DISTINCT regime) AS n_regimes, count(*) FILTER (regime = 0) AS n_radial FROM regimes GROUP BY group_id, transient_id""", G.RATES_SQL, _SUPER, _DER, *_regimes_sql()))
+def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.distinct_regimes(regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"]))
+
+
+@query()
+def regimes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters found by the seeded search, and the distinct regimes that the model detects with them."""
+    family = keep(_family(spark, sf_dir), "family")
+    model = RegimeClassifier(search="bayes").fit(family)
+    return patterns.distinct_regimes(model.transform(family)).join(model.found, ["group_id", "transient_id"])
+
+
 @query()
 def stable_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.get_stable_pattern(regimes.classify(_family(spark, sf_dir), ["group_id", "transient_id"]))

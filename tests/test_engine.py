@@ -280,6 +280,8 @@ def test_time_lapse_queries_see_all_flowing_transients(spark, long_history):
     rounded = patterns.correlation_analysis(family).select("group_id", "threshold", *[F.round(c, 6).alias(c) for c in ("start", "end")], "regime")
     assert key(catalogue.correlation_intervals(spark, long_history)) == key(rounded)
     assert {r.transient_id for r in catalogue.regimes_optimized(spark, long_history).select("transient_id").distinct().collect()} == every
+    model = catalogue.regimes_model(spark, long_history).collect()
+    assert {r.transient_id for r in model} == every and len(model) == len(every) and all(1 <= r.n_regimes <= 5 and 0 <= r.n_radial <= 500 and 0 < r.window_length <= 1 for r in model)
 
 
 def test_envelope_query_has_the_default_grid(spark, long_history):
