@@ -241,13 +241,18 @@ class Transient:
         if search not in SEARCHES:
             raise ValueError(f"search is one of {SEARCHES}")
         base = self.params
-        least = self.least_window(_with(base, filter_value=low))
+        p = _with(base, filter_value=float(low), window_length=float(max_window))
+        if len(self.points(p)[0]) < 2:  # nothing to search on, as in a transient that ends before the lowest filter
+            return *self.detect(p, full=True), p
+        least = self.least_window(p)
         value = lambda w, f: self._try(_with(base, window_length=float(w), filter_value=float(f)), low, high)
         if search == "bayes":
             (window, fil), _ = minimize(lambda x: value(*x), (least, low), (max_window, high), calls * 3 // 2 if deep else calls, seed=seed)
             window, fil = float(window), float(fil)
         else:
             window, fil = self._refined(value, least, max_window, low, high, 6 if deep else 4)
+        if len(self.points(_with(base, filter_value=fil))[0]) < 2:  # no place was better than another
+            window, fil = least, float(low)
         if adjust_filter:
             fil = self._adjust(window, fil)
         p = _with(base, filter_value=fil)

@@ -115,3 +115,15 @@ def test_classifier_in_a_pipeline_and_its_checks(spark, frame, tmp_path):
             RegimeClassifier(**bad).fit(frame)
     with pytest.raises(TypeError):
         RegimeClassifier(seed="x")
+
+
+@pytest.mark.parametrize("search", regimes.SEARCHES)
+@pytest.mark.parametrize("times", [[0.4, 0.5, 1.0, 2.1], [0.1, 0.2]])
+def test_search_on_transients_that_end_before_the_filters(spark, search, times):
+    """Shorter than a fragment, every place has the same value; or no filter leaves two points."""
+    rows = [(1, 1, t, 10.0 + k, 5.0 + k % 2) for k, t in enumerate(times)]
+    frame = spark.createDataFrame(rows, "group_id int, transient_id int, time double, pressure double, derivative double")
+    model = RegimeClassifier(search=search).fit(frame)
+    found = model.found.collect()
+    assert len(found) == 1 and -0.5 <= found[0].filter_value <= 0.5 and 0 < found[0].window_length <= 1
+    assert model.transform(frame).count() == regimes.POINTS
