@@ -12,9 +12,17 @@ JITTER = 1e-6
 CANDIDATES = 512
 
 
-def matern(a: np.ndarray, b: np.ndarray, scale: float) -> np.ndarray:
-    """Matern covariance of smoothness 5/2 between the rows of a and of b."""
-    r = np.sqrt(5 * ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)) / scale
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between the rows of a and of b, by the root of 5."""
+    square = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        square += (a[:, None, k] - b[None, :, k]) ** 2
+    return np.sqrt(5 * square)
+
+
+def matern(r: np.ndarray, scale: float) -> np.ndarray:
+    """Matern covariance of smoothness 5/2 at distances r."""
+    r = r / scale
     return (1 + r + r * r / 3) * np.exp(-r)
 
 
@@ -24,9 +32,9 @@ class Process:
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
         self.x, self.mean, self.spread = x, y.mean(), y.std() or 1.0
         z = (y - self.mean) / self.spread
-        best = -math.inf
+        best, r = -math.inf, distances(x, x)
         for scale in SCALES:
-            root = np.linalg.cholesky(matern(x, x, scale) + JITTER * np.eye(len(x)))
+            root = np.linalg.cholesky(matern(r, scale) + JITTER * np.eye(len(x)))
             half = np.linalg.solve(root, z)
             likelihood = -0.5 * float(half @ half) - float(np.log(np.diag(root)).sum())
             if likelihood > best:
@@ -34,7 +42,7 @@ class Process:
 
     def at(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and standard deviation at points."""
-        part = np.linalg.solve(self.root, matern(self.x, points, self.scale))
+        part = np.linalg.solve(self.root, matern(distances(self.x, points), self.scale))
         deviation = np.sqrt(np.maximum(1 + JITTER - (part * part).sum(axis=0), 0))
         return self.mean + self.spread * (self.half @ part), self.spread * deviation
 

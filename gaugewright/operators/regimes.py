@@ -56,6 +56,15 @@ class LogTimeWindow:
         covered = t[j - 1] if j < len(t) else t[-1]
         return i, len(t) if covered > t[-1] - self.step else j
 
+    def frames(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and end indices of the frames 0 to `upto`, all at once."""
+        t, start = self.time, self.time[0] + self.step * (np.arange(upto + 1) - 1)
+        i = np.searchsorted(t, start, side="right") - 1
+        j = np.searchsorted(t, start + self.length, side="right")
+        j[i < 0] = np.where(t[-1] <= start[i < 0] + self.length, 0, -1)
+        covered = np.where(j < len(t), t[j - 1], t[-1])
+        return i, np.where(covered > t[-1] - self.step, len(t), j)
+
 
 @dataclass(frozen=True)
 class Params:
@@ -120,6 +129,7 @@ class Transient:
     log_time: np.ndarray = field(init=False)
     log_derivative: np.ndarray = field(init=False)
     inlier: np.ndarray = field(init=False)
+    _points: dict[float, tuple[np.ndarray, np.ndarray]] = field(init=False, default_factory=dict)
 
     @classmethod
     def fit(cls, params: Params, time: np.ndarray, pressure: np.ndarray, derivative: np.ndarray) -> Transient:
@@ -152,8 +162,10 @@ class Transient:
 
     def points(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
         """Log time and smoothed log derivative to detect on: no boundary, nothing before the filter."""
-        use = self.inlier & (self.log_time >= p.filter_value)
-        return self.log_time[use], self._smoothed(self.log_derivative[use])
+        if p.filter_value not in self._points:  # a search comes back to its filters
+            use = self.inlier & (self.log_time >= p.filter_value)
+            self._points[p.filter_value] = self.log_time[use], self._smoothed(self.log_derivative[use])
+        return self._points[p.filter_value]
 
     def least_window(self, p: Params) -> float:
         t, _ = self.points(p)
@@ -173,13 +185,10 @@ class Transient:
         win = LogTimeWindow(t, p.window_length, p.window_step)
         win.check()
         n = win.count()
-        frames = [win.frame(k) for k in range(n + 1)]
-        hits, total = np.zeros(len(t)), np.zeros((len(t), len(SLOPES)))
-        for k in range(n):
-            d = slope_distances(t[slice(*frames[k + 1])], y[slice(*frames[k + 1])])
-            i, j = frames[k]
-            hits[max(i, 0) : max(j, 0)] += 1
-            total[max(i, 0) : max(j, 0)] += d
+        i, j = win.frames(n)
+        at = np.arange(len(t))
+        cover = ((at >= i[:n, None]) & (at < j[:n, None])).astype(float)
+        hits, total = cover.sum(axis=0), cover.T @ frame_distances(t, y, i[1:], j[1:])
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(hits[:, None] > 0, total / hits[:, None], np.inf)
         regime = mean.argmin(axis=1)
@@ -329,6 +338,19 @@ def slope_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((np.array(SLOPES)[:, None] * dx + dy) ** 2).sum(axis=1)) / len(x)
 
 
+def frame_distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """slope_distances of the points i to j of each frame, a row a frame; no frame is empty."""
+    n = (j - i)[:, None]
+    at = i[:, None] + np.arange(n.max())
+    inside = at < j[:, None]
+    at = np.minimum(at, len(x) - 1)
+    u, v = x[at] * inside, y[at] * inside
+    u, v = (u - u.sum(axis=1, keepdims=True) / n) * inside, (v - v.sum(axis=1, keepdims=True) / n) * inside
+    uu, uv, vv = (np.einsum("ij,ij->i", a, b)[:, None] for a, b in ((u, u), (u, v), (v, v)))
+    s = np.array(SLOPES)
+    return np.sqrt(np.maximum(s * s * uu - 2 * s * uv + vv, 0)) / n
+
+
 def resampled(frame: DataFrame, keys: list[str], time: str = "time", pressure: str = "pressure", derivative: str = "derivative") -> DataFrame:
     """keys, seq, time, pressure, pressure_derivative: POINTS log-spaced points of each transient of two samples or more.
 

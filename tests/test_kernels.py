@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from gaugewright.functions import kernels as K
 from gaugewright.operators.patterns import STABLE, _islands, regime_confidence, stable_intervals
-from gaugewright.operators.regimes import LogTimeWindow, Params, Transient, slope_distances
+from gaugewright.operators.regimes import LogTimeWindow, Params, Transient, frame_distances, slope_distances
 
 
 def slow_valleys(p, prominence):
@@ -219,3 +219,14 @@ def test_stable_intervals_of_many_transients(spread):
     began = time.process_time()
     assert stable_intervals(members, 0.3, 58)
     assert time.process_time() - began < 10  # about a second where each has a range of its own, else milliseconds
+
+
+@pytest.mark.parametrize("n, length, step", [(2, 0.5, 0.02), (40, 0.5, 0.02), (500, 0.25, 0.02), (500, 9.0, 0.05)])
+def test_all_frames_at_once(n, length, step):
+    rng = np.random.default_rng(n)
+    t, y = np.sort(rng.uniform(0, 0.1 if n == 2 else 4, n)), rng.normal(size=n)
+    w = LogTimeWindow(t, length, step)
+    i, j = w.frames(w.count())
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [w.frame(k) for k in range(w.count() + 1)]
+    got = frame_distances(t, y, i[1:], j[1:])
+    assert np.allclose(got, [slope_distances(t[a:z], y[a:z]) for a, z in zip(i[1:], j[1:], strict=True)], rtol=1e-12)
