@@ -1,5 +1,7 @@
 """Curves on log grids and the envelope against numpy."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,14 @@ def test_envelope_equals_numpy(spark):
         part = got[got["well_id"] == g][["grid", "mean", "lower", "upper"]].astype(float).to_numpy()
         np.testing.assert_allclose(part, plain_envelope(members, 120, 0.2, 2.0), rtol=1e-9)
     assert loglog.envelope(df.filter("false"), ["well_id"]).count() == 0
+
+
+def test_jump_at_the_start_of_a_grid_follows_the_c_library(spark):
+    """10 ** log10(a) is a bit below a there, so the first of the equal samples counts; by the JVM's powers it is a."""
+    a, z = 24.139921618611112, 25.933507476666666
+    assert math.pow(10.0, math.log10(a)) < a
+    frame = spark.createDataFrame([(1, 1, a, 1.0), (1, 1, a, 100.0), (1, 1, z, 50.0), (2, 1, 3.0, 7.0), (2, 1, 3.0, 9.0)], "well_id int, transient_id int, x double, y double")
+    got = loglog.interpolate_on_grid(frame, ["well_id"], "transient_id", "x", "y", 500)
+    assert [round(r["value"], 6) for r in got.filter("well_id = 1 and g in (0, 499)").orderBy("g").collect()] == [1.0, 50.0]
+    assert got.filter("well_id = 2").agg(F.count_distinct("grid")).collect()[0][0] == 1
+    assert loglog.envelope(frame, ["well_id"], time_col="x", value_col="y").count() == 1000
