@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from gaugewright.functions.bayes import minimize
 from gaugewright.functions.grids import on_log_grid
@@ -440,26 +440,8 @@ def mean_distances(points: DataFrame, keys: list[str], p: Params = Params()) ->
     return y.select(*keys, "seq", *(F.when(F.col("n") < 2, 1.0).when(F.col("hits") > 0, F.sum(d).over(run) / F.col("hits")).alias(d) for d in DISTANCES))
 
 
-def _detected(points: DataFrame, keys: list[str], p: Params) -> DataFrame:
-    """points with regime and DISTANCES by fixed parameters; Python only marks the boundary and smooths."""
-    added = StructType([StructField("inlier", BooleanType()), StructField("y", DoubleType())])
-
-    def prepare(t: Transient) -> dict[str, np.ndarray]:
-        y = np.full(len(t.time), np.nan)
-        y[t.inlier & (t.log_time >= p.filter_value)] = t.points(p)[1]
-        return {"inlier": t.inlier, "y": y}
-
-    x = keep(_each(points, keys, added, prepare, p), "boundaries")
-    d = mean_distances(x.filter("y is not null").select(*keys, "seq", F.coalesce(F.log10("time"), F.lit(0.0)).alias("t"), "y"), keys, p)
-    x = x.join(d, [*keys, "seq"], "left")
-    far = F.lit(float("inf"))
-    distances = F.array(*(F.coalesce(F.col(c), far) for c in DISTANCES))
-    code = F.array(*map(F.lit, _OF_SLOPE.tolist()))[F.array_position(distances, F.array_min(distances)).cast("int") - 1]
-    return x.withColumn("regime", F.when(~F.col("inlier"), 3).when(F.col("y").isNull(), 4).otherwise(code)).withColumn("window_length", F.lit(float(p.window_length))).withColumn("filter_value", F.lit(float(p.filter_value)))
-
-
 def _searched(points: DataFrame, keys: list[str], params: Params, optimize: bool, deep: bool, **how: object) -> DataFrame:
-    """points with regime and DISTANCES, by the searched parameters or with regimes smoothed: a transient is searched as a whole."""
+    """points with regime and DISTANCES, by the searched or by fixed parameters: a transient, POINTS rows, is worked on as a whole, so its points are shuffled once."""
     names = ["regime", "window_length", "filter_value", *DISTANCES]
     added = StructType([StructField(c, IntegerType() if c == "regime" else DoubleType()) for c in names])
 
@@ -480,9 +462,8 @@ def classify(
 ) -> DataFrame:
     """seq, resampled time, pressure and derivative, their logs, regime and distances: POINTS rows for each transient.
 
-    Transients are independent groups; fewer than two samples give no rows. With fixed
-    parameters and no smoothing of regimes the distances are window functions over all
-    transients; a search runs on whole transients, which POINTS bounds. `how` goes to
+    Transients are independent groups; fewer than two samples give no rows. Detection and search
+    run on whole transients, which POINTS bounds, in sorted batches. `how` goes to
     Transient.optimize. `found` (keys, window_length, filter_value; a row a transient) gives transients
     their own parameters, with regimes smoothed; the others take those of params."""
     own = [f"_key{i}" for i in range(len(keys))]  # whatever the keys are called, they meet no name of the steps
@@ -492,7 +473,7 @@ def classify(
         mine = found.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), *(F.col(c.strip("_")).alias(c) for c in OWN))
         x = _searched(points.join(mine, own, "left"), own, replace(params, smooth=True), False, False)
     else:
-        x = _searched(points, own, params, optimize, deep, **how) if optimize or params.smooth else _detected(points, own, params)
+        x = _searched(points, own, params, optimize, deep, **how)
     log = lambda c: F.coalesce(F.log10(c), F.lit(0.0))
     return x.select(
         *(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), "seq", "time", "pressure", "pressure_derivative", log("time").alias("log_time"), log("pressure").alias("log_pressure"), log("pressure_derivative").alias("log_pressure_derivative"),

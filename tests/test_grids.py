@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions.grids import on_log_grid
-from gaugewright.operators import loglog
+from gaugewright.operators import loglog, regimes
 
 
 def curves():
@@ -88,3 +88,12 @@ def test_jump_at_the_start_of_a_grid_follows_the_c_library(spark):
     assert [round(r["value"], 6) for r in got.filter("well_id = 1 and g in (0, 499)").orderBy("g").collect()] == [1.0, 50.0]
     assert got.filter("well_id = 2").agg(F.count_distinct("grid")).collect()[0][0] == 1
     assert loglog.envelope(frame, ["well_id"], time_col="x", value_col="y").count() == 1000
+
+
+def test_detection_shuffles_its_points_once(spark):
+    """The points of a transient are neither written nor joined back after the boundary is marked."""
+    frame = spark.createDataFrame([(1, 1, float(k), 5.0 + k, 3.0 + k % 2) for k in range(1, 9)], "group_id int, transient_id int, time double, pressure double, derivative double")
+    found = regimes.classify(frame, ["group_id", "transient_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "boundaries" not in plan and plan.count("MapInArrow") == 1
+    assert found.count() == regimes.POINTS
