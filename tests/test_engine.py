@@ -439,3 +439,21 @@ def test_superposition_in_blocks_equals_a_sum_over_all_steps(spark):
             assert len(rows) == len(expected) > 100
             for r in rows:
                 assert (r.superposition, r.delta_pressure, r.delta_time) == pytest.approx(expected[r.well_id, r.transient_id, r.seq])
+
+
+def test_superposition_adds_from_the_last_step_back(spark):
+    """In the order of the SQL's join: a derivative over a small rise shows the last bits of these sums."""
+    rng, want, points, rates, samples = np.random.default_rng(4), {}, [], [], []
+    for w in range(20):
+        q = np.round(rng.uniform(1, 90, 3), 2).tolist()
+        points += [(w, t) for t in (0.0, 900.0, 990.0, 1200.0)]
+        rates += [(w, i + 1, v) for i, v in enumerate(q)]
+        samples += [(w, 1, 5.0, 995.0), (w, 2, 6.0, 1000.0)]
+        terms = [c / q[2] * k for c, k in zip((q[0], q[1] - q[0], q[2] - q[1]), (3.0, 2.0, 1.0), strict=True)]
+        want[w] = ((terms[2] + terms[1]) + terms[0], (terms[0] + terms[1]) + terms[2])
+    assert any(a != b for a, b in want.values())
+    t = spark.createDataFrame([(w, 1, 990.0, 1200.0) for w in want], "well_id int, transient_id int, start_hr double, end_hr double")
+    bhp = spark.createDataFrame(samples, "well_id int, seq int, pressure double, time_hr double")
+    s = loglog.rate_steps(spark.createDataFrame(points, "well_id int, time_hr double"), spark.createDataFrame(rates, "well_id int, seq int, rate double"))
+    got = {r.well_id: r.superposition for r in loglog.superposition(loglog.transient_samples(bhp, t), s, loglog.last_steps(s, t), True).collect()}
+    assert got == {w: a for w, (a, _) in want.items()}
