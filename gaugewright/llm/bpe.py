@@ -276,8 +276,10 @@ def encode(v: Vocabulary, texts: list[str | None]) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids: one row for each row of docs."""
+def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids: one row for each row of docs.
+
+    block_bytes: of text that a task works on at once; smaller blocks take less memory and more time."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = src.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
@@ -290,7 +292,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool
             at = 0
             size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             while at < len(texts):
-                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + block_bytes, side="right")))
                 flat, begin = encode_block(v, texts.slice(at, stop - at))
                 ids = [flat[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
                 cols = [b.column(0).slice(at, stop - at), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(v.decode(i).encode()).hexdigest() for i in ids], pa.string())]
