@@ -37,10 +37,9 @@ def local_minima(df: DataFrame, keys: list[str], order: int) -> DataFrame:
     return x.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n", "low", "top", "rotated")
 
 
-def filter_minima(minima: DataFrame, df: DataFrame, keys: list[str], start_hours: float, end_hours: float) -> DataFrame:
-    """Minima strictly later than the first sample by start_hours and earlier than the last by end_hours."""
-    ends = df.groupBy(*keys).agg(F.min("time_hr").alias("lo"), F.max("time_hr").alias("hi"))
-    return minima.join(ends, keys).filter((F.col("time_hr") > F.col("lo") + start_hours) & (F.col("time_hr") < F.col("hi") - end_hours)).drop("lo", "hi")
+def filter_minima(minima: DataFrame, start_hours: float, end_hours: float) -> DataFrame:
+    """Minima strictly later than their group's first time (lo) by start_hours and earlier than its last (hi) by end_hours."""
+    return minima.filter((F.col("time_hr") > F.col("lo") + start_hours) & (F.col("time_hr") < F.col("hi") - end_hours)).drop("lo", "hi")
 
 
 def split_flow(points: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +55,9 @@ def split_flow(points: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
 def lmir(df: DataFrame, order: int = 100, start_filter_hours: float = 5, end_filter_hours: float = 5, keys: list[str] | None = None) -> Lmir:
     """Flowing transients of each group of keys (a well, or a well's period)."""
     keys = keys or ["well_id"]
-    minima = filter_minima(local_minima(df, keys, order), df, keys, start_filter_hours, end_filter_hours)
+    w = Window.partitionBy(*keys)
+    spanned = df.withColumn("lo", F.min("time_hr").over(w)).withColumn("hi", F.max("time_hr").over(w))  # in the order of the windows that follow: no join
+    minima = filter_minima(local_minima(spanned, keys, order), start_filter_hours, end_filter_hours)
     row = F.struct(*[c for c in df.columns if c not in keys])
     ends = df.groupBy(*keys).agg(F.min_by(row, "seq").alias("a"), F.max_by(row, "seq").alias("z"))
     points = minima.unionByName(ends.select(*keys, "a.*")).unionByName(ends.select(*keys, "z.*"))

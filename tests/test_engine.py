@@ -457,3 +457,18 @@ def test_superposition_adds_from_the_last_step_back(spark):
     s = loglog.rate_steps(spark.createDataFrame(points, "well_id int, time_hr double"), spark.createDataFrame(rates, "well_id int, seq int, rate double"))
     got = {r.well_id: r.superposition for r in loglog.superposition(loglog.transient_samples(bhp, t), s, loglog.last_steps(s, t), True).collect()}
     assert got == {w: a for w, (a, _) in want.items()}
+
+
+def test_breakpoints_near_a_start_need_no_join(spark, wells):
+    rng = np.random.default_rng(4)
+    points = [(w, float(x) if x < 39 else None, f"p{i}") for i, (w, x) in enumerate(zip(rng.integers(0, 5, 400).tolist(), rng.integers(0, 40, 400).tolist(), strict=True))]
+    starts = [(int(w), float(x)) for w, x in zip(rng.integers(0, 4, 30), rng.integers(0, 40, 30), strict=True)] + [(0, None)]
+    points, starts = [*points, (None, 9.0, "lost")], [*starts, (None, 10.0)]
+    p, t = spark.createDataFrame(points, "well_id int, time_hr double, label string"), spark.createDataFrame(starts, "well_id int, start_hr double")
+    near = {n for w, x, n in points if w is not None and x is not None and any(v == w and s is not None and s > 2 and s - 2 <= x < s for v, s in starts)}
+    stay, gone = workflow.filter_breakpoints(p, t, 2)
+    assert sorted(r.label for r in gone.collect()) == sorted(near) and 50 < len(near) < 350
+    assert sorted(r.label for r in stay.collect()) == sorted({n for *_, n in points} - near)
+    # a join sorts both sides whole in one task, or sends one side to all; a second scan for the ends of the history does it again
+    for plan in (stay, lmir.lmir(wells[0]).minima):
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
