@@ -472,3 +472,13 @@ def test_breakpoints_near_a_start_need_no_join(spark, wells):
     # a join sorts both sides whole in one task, or sends one side to all; a second scan for the ends of the history does it again
     for plan in (stay, lmir.lmir(wells[0]).minima):
         assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_take_their_interval_without_a_join(spark):
+    """A sample at the start of its interval has no time before it; in large tables a join of samples with intervals gave some a time of other rows."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    points = spark.createDataFrame([(w, at(h), float(h)) for w in range(3) for h in (0, 10, 20)], "well_id int, ts timestamp_ntz, time_hr double")
+    rate = ingest.rate_table(spark.createDataFrame([(w, at(h), q) for w in range(3) for h, q in ((0, 10.0), (4, 20.0), (10, 30.0), (25, 99.0))], "well_id int, ts timestamp_ntz, rate double"))
+    got = workflow.weighted_rates(rate, points)
+    assert sorted((r.well_id, r.seq, r.rate) for r in got.collect()) == [(w, s, q) for w in range(3) for s, q in ((1, (10.0 * 2 + 20.0 * 8) / 10), (2, 30.0))]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # means and thresholds only
