@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.numeric import ratio
+from gaugewright.functions.staging import united
 
 
 class Lmir(NamedTuple):
@@ -60,6 +61,6 @@ def lmir(df: DataFrame, order: int = 100, start_filter_hours: float = 5, end_fil
     minima = filter_minima(local_minima(spanned, keys, order), start_filter_hours, end_filter_hours)
     row = F.struct(*[c for c in df.columns if c not in keys])
     ends = df.groupBy(*keys).agg(F.min_by(row, "seq").alias("a"), F.max_by(row, "seq").alias("z"))
-    points = minima.unionByName(ends.select(*keys, "a.*")).unionByName(ends.select(*keys, "z.*"))
+    points = united(minima, ends.select(*keys, "a.*"), ends.select(*keys, "z.*"))
     flowing, marked = split_flow(points, keys)
     return Lmir(flowing, marked, minima, {"order": order, "start_filter_hours": start_filter_hours, "end_filter_hours": end_filter_hours})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.numeric import ratio
+from gaugewright.functions.staging import united
 
 
 def rare_inputs(rate: DataFrame, rebuilt: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def rare_inputs(rate: DataFrame, rebuilt: DataFrame) -> DataFrame:
     end = q.groupBy("well_id").agg(F.max("ts").alias("ts"))
     last = rebuilt.groupBy("well_id").agg(F.max_by("rate", "start_ts").alias("q_rebuilt"))
     r = rebuilt.select("well_id", F.col("start_ts").alias("ts"), F.col("rate").alias("q_rebuilt"), F.lit(0).alias("k"))
-    r = r.unionByName(end.join(last, "well_id").select("well_id", "ts", "q_rebuilt", F.lit(1).alias("k"))).groupBy("well_id", "ts").agg(F.min_by("q_rebuilt", "k").alias("q_rebuilt"))
+    r = united(r, end.join(last, "well_id").select("well_id", "ts", "q_rebuilt", F.lit(1).alias("k"))).groupBy("well_id", "ts").agg(F.min_by("q_rebuilt", "k").alias("q_rebuilt"))
     w = Window.partitionBy("well_id").orderBy("ts")
     fill = w.rowsBetween(Window.unboundedPreceding, 0)
     x = r.join(q, ["well_id", "ts"], "full_outer")

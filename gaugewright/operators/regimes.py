@@ -15,7 +15,7 @@ from gaugewright.functions.bayes import minimize
 from gaugewright.functions.grids import on_log_grid
 from gaugewright.functions.kernels import group_bounds, savgol_quadratic, theil_sen_slopes, whole_groups
 from gaugewright.functions.numeric import ratio
-from gaugewright.functions.staging import keep
+from gaugewright.functions.staging import keep, united
 
 # Reference slopes, their names, and the regimes' codes and names.
 SLOPES = (0.0, 0.176, 0.364, -0.176, -0.364)
@@ -417,7 +417,7 @@ def mean_distances(points: DataFrame, keys: list[str], p: Params = Params()) ->
     frames = span.filter("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0), count))).withColumn("start", F.col("t0") + step * (F.col("k") - 1))
     edge = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("kind")), F.struct((F.col("start") + length).alias("t"), F.lit(2).alias("kind"))))
     marks = frames.select(*keys, "k", edge.alias("e")).select(*keys, "k", "e.*")
-    rows = x.select(*keys, "t", F.lit(0).alias("kind"), "m", "before", "after", F.lit(None).cast("int").alias("k")).unionByName(marks, allowMissingColumns=True)
+    rows = united(x.select(*keys, "t", F.lit(0).alias("kind"), "m", "before", "after", F.lit(None).cast("int").alias("k")), marks)
     seen = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("kind") == 0, F.struct("m", "t", "before", "after")), True).over(seen)
     read = rows.withColumn("p", last).filter("kind > 0").groupBy(*keys, "k").agg(F.max(F.when(F.col("kind") == 1, F.col("p"))).alias("a"), F.max(F.when(F.col("kind") == 2, F.col("p"))).alias("z"))

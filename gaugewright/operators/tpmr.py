@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from gaugewright.functions.kernels import Edge, flats_and_walls, group_bounds, low_flats, stitch, wall_cuts, whole_groups
 from gaugewright.functions.numeric import ratio
+from gaugewright.functions.staging import united
 
 DEFAULT_INTERVAL = 50.0
 SLICE = 1 << 16  # samples of a well that are worked on at once
@@ -77,7 +78,7 @@ def detect_valleys(bhp: DataFrame, prominence: float | None = None, slice_sample
     inner = worked.filter("edge is null").join(met.drop("places"), ["well_id", "slice"]).filter("(not open_left or x_left >= pressure) and (not open_right or x_right >= pressure)")
     at_edges = src.join(met.filter("size(places) > 0").select("well_id", "slice", "places"), ["well_id", "slice"])
     at_edges = at_edges.withColumn("place", F.row_number().over(Window.partitionBy("well_id", "slice").orderBy("seq")) - 1).filter(F.array_contains("places", F.col("place")))
-    return inner.select(*out.names).union(at_edges.select(*out.names)).withColumn("label", F.lit("flowing"))
+    return united(inner.select(*out.names), at_edges.select(*out.names)).withColumn("label", F.lit("flowing"))
 
 
 def split_segments(bhp: DataFrame, valleys: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def split_segments(bhp: DataFrame, valleys: DataFrame) -> DataFrame:
 
     One pass over the union of samples and valleys instead of a range join."""
     marks = valleys.select("well_id", "ts", F.lit(1).alias("v"), *[F.lit(None).cast(t).alias(c) for c, t in bhp.dtypes if c not in ("well_id", "ts")]).distinct()
-    both = bhp.withColumn("v", F.lit(0)).unionByName(marks)
+    both = united(bhp.withColumn("v", F.lit(0)), marks)
     w = Window.partitionBy("well_id").orderBy("ts", F.desc("v"), "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("segment", F.sum("v").over(w)).withColumn("n", F.sum("v").over(Window.partitionBy("well_id")))
     return both.filter((F.col("v") == 0) & (F.col("segment") < F.col("n"))).drop("v", "n")
@@ -123,9 +124,7 @@ def combine_breakpoints(bhp: DataFrame, valleys: DataFrame, shoulders: DataFrame
     ends = bhp.groupBy("well_id").agg(F.min_by(row, "seq").alias("a"), F.max_by(row, "seq").alias("z"))
     parts = [valleys.select(*cols, F.lit("flowing").alias("label"), F.lit(0).alias("rank")), shoulders.select(*cols, F.lit("shutin").alias("label"), F.lit(1).alias("rank")),
              ends.select("well_id", "a.*", F.lit("start").alias("label"), F.lit(2).alias("rank")), ends.select("well_id", "z.*", F.lit("end").alias("label"), F.lit(3).alias("rank"))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = united(*parts)
     first = Window.partitionBy("well_id", "ts").orderBy("rank", "seq")
     return every.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "rank")
 

@@ -482,3 +482,16 @@ def test_samples_take_their_interval_without_a_join(spark):
     got = workflow.weighted_rates(rate, points)
     assert sorted((r.well_id, r.seq, r.rate) for r in got.collect()) == [(w, s, q) for w in range(3) for s, q in ((1, (10.0 * 2 + 20.0 * 8) / 10), (2, 30.0))]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # means and thresholds only
+
+
+def test_rows_of_a_union_meet_by_key(spark):
+    """Without broadcasts the parts of a union lie differently, and a window behind it saw a part of a well's rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, catalogue.queries()["workflow_breakpoints"](spark, SF.replace("0.001", "0.01")).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{SF.replace('0.001', '0.01')}/events.parquet'")
+    assert got == sorted(c.execute(catalogue.oracle_sql()["workflow_breakpoints"]).fetchall())
