@@ -560,3 +560,27 @@ def test_index_sends_a_bucket_only_its_own_components(spark):
             got = linkage.index(df, entries, 18_000, 0.75)
             out.append(Counter((r["key"] is not None, r["id"], r["comp"], r["size"]) for r in got.collect()))
     assert out[0] == out[1] and all(c == i // 7 * 7 for _, i, c, _ in out[0])
+
+
+def test_index_and_pairs_go_as_soon_as_they_are_read(spark):
+    """The index and every table of pairs but the newest were on disk until all links were checked."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from gaugewright.llm import linkage
+    from gaugewright.llm.store import keep
+
+    there = lambda df: os.path.isdir(df._stored_uri.removeprefix("file://"))
+    rows = keep(spark.createDataFrame([(1, i, 10, 0, True, i) for i in range(6)], "key long, id long, size int, at int, small boolean, comp long"), "rows")
+    pairs = linkage.across(rows, None, lambda ids: ids.select("id", F.lit(b"12345678").alias("sig")), F.lit(8), 0.5, lambda x, y, i, j: abs(x.id[i] - y.id[j]) == 1, "go")
+    assert not there(rows) and there(pairs) and pairs.count() == 5
+    seen = []
+
+    def check(p):
+        seen.append(there(pairs))
+        return p
+
+    comp = spark.createDataFrame([(0, 0), (1, 0)], "id long, comp long")
+    assert {tuple(r) for r in linkage.settle(pairs, comp, check, "go").collect()} == {(i, 0) for i in range(6)}
+    assert seen == [False] * 3
