@@ -26,6 +26,7 @@ _OF_SLOPE = np.array([0, 1, 1, 2, 2, 3])
 POINTS = 500
 SEARCHES = ("grid", "bayes")
 CALLS = 40
+SERIAL = 1 << 17  # products of a matrix that a linear algebra library does in one thread: more than one in every task would wait for one another
 OWN = ("_window_length", "_filter_value")
 
 
@@ -188,7 +189,9 @@ class Transient:
         i, j = win.frames(n)
         at = np.arange(len(t))
         cover = ((at >= i[:n, None]) & (at < j[:n, None])).astype(float)
-        hits, total = cover.sum(axis=0), cover.T @ frame_distances(t, y, i[1:], j[1:])
+        far = frame_distances(t, y, i[1:], j[1:])
+        step = max(1, SERIAL // far.size)
+        hits, total = cover.sum(axis=0), np.concatenate([cover[:, a : a + step].T @ far for a in range(0, len(t), step)])
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(hits[:, None] > 0, total / hits[:, None], np.inf)
         regime = mean.argmin(axis=1)
@@ -351,11 +354,16 @@ def frame_distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray)
     return np.sqrt(np.maximum(s * s * uu - 2 * s * uv + vv, 0)) / n
 
 
+def _tasks(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def resampled(frame: DataFrame, keys: list[str], time: str = "time", pressure: str = "pressure", derivative: str = "derivative") -> DataFrame:
     """keys, seq, time, pressure, pressure_derivative: POINTS log-spaced points of each transient of two samples or more.
 
     What has no value, as between equal times, is filled along the index."""
     f = frame.select(*keys, F.col(time).alias("t"), F.col(pressure).alias("p"), F.col(derivative).alias("d")).na.drop()
+    f = f.repartition(_tasks(f), *keys)  # few bytes that become POINTS rows a transient: not for one task
     lt = F.coalesce(F.log10("t"), F.lit(0.0))
     f = f.join(f.groupBy(*keys).agg(F.min(lt).alias("lo"), F.max(lt).alias("hi")), keys)
     x = on_log_grid(f, keys, "t", ["p", "d"], F.col("lo"), F.col("hi"), POINTS, extend=True)
@@ -387,8 +395,9 @@ def _each(points: DataFrame, keys: list[str], added: StructType, work: Callable[
             cols = [pa.array(np.concatenate([f[c] for f in found]), from_pandas=True) for c in added.names]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
 
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work for each
-    return points.repartition(tasks, *keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, schema)
+    # By number: few bytes, but much work for each. By a hash of the keys: Spark leaves out a repartition by what rows are dealt by already, here for
+    # the windows before, and then may join those partitions, which are small, into one task.
+    return points.repartition(_tasks(points), F.xxhash64(*keys)).sortWithinPartitions(*keys, "seq").mapInArrow(run, schema)
 
 
 def mean_distances(points: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import time
 
 import duckdb
 import numpy as np
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewright.functions import bayes
 from gaugewright.functions import kernels as K
 from gaugewright.functions.intervals import interval_join
 from gaugewright.operators import ingest, lmir, loglog, patterns, rare, regimes, scores, tpmr, workflow
@@ -515,3 +517,19 @@ def test_log_terms_are_added_in_order_with_logarithms_of_the_c_library():
     steps = pa.array([[(2, b[0], 4.0), (1, b[1], -1.0)] for b in begin], pa.list_(pa.struct([("bp", pa.int32()), ("time_hr", pa.float64()), ("change", pa.float64())])))
     got = K.log_terms(pa.array(at), pa.array([2, 2, 1], pa.int32()), pa.array([3.0, 3.0, None]), steps, 1.0).to_pylist()
     assert got == [4 / 3 * math.log10(3.7 - 2.9) + -1 / 3 * math.log10(3.7 - 1.3), -math.inf, None]
+
+
+def test_transients_are_searched_in_many_tasks(spark):
+    t = [10 ** (k / 10) for k in range(-10, 21)]
+    frame = spark.createDataFrame([(g, 1, x, 3 + math.log10(x), 1.0 + 0.01 * g) for g in range(12) for x in t], "group_id int, transient_id int, time double, pressure double, derivative double")
+    at = F.spark_partition_id().alias("at")
+    points = regimes.resampled(frame, ["group_id", "transient_id"], "time", "pressure", "derivative")
+    assert points.select(at).distinct().count() > 1
+    assert regimes.classify(frame, ["group_id", "transient_id"]).select(at).distinct().count() > 1
+
+
+def test_search_stays_in_its_own_thread():
+    began, own = time.process_time(), time.thread_time()
+    bayes.minimize(lambda x: float((x[0] - 0.3) ** 2 + x[1] ** 2), (0, 0), (1, 1), calls=60)
+    own = time.thread_time() - own
+    assert time.process_time() - began < 2 * own
