@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with the odd rows each docstring defines."""
 
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gaugewright.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, repeats
+from gaugewright.llm import bpe, edits, jaccard, licenses, lines, linkage, mixing, pii, quality, repeats
 from gaugewright.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -584,3 +585,53 @@ def test_index_and_pairs_go_as_soon_as_they_are_read(spark):
     comp = spark.createDataFrame([(0, 0), (1, 0)], "id long, comp long")
     assert {tuple(r) for r in linkage.settle(pairs, comp, check, "go").collect()} == {(i, 0) for i in range(6)}
     assert seen == [False] * 3
+
+
+def test_edits_of_many_pairs_equal_those_of_each_pair():
+    rng, xs, ys, most = random.Random(3), [], [], []
+    for n, alphabet in itertools.product((1, 7, 60, 64, 65, 130, 330, 650, 1500), ("ab", "abcdefgh éß", "aÿ中\U0001f600\0")):
+        for _ in range(40):
+            x = [rng.choice(alphabet) for _ in range(n)]
+            y, m = list(x), rng.choice((0, 1, n // 10, n // 10 + 1, 31, 32, 63, n - 1))
+            for _ in range(max(0, m + rng.randint(-2, 2))):
+                p = rng.randrange(len(y) + 1)
+                y[p : p + rng.randint(0, 1)] = rng.choice(alphabet) * rng.randint(0, 1)
+            xs.append("".join(x)), ys.append("".join(y)), most.append(m)
+    got = edits.within_many(xs, ys, np.array(most))
+    assert got.tolist() == [edits.within(x, y, m) for x, y, m in zip(xs, ys, most, strict=True)]
+    assert got.any() and not got.all()
+    assert edits.within_many([], [], np.zeros(0, np.int64)).tolist() == []
+
+
+def test_batches_are_a_band_of_several_words():
+    """Pairs whose only difference is at one end of the band, by each number of words."""
+    for words in range(1, edits.WORDS + 1):
+        m, count = 32 * words - 1, edits.FEW * words
+        body = "".join(random.Random(words).choices("abcd", k=m + 90))
+        for extra, ok in ((m, True), (m + 1, False)):
+            pairs = [("z" * k + body, body + "y" * (extra - k)) for k in range(1, extra)]
+            want = [edits.within(x, y, m) for x, y in pairs]
+            got = edits.within_many(*map(list, zip(*pairs * (count // len(pairs) + 1), strict=True)), np.full(len(pairs) * (count // len(pairs) + 1), m))
+            assert got.tolist() == want * (count // len(pairs) + 1) and all(want) == ok
+
+
+@pytest.mark.parametrize("slip", [np.inf, 0.1])
+def test_members_of_many_keys_at_once_give_the_pairs_of_each_key(slip):
+    rng = np.random.default_rng(5)
+    n = rng.choice([1, 2, 3, 20, linkage.FEW, linkage.FEW + 1, 200], 300)
+    cut = np.concatenate(([0], np.cumsum(n)))
+    size = int(cut[-1])
+    sig = rng.integers(0, 3, (size, 16)).astype(np.uint8)
+    m = linkage.Members(rng.integers(0, 10**6, size), rng.integers(0, 9, size), rng.integers(20, 40, size), rng.integers(0, 9, size), rng.random(size) < 0.5, sig.ravel(), np.arange(size) * 16, np.full(size, 16))
+    calls = []
+
+    def test(x, y, i, j):
+        calls.append(len(i))
+        return (x.sig[x.start[i]] == y.sig[y.start[j]]) & (x.comp[i] != y.comp[j])
+
+    pairs = lambda found: sorted((int(a), int(b)) for x, y in found for a, b in zip(x, y, strict=True))
+    got = pairs(linkage._within_keys(m, cut, 0.75, slip, test))
+    few, calls[:] = len(calls), []
+    want = pairs(linkage._candidates(x := linkage._part(m, a, z), x, True, 0.75, slip, test) for a, z in zip(cut[:-1], cut[1:], strict=True))
+    assert got == want and len(got) > 100
+    assert few < len(calls)  # not a call a key
